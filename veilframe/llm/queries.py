@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import curriculum
+from veilframe.llm import bagminhash, curriculum
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bagminhash": bagminhash.op4_bagminhash,
     "op5_curriculum_mix": curriculum.op5_curriculum_mix,
 }
 ORACLES: dict[str, str] = {
