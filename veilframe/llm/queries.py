@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import bagminhash, curriculum, suffix_dedup
+from veilframe.llm import bagminhash, curriculum, packing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_mixture_packing": packing.op2_mixture_packing,
     "op4_bagminhash": bagminhash.op4_bagminhash,
     "op5_curriculum_mix": curriculum.op5_curriculum_mix,
 }
