@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import bagminhash, curriculum, license_scan, packing, risk_rules, suffix_dedup, weak_quality
+from veilframe.llm import bagminhash, curriculum, license_scan, packing, rabitq, risk_rules, suffix_dedup, warc, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_mixture_packing": packing.op2_mixture_packing,
+    "op3_warc_revisits": warc.op3_warc_revisits,
     "op4_bagminhash": bagminhash.op4_bagminhash,
     "op5_curriculum_mix": curriculum.op5_curriculum_mix,
+    "op6_rotated_codes": rabitq.op6_rotated_codes,
     "op7_risk_rules": risk_rules.op7_risk_rules,
     "op9_weak_quality": weak_quality.op9_weak_quality,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLES: dict[str, str] = {
+    "op3_warc_revisits": warc.ORACLE,
     "op5_curriculum_mix": curriculum.ORACLE,
+    "op6_rotated_codes": rabitq.ORACLE,
     "op7_risk_rules": risk_rules.ORACLE,
     "op10_license_scan": license_scan.ORACLE,
 }
