@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import bagminhash, curriculum, license_scan, packing, rabitq, risk_rules, suffix_dedup, warc, weak_quality
+from veilframe.llm import bagminhash, curriculum, license_scan, packing, rabitq, risk_rules, suffix_dedup, template_extract, warc, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_curriculum_mix": curriculum.op5_curriculum_mix,
     "op6_rotated_codes": rabitq.op6_rotated_codes,
     "op7_risk_rules": risk_rules.op7_risk_rules,
+    "op8_template_extract": template_extract.op8_template_extract,
     "op9_weak_quality": weak_quality.op9_weak_quality,
     "op10_license_scan": license_scan.op10_license_scan,
 }
