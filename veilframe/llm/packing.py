@@ -13,6 +13,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,8 @@ from veilframe.llm.common import before, settle, table
 WINDOW, PACKET, END = 2048, 128, 1
 #: More sources than this share queues by hash, so that the totals that every task gets stay small.
 MOST_QUEUES = 4096
-MOST_WORDS = 400_000
+#: Words whose ids a task remembers, a hundred megabytes or so.
+MOST_WORDS = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Characters for which this module's own splitting into words is known to equal the tokenizer's: printable ASCII and
@@ -49,29 +51,59 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """word -> index of its ids in a growing store; a word is lower case and without white space."""
+    """word -> index of its ids in a growing store; a word is lower case and without white space.
+
+    New words wait until a group of texts has been looked up, then go through the tokenizer's model in one call.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
-    def __init__(self, model) -> None:
         super().__init__()
-        self.model, self.letters = model, byte_letters()
-        self.flat, self.sizes, self.arrays = [], [], None
+        self.bare = Tokenizer(tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for b, c in byte_letters().items() if b != 0x20}
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.flat, self.ends, self.waiting = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], []
 
     def __missing__(self, word: str) -> int:
-        ids = [t.id for part in PARTS.findall(word) for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        self.flat += ids
-        self.sizes.append(len(ids))
-        self[word] = at = len(self.sizes) - 1
+        self[word] = at = len(self)
+        self.waiting.append(word)
         return at
 
-    def encode(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.arrays is None or len(self.arrays[1]) < len(self.sizes):
-            sizes = np.array(self.sizes, np.int64)
-            self.arrays = np.array(self.flat, np.uint32), sizes, np.cumsum(sizes) - sizes
-        flat, sizes, starts = self.arrays
-        n = sizes[at]
-        return flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    def _resolve(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            parts = list(map(PARTS.findall, self.waiting))
+            joined = " ".join(chain.from_iterable(parts)).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            part_ends = np.flatnonzero(self.last[ids]) + 1
+            self.flat.append(ids)
+            self.ends.append(part_ends[np.cumsum(list(map(len, parts))) - 1] + self.ends[-1][-1])
+            self.waiting = []
+            self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
+        return self.flat[0], self.ends[0]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
+        at = []
+        for t in texts:
+            words = t.lower().split()
+            at.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        flat, ends = self._resolve()
+        out = []
+        for x in at:
+            n = ends[x + 1] - ends[x]
+            ids = np.empty(int(n.sum()) + 1, np.uint32)
+            ids[:-1] = flat[np.repeat(ends[x + 1] - np.cumsum(n), n) + np.arange(len(ids) - 1)]
+            ids[-1] = END
+            out.append(ids)
+        return out
 
 
 def tokenised(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -81,23 +113,19 @@ def tokenised(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        words = WordIds(tokenizer.model)
-        end = np.array([END], np.uint32)
+        words = WordIds(tokenizer)
         for batch in batches:
             texts, out = batch["_t"].tolist(), []
-            for i in range(0, len(texts), 200):
-                part = texts[i : i + 200]
+            for i in range(0, len(texts), 500):
+                part = texts[i : i + 500]
                 plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in part]
-                for t, p in zip(part, plain):  # all words first, so that the store is laid out once for the part
-                    if p:
-                        for w in t.lower().split():
-                            words[w]
+                ready = iter(words.encode([t for t, p in zip(part, plain) if p]))
                 for t, p in zip(part, plain):
-                    ids = words.encode(t) if p else np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-                    out.append(np.append(ids, end).astype("<u4"))
+                    ids = next(ready) if p else np.array([*tokenizer.encode(t, add_special_tokens=False).ids, END], np.uint32)
+                    out.append(shrink(ids))
                 if len(words) > MOST_WORDS:
-                    words = WordIds(tokenizer.model)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "queue": batch["queue"], "_order": batch["_order"], "n": [len(x) for x in out], "ids": [shrink(x) for x in out]})
+                    words.clear()
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "queue": batch["queue"], "_order": batch["_order"], "n": [len(grown(x)) for x in out], "ids": out})
 
     return run
 
