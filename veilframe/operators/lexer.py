@@ -62,3 +62,21 @@ def tokens(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     is_mail = F.col("kind") == "email"
     t = t.withColumns({"start": F.when(is_mail, F.col("left.end")).otherwise(F.col("at")), "start_b": F.when(is_mail, F.col("left.end_b")).otherwise(F.col("at_b"))})
     return t.select("doc_id", "pos", "kind", "surface", "folded", "flags", "start", "end", "start_b", "end_b", "at", "n_c", "n_b", "content", "rank", "sentence", "stop")
+
+
+#: A capitalised word before an initial with its dot: what names outside the dictionary need at least.
+INITIALS = rf"[A-ZА-ЯЁ][{LETTERS}]*[^{LETTERS}0-9]+(?:[А-ЯЁ]|[A-Z][A-Za-z])\."
+
+
+def relevant(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Documents that can hold a candidate: with a digit, an @, a name with initials, or a dictionary word.
+
+    Tokens of the others are never shuffled. Dictionary words are looked for only where nothing else speaks for a text.
+    """
+    docs = docs.select("doc_id", "text").where("text is not null")
+    sure = F.col("text").rlike("[0-9@]") | F.col("text").rlike(INITIALS)
+    rest = docs.where(~sure)
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"[{LETTERS}]+"), F.lit(0)), fold))
+    known = dictionary.select(F.col("folded").alias("_w"))
+    found = rest.select("doc_id", F.explode(words).alias("_x")).join(F.broadcast(known) if known.count() <= MOST_BROADCAST else known, F.col("_x") == F.col("_w"), "left_semi").select("doc_id").distinct()
+    return docs.where(sure).unionByName(rest.join(found, "doc_id", "left_semi"))

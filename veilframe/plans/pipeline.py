@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.operators import evidence, rules, spans
-from veilframe.operators.lexer import tokens
+from veilframe.operators.lexer import relevant, tokens
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ def analysed(docs: DataFrame, known: Knowledge) -> tuple[DataFrame, DataFrame, D
     """
     # rules are wide expressions; inferring filters from them takes the optimiser minutes and finds none
     docs.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    t = rules.context(tokens(docs, known.dictionary)).persist(StorageLevel.MEMORY_AND_DISK)
+    t = rules.context(tokens(relevant(docs, known.dictionary), known.dictionary)).persist(StorageLevel.MEMORY_AND_DISK)
     c = rules.content(t).persist(StorageLevel.MEMORY_AND_DISK)
     return t, c, evidence.placed(rules.candidates(t, c), c, docs)
 
