@@ -231,7 +231,9 @@ def _repeats(d: DataFrame) -> bool:
     return bool(d.groupBy("_k", "_h").count().where("count > 1").take(1))
 
 
-@F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+CARVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+
+
 def carve(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
     """What is left of a text without its copied windows. Bytes that no longer form a character are not in kept."""
     out = []
@@ -260,7 +262,7 @@ def remove_copies(docs: DataFrame) -> DataFrame:
     runs = copied_runs(docs)
     k, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     kept = docs.withColumns({"_k": k, "_h": h}).join(runs, ["_k", "_h"], "left").drop("_k", "_h")
-    return kept.withColumn("carved", carve("text", "_runs")).drop("_runs")
+    return kept.withColumn("carved", F.pandas_udf(carve, CARVED)("text", "_runs")).drop("_runs")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
