@@ -79,7 +79,7 @@ def persons(spark: SparkSession, folder: str) -> DataFrame:
     """(surname, form): a row for each form of each public person; forms are separated by tabs, the surname is the last word of the first."""
     forms = lines(spark, folder, "public_persons.txt").select(F.split("value", "\t").alias("forms"))
     surname = F.element_at(F.split(F.get("forms", F.lit(0)), " "), -1)
-    return forms.select(fold(surname).alias("surname"), fold(F.explode("forms")).alias("form"))
+    return forms.select(fold(surname).alias("surname"), F.explode(F.transform("forms", fold)).alias("form"))
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
