@@ -75,7 +75,7 @@ def _span(rule: str, ty, score: int, start="start", end="end", lo="pos", hi="pos
 def emit(df: DataFrame, *rules: tuple[Column, Column]) -> DataFrame:
     """A row for each rule whose condition holds."""
     spans = F.filter(F.array(*[F.when(cond, span) for cond, span in rules]).cast(SPAN), lambda s: s.isNotNull())
-    return df.where(F.size(spans) > 0).select("doc_id", F.inline(spans))
+    return df.select("doc_id", F.inline(spans))
 
 
 def opaque(df: DataFrame, **columns: Column) -> DataFrame:
