@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a copy that the mix cuts is whole if at least half of it is taken."""
     d = docs.select(*COLUMNS).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     plan = curriculum.mix(d).select("doc_id", "source", "size", "taken").dropDuplicates(["doc_id", "source", "size", "taken"])
-    plan = plan.withColumn("_times", F.round(F.col("taken") / F.col("size")).cast("int")).where("_times > 0")
+    plan = plan.where("size > 0").withColumn("_times", F.round(F.try_divide("taken", "size")).cast("int")).where("_times > 0")
     plan = plan.groupBy("doc_id", "source", F.col("size").alias("_size")).agg(F.max("_times").alias("_times")).withColumnsRenamed({"doc_id": "_id", "source": "_source"})
     d = d.withColumn("_n", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(curriculum.WORD)).cast("long"))
     taken = d.join(plan, d.doc_id.eqNullSafe(F.col("_id")) & d.source.eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
