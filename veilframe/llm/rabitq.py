@@ -3,8 +3,9 @@
 Each vector is split into its length and its direction; the direction is rotated at random and kept as one bit a
 dimension, packed, with a correction scalar: the inner product of the rotated direction and its bits' unit vector. From
 these the inner product with a query is estimated without bias, with an error bound that holds with high probability.
-A vector is reranked exactly if its upper bound reaches the k-th best lower bound of the query's block; as bounds are
-kept wide, what is left out is out of reach. Queries and candidates meet block by block, in an equi-join on block pairs.
+A vector is reranked exactly if its upper bound reaches the k-th best lower bound so far; as bounds are
+kept wide, what is left out is out of reach. Each block of queries meets all candidates, dealt into a fixed number of
+parts; a task streams its candidates past the queries and keeps only each query's nearest so far.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import settle, table
 
 NEAREST, EVERY = 20, 20
-#: Rows of a block of candidates and of queries; half-width of the error bound in standard deviations; seed of the rotation.
-BLOCK, QUERIES, WIDTH, SEED = 2048, 1024, 6.0, 20240521
+#: Candidates met at once and queries in a block; parts of the candidates; half-width of the error bound in standard deviations; seed of the rotation.
+BLOCK, QUERIES, PARTS, WIDTH, SEED = 1024, 4096, 16, 6.0, 20240521
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -46,57 +47,74 @@ def bounds(bits: np.ndarray, scalar: np.ndarray, length: np.ndarray, queries: np
     return estimate, WIDTH * np.linalg.norm(queries, axis=1)[:, None] * spread[None, :] + 1e-5 * np.abs(estimate)
 
 
-def blocks(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows (vec_id, vector), of one dimension each -> rows of up to size vectors of the same dimension with their codes."""
-
-    def pack(dim: int, ids: list, vectors: list) -> tuple:
-        x = np.stack(vectors)
-        bits, scalar, length = encode(x)
-        return dim, np.array(ids, np.int64).tobytes(), x.tobytes(), bits.tobytes(), scalar.tobytes(), length.tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[list, list]] = {}
-        names = ["dim", "ids", "vectors", "bits", "scalars", "lengths"]
-        for batch in batches:
-            out = []
-            for i, v in zip(batch["vec_id"].tolist(), batch["vector"]):
-                ids, vectors = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                vectors.append(np.asarray(v, np.float64))
-                if len(ids) == size:
-                    out.append(pack(len(v), ids, vectors))
-                    del held[len(v)]
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        for dim, (ids, vectors) in held.items():
-            yield pd.DataFrame([pack(dim, ids, vectors)], columns=names)
-
-    return run
+def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds dim, bits, scalar and length to rows (vec_id, vector)."""
+    for batch in batches:
+        vectors = [np.asarray(v, np.float64) for v in batch["vector"]]
+        dims = np.array([len(v) for v in vectors], np.int32)
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            x = np.stack([vectors[i] for i in at])
+            bits, scalar, length = encode(x)
+            yield pd.DataFrame({"vec_id": batch["vec_id"].to_numpy()[at], "dim": dim, "vector": [v.tobytes() for v in x], "bits": [b.tobytes() for b in bits], "scalar": scalar, "length": length})
+
+
+class Best:
+    """The k nearest so far of a block of queries."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.queries, self.k = ids, queries, k
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+        self.reach = np.full(len(ids), -np.inf)  # no score below it can be among the k nearest
+
+    def meet(self, ids: np.ndarray, x: np.ndarray, bits: np.ndarray, scalar: np.ndarray, length: np.ndarray) -> None:
+        estimate, wide = bounds(bits, scalar, length, self.queries)
+        other = self.ids[:, None] != ids[None, :]
+        if len(ids) >= self.k:
+            low = np.where(other, estimate - wide, -np.inf)
+            self.reach = np.maximum(self.reach, np.partition(low, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        may = other & (estimate + wide >= self.reach[:, None])
+        for j in np.flatnonzero(may.any(axis=1)):
+            c = np.flatnonzero(may[j])
+            i, s = self.found[j]
+            i, s = np.append(i, ids[c]), np.append(s, (x[c] * self.queries[j]).sum(axis=1))
+            top = np.lexsort((i, -s))[: self.k]
+            self.found[j] = i[top], s[top]
+            if len(top) == self.k:
+                self.reach[j] = max(self.reach[j], s[top[-1]])
+
+    def rows(self) -> pd.DataFrame:
+        sizes = [len(i) for i, _ in self.found]
+        return pd.DataFrame({"query_id": np.repeat(self.ids, sizes), "vec_id": np.concatenate([i for i, _ in self.found]), "score": np.concatenate([s for _, s in self.found])})
 
 
 def searched(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Pairs of a candidate block and a query block -> the k best candidates of the block for each query."""
+    """Rows in order of ask, part and dim, queries before candidates -> the k nearest in the part for each query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, asks, best = None, [], None
         for batch in batches:
-            for b in batch.itertuples():
-                dim = b.dim
-                ids, x = np.frombuffer(b.ids, np.int64), np.frombuffer(b.vectors).reshape(-1, dim)
-                q_ids, queries = np.frombuffer(b.q_ids, np.int64), np.frombuffer(b.q_vectors).reshape(-1, dim)
-                bits = np.frombuffer(b.bits, np.uint8).reshape(len(ids), -1)
-                estimate, wide = bounds(bits, np.frombuffer(b.scalars), np.frombuffer(b.lengths), queries)
-                low = estimate - wide
-                low[q_ids[:, None] == ids[None, :]] = -np.inf
-                reach = np.partition(low, max(low.shape[1] - k, 0), axis=1)[:, max(low.shape[1] - k, 0)]
-                asks, found, scores = [], [], []
-                for j in range(len(q_ids)):
-                    c = np.flatnonzero((estimate[j] + wide[j] >= reach[j]) & (ids != q_ids[j]))
-                    s = (x[c] * queries[j]).sum(axis=1)
-                    top = np.lexsort((ids[c], -s))[:k]
-                    asks.append(np.full(len(top), q_ids[j]))
-                    found.append(ids[c[top]])
-                    scores.append(s[top])
-                yield pd.DataFrame({"query_id": np.concatenate(asks), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
+            for key, rows in batch.groupby(["ask", "part", "dim"], sort=False):
+                if key != now:
+                    if best is not None:
+                        yield best.rows()
+                    now, asks, best = key, [], None
+                dim = key[2]
+                matrix = lambda r: np.frombuffer(b"".join(r["vector"])).reshape(-1, dim)  # noqa: B023, E731
+                q = rows[rows["role"] == 0]
+                if len(q):
+                    asks.append((q["vec_id"].to_numpy(), matrix(q)))
+                c = rows[rows["role"] == 1]
+                if not len(c) or not asks:
+                    continue
+                if best is None:
+                    best = Best(np.concatenate([i for i, _ in asks]), np.concatenate([v for _, v in asks]), k)
+                for i in range(0, len(c), BLOCK):
+                    part = c[i : i + BLOCK]
+                    bits = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), -1)
+                    best.meet(part["vec_id"].to_numpy(), matrix(part), bits, part["scalar"].to_numpy(), part["length"].to_numpy())
+        if best is not None:
+            yield best.rows()
 
     return run
 
@@ -114,14 +132,16 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where(fine)
     if rows.groupBy("vec_id").count().where("count > 1").take(1):
         rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    parts = "dim int, ids binary, vectors binary, bits binary, scalars binary, lengths binary"
-    base = settle(rows.mapInPandas(blocks(BLOCK), parts).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    # queries are few: gathered by hash of id into their own blocks, so that blocks are full
-    asks = rows.where(F.col("vec_id") % every == 0).repartition(F.pmod(F.xxhash64("vec_id"), F.lit(997)))
-    asks = settle(asks.mapInPandas(blocks(QUERIES), parts).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.monotonically_increasing_id().alias("ask")), "queries")
-    pairs = base.select("dim", "block").join(asks.select("dim", "ask"), "dim")  # ids of blocks, not rows
-    pairs = pairs.repartition("block", "ask").join(base.drop("dim"), "block").join(asks.drop("dim"), "ask")
-    found = pairs.mapInPandas(searched(k), "query_id long, vec_id long, score double")
+    base = settle(rows.mapInPandas(encoded, "vec_id long, dim int, vector binary, bits binary, scalar double, length double"), "codes")
+    asked = base.where(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-asked.count() // QUERIES))
+    split = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # each block of queries meets all candidates, in PARTS tasks
+    queries = asked.select("*", split(blocks).alias("ask"), each(PARTS).alias("part"), F.lit(0).alias("role"))
+    meeting = base.select("*", each(blocks).alias("ask"), split(PARTS).alias("part"), F.lit(1).alias("role")).unionByName(queries)
+    meeting = meeting.repartition("ask", "part").sortWithinPartitions("ask", "part", "dim", "role")
+    found = meeting.mapInPandas(searched(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
