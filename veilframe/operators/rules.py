@@ -11,7 +11,7 @@ from veilframe.functions.text import inn_valid, luhn_valid, snils_valid, starts_
 from veilframe.functions.types import FLAG, NAME_FLAGS
 from veilframe.operators.lexer import by_place
 
-WINDOWS = (2, 3, 4, 5, 6, 8, 10, 12, 20)
+WINDOWS = (2, 4, 5, 6, 8, 10, 12, 20)
 DISTANCES = ("kw_issue", "kw_birth", "kw_inn", "kw_passport", "kw_dl")
 FAR = 1 << 30
 SPAN = "array<struct<rule:string,ty:string,start:int,end:int,start_b:int,end_b:int,lo:int,hi:int,score:int,digits:string>>"
