@@ -19,7 +19,7 @@ from veilframe.llm.common import settle, table
 #: Words that insult people.
 INSULTS = "clown disgusting idiot loser moron pathetic scum stupid trash worthless"
 #: Training sample: at most so many documents, of so many distinct features in all.
-MOST_TRAINED, MOST_FEATURES = 20_000, 8_000_000
+MOST_TRAINED, MOST_FEATURES = 6_000, 2_000_000
 BUCKETS = 1 << 16
 #: A document goes if the scorer gives more than this probability of poor quality.
 REJECT = 0.5
@@ -147,7 +147,7 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     if not counts:
         return np.zeros(BUCKETS + 1), np.zeros((2, len(HEURISTICS))), 0.0
     share, rates, posterior = expectation_maximisation(counts)
-    # the sample is the texts of smallest hash, the same in every run; a sixteenth more than are kept is asked for
+    # the sample is about MOST_TRAINED texts by hash, the same in every run
     part = min(1.0, MOST_TRAINED / sum(counts.values()))
     chosen = text.where(F.pmod(F.xxhash64("_t"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))) if part < 1 else text
 
