@@ -96,6 +96,19 @@ def test_near_duplicate_classes(spark, docs):
     assert all(k == min(v) for k, v in got.items())
 
 
+def test_copies_that_only_meet_through_their_original(spark):
+    base, r = words(200, 5).split(), random.Random(6)
+    star = [" ".join(w if r.random() > 0.02 else words(1, 1000 * k + i) for i, w in enumerate(base)) for k in range(240)]
+    star[120] = " ".join(base)
+    other = words(200, 7).split()
+    star += [" ".join(base[: 5 * k] + other[5 * k :]) for k in range(1, 40)]
+    rows = [(i, t, "x") for i, t in enumerate(star)]
+    got = collections.defaultdict(set)
+    for r in bagminhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r.class_k].add(r["_k"])
+    assert set(map(frozenset, got.values())) == classes(rows)
+
+
 def test_signature_is_unbiased():
     r = np.random.default_rng(1)
     items = r.integers(1, 2**63, 400).astype(np.uint64)

@@ -25,6 +25,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Candidates are sent to executors whole up to so many rows (24 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Pivots are tried in blocks that give about so many pairs at most, but one at least; a bucket's members are dealt by a salt.
+MOST_PAIRS, SALTS = 50_000_000, 16
 SIGNATURE = "_k long, _h long, n_words long, s1 long, s2 long, bands array<long>"
 
 
@@ -142,9 +144,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with the same sequence of words are copies, one of which stands for all. Those whose 5-word shingle
     multisets have a weighted Jaccard similarity of at least 0.8 are linked; classes are the components of the links.
-    In every band's bucket each member meets the bucket's smallest member; those that are still apart then meet
-    their neighbour in the order of the next band's value, and at last the smallest member of the bucket's second
-    class, so a bucket of n members gives at most 3 n pairs and no pair is dropped by a cap.
+    In every band's bucket members are tried as pivots in blocks, those first that meet most others; a pivot meets
+    all later members of other classes than its own. With the second block, members that are apart also meet their
+    neighbour in the order of the next band's value. This goes on until every pair of a bucket is in one class, has
+    been verified, or differs too much in size, so classes are those of all pairs that meet in a band.
 
     A text of fewer than five words has one shingle, of all its words. Texts without words (null, empty, blank)
     are copies of each other. Null ids rank after all others. Repeated rows share a class. An empty table gives an
@@ -154,27 +157,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sig = settle(d.mapInPandas(signatures, SIGNATURE).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     same = ["s1", "s2", "n_words"]
     reps = settle(sig.groupBy(*same).agg(F.min(F.struct("_k", "uid", "_h", "bands")).alias("rep")).select(*same, "rep.*"), "copies")
-    of_bucket = Window.partitionBy("band", "value")
-    buckets = reps.select("uid", "bands", F.posexplode("bands").alias("band", "value"))
-    buckets = buckets.select("uid", "band", "value", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"))
-    buckets = buckets.withColumn("pivot", F.min("uid").over(of_bucket)).withColumn("side", F.lag("uid").over(of_bucket.orderBy("next", "uid")))
-    buckets = buckets.where("uid <> pivot or side is not null").select("uid", "band", "value", "pivot", "side")
-    buckets = settle(buckets, "buckets")
+    of_bucket, of_uid = Window.partitionBy("band", "value"), Window.partitionBy("uid")
+    buckets = reps.select("uid", F.greatest(F.col("n_words") - SHINGLE + 1, F.lit(1)).alias("size"), "bands", F.posexplode("bands").alias("band", "value"))
+    buckets = buckets.select("uid", "size", "band", "value", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"))
+    buckets = buckets.withColumn("met", F.count("*").over(of_bucket)).where("met > 1").withColumn("met", F.sum("met").over(of_uid))
+    buckets = buckets.withColumn("rank", F.row_number().over(of_bucket.orderBy(F.col("met").desc(), "uid")) - 1)
+    side = [F.lag(c).over(of_bucket.orderBy("next", "uid")).alias(f"side_{c}") for c in ("uid", "size")]
+    buckets = settle(buckets.select("uid", "size", "band", "value", "rank", *side), "buckets")
     keys = reps.select("uid", "_k", "_h")
 
-    links = _links(d, keys, buckets.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct())
-    roots = settle(components(links), "roots")
-
-    def rooted(df: DataFrame, of: str, out: str) -> DataFrame:
+    def rooted(df: DataFrame, roots: DataFrame | None, of: str, out: str) -> DataFrame:
+        if roots is None:
+            return df.withColumn(out, F.col(of))
         return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(out)), of, "left").withColumn(out, F.coalesce(out, of))
 
-    apart = rooted(rooted(buckets, "uid", "ru"), "side", "rs").where("ru <> rs").select(F.least("uid", "side").alias("a"), F.greatest("uid", "side").alias("b"))
-    third = rooted(rooted(buckets, "uid", "ru"), "pivot", "rp").where("ru <> rp")
-    third = third.withColumn("second", F.min("uid").over(of_bucket)).where("uid <> second").select(F.col("second").alias("a"), F.col("uid").alias("b"))
-    links2 = _links(d, keys, rooted(rooted(apart.unionByName(third).distinct(), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"))
-    roots = settle(components(links.unionByName(links2)), "roots")
+    def pair(df: DataFrame, one: str, two: str, size_one: str, size_two: str) -> DataFrame:
+        """Pairs that can be similar: the overlap is at most the smaller size, the union at least the larger one."""
+        df = df.where(F.least(size_one, size_two) >= F.lit(SIMILAR) * F.greatest(size_one, size_two))
+        return df.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
-    reps = rooted(reps.select(*same, "uid", F.col("_k").alias("rep_k")), "uid", "root")
+    roots, first, width, live = None, 0, 1, buckets
+    while True:
+        # members of buckets that still hold two classes and a pivot to try
+        live = rooted(live.select(*buckets.columns), roots, "uid", "root")
+        live = live.withColumns({"_apart": F.min("root").over(of_bucket) != F.max("root").over(of_bucket), "_last": F.max("rank").over(of_bucket)})
+        live = settle(live.where(F.col("_apart") & (F.col("_last") > first)).drop("_apart", "_last"), "live")
+        left = live.count()
+        if not left:
+            break
+        width = max(1, min(width, MOST_PAIRS // left))
+        pivots = live.where(F.col("rank").between(first, first + width - 1))
+        pivots = pivots.select("band", "value", F.col("uid").alias("pivot"), F.col("size").alias("pivot_size"), F.col("rank").alias("pivot_rank"), F.col("root").alias("pivot_root"))
+        pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = live.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(pivots, ["band", "value", "salt"])
+        pairs = pair(met.where("pivot_rank < rank and pivot_root <> root"), "pivot", "uid", "pivot_size", "size")
+        if first == 1:
+            apart = rooted(live.where("side_uid is not null"), roots, "side_uid", "side_root").where("root <> side_root")
+            pairs = pairs.unionByName(pair(apart, "side_uid", "uid", "side_size", "size")).distinct()
+        links = _links(d, keys, pairs)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = settle(components(links), "roots")
+        first, width = first + width, width * 8
+
+    reps = rooted(reps.select(*same, "uid", F.col("_k").alias("rep_k")), roots, "uid", "root")
     least = reps.groupBy("root").agg(F.min("rep_k").alias("class_k"))
     classes = settle(reps.join(least, "root").select(*same, "class_k"), "classes")
     return sig.select("_k", "_h", "uid", *same).join(classes, same).drop("s1", "s2")
