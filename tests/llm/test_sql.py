@@ -1,7 +1,9 @@
 """Operators whose results SQL can express, on the small tables and on awkward rows."""
 
+import duckdb
+import pandas as pd
 import pytest
-from oracle import SMALL, of_frame, of_sql
+from oracle import SMALL, of_frame, of_sql, rows
 
 from veilframe.llm import curriculum, license_scan, queries, rabitq, risk_rules, warc
 
@@ -43,6 +45,21 @@ def test_scan(spark, awkward):
     assert license_scan.scan(awkward.limit(0)).count() == 0
 
 
+def test_scan_scores_all_words_of_a_template(spark):
+    notice = {label: text for label, _, text in license_scan.TEMPLATES}
+    rare = " ".join(["universal charge person binary conditions mozilla dedication unencumbered foundation published gnu cc0"] * 2)
+    texts = [notice["mit"] + " and then " + notice["bsd"], rare + " " + notice["isc"], "plain words", None]
+    texts += [word for word in ("license", "software", "licensed", "general") for _ in range(5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert {"bsd", "mit"} <= set(got[0].split(",")) and "isc" in got[1].split(",") and got[2] == got[3] == ""
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    full = license_scan.ORACLE.replace(f"<= {license_scan.RAREST}", f"<= {len(license_scan.VOCABULARY)}")
+    out = c.execute(full)
+    assert of_frame(license_scan.scan(docs)) == rows([x[0] for x in out.description], out.fetchall())
+
+
 def test_rules(spark, awkward):
     labels = spark.createDataFrame([(1, 1), (6, 0), (6, None), (None, 1)], "doc_id long, quality int")
     rows = {r.doc_id: r for r in risk_rules.judge(awkward, labels).collect()}

@@ -1,14 +1,14 @@
 """Licence notices by a positional index of rare words. DataFrame functions only.
 
 Templates are short notices. Their words, but for stop words, are posted with their positions. In one pass over the
-texts each document keeps where it has posted words. Document frequencies over all documents give the words' IDF; a
-document's rarest licence words are looked up, and postings of one template that agree on where the template would
+texts each document keeps where it has posted words. Document frequencies over all documents give the words' IDF; all
+posted words of a document are looked up, and postings of one template that agree on where the template would
 start vote for it with their IDF. A template is found where enough of its IDF agrees and the document has its key phrase.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import let, settle, table
@@ -33,7 +33,7 @@ TEMPLATES = (
     ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 STOP = frozenset("a and any are as by for form in is it may not of or that the this to under use with you work 0 1 2 v".split())
-#: A document looks up so many of its rarest licence words; a template needs so much of its IDF.
+#: The SQL looks up so many of a document's rarest licence words (scan all of them); a template needs so much of its IDF.
 RAREST, ENOUGH = 12, 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -97,9 +97,7 @@ def scan(docs: DataFrame) -> DataFrame:
     postings = spark.createDataFrame([(t, label, key, w, p) for t, (label, key, notice) in enumerate(TEMPLATES) for p, w in enumerate(notice.split()) if w not in STOP], "template int, label string, key string, word string, place int")
     postings = postings.join(F.broadcast(idf), "word")
     mass = postings.groupBy("template", "label", "key").agg(F.sum("idf").alias("mass"))
-    rarest = Window.partitionBy("_uid").orderBy(F.col("idf").desc(), "word")
-    words = hits.select("_uid", "word").distinct().join(F.broadcast(idf), "word").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= RAREST)
-    agree = hits.join(words.select("_uid", "word"), ["_uid", "word"]).join(F.broadcast(postings), "word")
+    agree = hits.join(F.broadcast(postings), "word")
     agree = agree.groupBy("_uid", "template", (F.col("at") - F.col("place")).alias("begin")).agg(F.sum("idf").alias("found"))
     agree = agree.groupBy("_uid", "template").agg(F.max("found").alias("found")).join(F.broadcast(mass), "template")
     agree = agree.withColumn("share", F.when(F.col("mass") > 0, F.col("found") / F.col("mass"))).where(F.col("share") >= ENOUGH)
