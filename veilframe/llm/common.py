@@ -17,16 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/veilframe-{uuid.uuid4().hex}/{name}"
+    """A new path in the folder that the driver and all executors share. Spark removes it when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"  # one machine: every task sees it
+    path = f"{base.rstrip('/')}/veilframe-{uuid.uuid4().hex}/{name}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: cuts lineage, and survives the loss of executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(settled: DataFrame) -> None:
+    """Remove what settle() wrote, once nothing reads it any more."""
+    spark = settled.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(settled.settled_at.rsplit("/", 1)[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,10 +53,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def before(df: DataFrame, group: list[str], order: str, value: str, out: str) -> DataFrame:
     """Add out: the sum of value over the rows of the same group that come earlier by the hex string order.
 
-    A group is split into 256 blocks by the first two digits, each summed on its own, so that no group meets
+    A group is split into 4,096 blocks by the first three digits, each summed on its own, so that no group meets
     in one task; only the block totals are summed along the group. df is read twice: settle it first.
     """
-    block = F.substring(order, 1, 2)
+    block = F.substring(order, 1, 3)
     df = df.withColumn("_block", block)
     sums = df.groupBy(*group, "_block").agg(F.sum(value).alias("_sum"))
     along = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,14 +1,16 @@
 """Licence notices by a positional index of rare words. DataFrame functions only.
 
 Templates are short notices. Their words, but for stop words, are posted with their positions. In one pass over the
-texts each document keeps where it has posted words. Document frequencies over all documents give the words' IDF; all
-posted words of a document are looked up, and postings of one template that agree on where the template would
-start vote for it with their IDF. A template is found where enough of its IDF agrees and the document has its key phrase.
+texts each document keeps where it has posted words. Document frequencies over all documents give the words' IDF. The
+index is of each template's words of highest IDF: as many as hold more of its IDF than a found template may lack, so
+that every place where a template can be found has at least one of them. Those words of a document nominate places at
+which a template would start; there all postings of the template are intersected with the document's words by relative
+position. A template is found where enough of its IDF agrees and the document has its key phrase.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import let, settle, table
@@ -33,8 +35,8 @@ TEMPLATES = (
     ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 STOP = frozenset("a and any are as by for form in is it may not of or that the this to under use with you work 0 1 2 v".split())
-#: The SQL looks up so many of a document's rarest licence words (scan all of them); a template needs so much of its IDF.
-RAREST, ENOUGH = 12, 0.6
+#: A template needs so much of its IDF.
+ENOUGH = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 VOCABULARY = sorted({w for _, _, notice in TEMPLATES for w in notice.split()} - STOP)
@@ -84,23 +86,26 @@ def scan(docs: DataFrame) -> DataFrame:
     base_labels and labels, with those of found templates: distinct, sorted, joined by commas, else empty; score:
     1 with a base phrase, else the largest share of a found template's IDF, else 0.
 
-    Null texts are empty and have no words. Repeated rows and null ids give rows like others. An empty table gives
-    an empty result. Extra columns are ignored.
+    Null texts are empty and have no words. Repeated rows and null ids give rows like others. A text may hold any
+    number of notices, and be of any length. An empty table gives an empty result. Extra columns are ignored.
     """
     spark = docs.sparkSession
     seen = settle(_seen(docs).withColumn("_uid", F.monotonically_increasing_id()), "licence_words")
     hits = seen.where(F.size("hits") > 0).select("_uid", F.explode("hits").alias("h")).select("_uid", "h.word", "h.at")
     total = seen.count()
-    frequency = hits.groupBy("word").agg(F.count_distinct("_uid").alias("df"))
-    # a row for each vocabulary word, so always small
-    idf = frequency.select("word", F.log(F.lit(total + 1) / (F.col("df") + 1)).alias("idf"))
-    postings = spark.createDataFrame([(t, label, key, w, p) for t, (label, key, notice) in enumerate(TEMPLATES) for p, w in enumerate(notice.split()) if w not in STOP], "template int, label string, key string, word string, place int")
-    postings = postings.join(F.broadcast(idf), "word")
+    posted = spark.createDataFrame([(t, label, key, w, p) for t, (label, key, notice) in enumerate(TEMPLATES) for p, w in enumerate(notice.split()) if w not in STOP], "template int, label string, key string, word string, place int")
+    # from here to mass, tables have a row for each posting, so they are always small
+    frequency = seen.where(F.size("hits") > 0).select(F.explode(F.array_distinct("hits.word")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    postings = posted.join(F.broadcast(frequency), "word", "left").withColumn("idf", F.log(1 + F.lit(total) / F.coalesce("df", F.lit(1))))
     mass = postings.groupBy("template", "label", "key").agg(F.sum("idf").alias("mass"))
-    agree = hits.join(F.broadcast(postings), "word")
-    agree = agree.groupBy("_uid", "template", (F.col("at") - F.col("place")).alias("begin")).agg(F.sum("idf").alias("found"))
+    rarer = Window.partitionBy("template").orderBy(F.col("idf").desc(), "place").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = postings.withColumns({"before": F.coalesce(F.sum("idf").over(rarer), F.lit(0.0)), "all": F.sum("idf").over(Window.partitionBy("template"))})
+    index = ranked.where(F.col("before") <= (1 - ENOUGH + 1e-9) * F.col("all")).select("template", "word", "place")
+    places = hits.join(F.broadcast(index), "word").select("_uid", "template", (F.col("at") - F.col("place")).alias("begin")).distinct()
+    due = places.join(F.broadcast(postings.select("template", "word", "place", "idf")), "template").select("_uid", "template", "begin", "word", (F.col("begin") + F.col("place")).alias("at"), "idf")
+    agree = due.join(hits, ["_uid", "word", "at"]).groupBy("_uid", "template", "begin").agg(F.sum("idf").alias("found"))
     agree = agree.groupBy("_uid", "template").agg(F.max("found").alias("found")).join(F.broadcast(mass), "template")
-    agree = agree.withColumn("share", F.when(F.col("mass") > 0, F.col("found") / F.col("mass"))).where(F.col("share") >= ENOUGH)
+    agree = agree.withColumn("share", F.col("found") / F.col("mass")).where(F.col("share") >= ENOUGH)
     keys = seen.where(F.size("keys") > 0).select("_uid", F.explode("keys").alias("key"))
     found = agree.join(keys, ["_uid", "key"]).groupBy("_uid").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     d = seen.join(found, "_uid", "left")
@@ -130,14 +135,13 @@ w AS (SELECT uid, words, unnest(words) AS word, unnest(range(len(words))) AS spo
 base AS ({base}),
 p(template, label, key, word, place) AS (VALUES {rows}),
 hits AS (SELECT uid, word, spot FROM w WHERE word IN ({", ".join(map(q, VOCABULARY))})),
-idf AS (SELECT word, ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT uid) + 1)) AS idf FROM hits GROUP BY word),
-post AS (SELECT p.*, idf FROM p JOIN idf USING (word)),
+df AS (SELECT word, count(DISTINCT uid) AS df FROM hits GROUP BY word),
+post AS (SELECT p.*, ln(1 + (SELECT count(*) FROM d) / coalesce(df, 1)) AS idf FROM p LEFT JOIN df USING (word)),
 mass AS (SELECT template, label, key, sum(idf) AS mass FROM post GROUP BY ALL),
-rare AS (SELECT uid, word FROM (SELECT DISTINCT uid, word FROM hits) JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY uid ORDER BY idf DESC, word) <= {RAREST}),
-votes AS (SELECT uid, template, spot - place AS start, sum(idf) AS found FROM hits JOIN rare USING (uid, word) JOIN post USING (word) GROUP BY ALL),
+votes AS (SELECT uid, template, spot - place AS start, sum(idf) AS found FROM hits JOIN post USING (word) GROUP BY ALL),
 best AS (SELECT uid, template, max(found) AS found FROM votes GROUP BY ALL),
 ok AS (SELECT b.uid, m.label, found / mass AS share FROM best b JOIN mass m USING (template) JOIN d ON d.uid = b.uid
-       WHERE mass > 0 AND found / mass >= {ENOUGH} AND contains(' ' || array_to_string(words, ' ') || ' ', ' ' || key || ' ')),
+       WHERE found / mass >= {ENOUGH} AND contains(' ' || array_to_string(words, ' ') || ' ', ' ' || key || ' ')),
 b AS (SELECT uid, count(*) AS n, min(spot) AS lo, max(spot) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY uid),
 l AS (SELECT uid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT uid, label FROM base UNION ALL SELECT uid, label FROM ok) GROUP BY uid),
 s AS (SELECT uid, max(share) AS share FROM ok GROUP BY uid)
