@@ -1,11 +1,12 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejections. DataFrame functions only.
 
-The rules compare shares of a text (signs, repeated lines and words, capitals, exclamations) with cutoffs that all
-scale with one level, so a lower level only rejects more. In each stratum (language) the sound documents of a labelled
-holdout say how many a level rejects falsely; an exact binomial test keeps the levels at which a false rejection rate
-of RISK or more would show so few with a probability of at most CONFIDENCE, divided by the number of strata. Levels are
-nested and the tail grows with the count, so testing from the mildest level on needs no further correction. Of the levels
-left, the one that rejects most of the labelled poor documents is used, the mildest of equals; with none, no rule applies.
+Each rule compares a share of a text (signs, repeated lines and words, capitals, exclamations) with a cutoff of its own.
+In each stratum (language) the sound documents of a labelled holdout say how many a cutoff rejects falsely; an exact
+binomial test keeps the cutoffs at which a false rejection rate of RISK / rules or more would show so few with a
+probability of at most CONFIDENCE / (strata * rules). So with confidence 1 - CONFIDENCE all rules together reject at most
+RISK of the sound documents in every stratum. A rule's cutoffs are nested and the tail grows with the count, so testing
+them from the mildest on needs no further correction. Of a rule's safe cutoffs the one that rejects most labelled poor
+documents beyond the sound ones is used, the mildest of equals; where none rejects more poor than sound, the rule does not apply.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import WORD, let, settle, table
 
-RISK, CONFIDENCE = 0.02, 0.05
-#: Levels are steps of 1/16 of the units below, up to 4 units.
+RISK, CONFIDENCE = 0.05, 0.05
+#: Cutoffs are whole levels: steps of 1/16 of the units below, up to 4 units.
 STEPS, LEVELS = 16, 64
 UNITS = {"signs": 0.1, "lines": 0.5, "repeats": 0.4, "capitals": 0.5, "marks": 0.4}
-#: Longer tails use the Chernoff bound, which is never below the exact value.
-MOST_TERMS = 100_000
 SIGNS = "[^#*$%&|<>]+"
 NOT_UPPER, NOT_MARK = r"[^\p{Lu}]+", "[^!?]+"
 
@@ -46,7 +45,7 @@ def repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each text; level: the mildest level at which the rules reject it."""
+    """doc_id, lang and the counts of each text; levels: for each rule, the mildest level that rejects it."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def counts(words: Column) -> Column:
@@ -66,9 +65,9 @@ def measure(docs: DataFrame) -> DataFrame:
         "signs": F.col("n_symbols") / F.greatest("word_chars", one), "lines": F.col("n_dup_lines") / F.greatest("n_lines", one), "repeats": F.col("n_repeat_words") / F.greatest("n_words", one),
         "capitals": F.col("n_upper") / F.greatest("word_chars", one), "marks": F.col("n_marks") / F.greatest("n_words", one),
     }
-    level = F.greatest(*[F.floor(share * STEPS / UNITS[k]) for k, share in shares.items()])
+    levels = F.struct(*[F.least(F.floor(share * STEPS / UNITS[k]), F.lit(LEVELS)).cast("long").alias(k) for k, share in shares.items()])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return d.withColumn("level", F.least(level, F.lit(LEVELS))).withColumn("base_failed", failed)
+    return d.withColumn("levels", levels).withColumn("base_failed", failed)
 
 
 def log_gamma(x: Column) -> Column:
@@ -81,44 +80,53 @@ def log_gamma(x: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X of n trials at p, an upper bound of it where k is very large; 1 if k / n is not below p."""
+    """P(X <= k) for X of n trials at p; 1 if k / n is not below p.
+
+    Below the mean terms fall at least as fast as those of a normal law, so those more than nine standard deviations
+    below the first are under double precision and are left out. The number of terms grows with the root of n.
+    """
     k, n = k.cast("double"), n.cast("double")
 
     def term(j: Column) -> Column:
         j = j.cast("double")
         return F.exp(log_gamma(n + 1) - log_gamma(j + 1) - log_gamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p))
 
-    exact = F.aggregate(F.sequence(F.lit(0), F.least(k, F.lit(float(MOST_TERMS))).cast("int")), F.lit(0.0), lambda a, j: a + term(j))
-    q = F.greatest(k, F.lit(0.5)) / n
-    chernoff = F.exp(-n * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p))))
-    return F.when(k >= n * p, F.lit(1.0)).when(k > MOST_TERMS, chernoff).otherwise(exact)
+    low = F.greatest(F.lit(0.0), k - F.ceil(9 * F.sqrt(n * p * (1 - p))) - 50)
+    below = F.aggregate(F.sequence(low.cast("long"), k.cast("long")), F.lit(0.0), lambda a, j: a + term(j))
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(below)
 
 
-def choose(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, cut): documents of the stratum whose level is cut or more go. Strata without a safe level are absent."""
+def choose(measured: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """(stratum, cut_<rule>, ...): documents of the stratum whose level of a rule is at its cut or more go; a null cut: the rule does not apply."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = measured.where("not base_failed").join(labels, "doc_id").groupBy("lang", "level")
+    rules = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"levels.{k}").alias("level")) for k in UNITS]))
+    held = measured.where("not base_failed").select(F.col("doc_id").alias("_id"), "lang", "levels").join(labels, F.col("_id") == F.col("doc_id"))
+    held = held.select("lang", "quality", rules.alias("r")).groupBy("lang", "r.rule", "r.level")
     held = held.agg(F.count_if(F.col("quality") == 1).alias("sound"), F.count_if(F.col("quality") == 0).alias("poor"))
-    down = Window.partitionBy("lang").orderBy(F.col("level").desc())
-    by = held.withColumns({"k": F.sum("sound").over(down), "hit": F.sum("poor").over(down), "n": F.sum("sound").over(Window.partitionBy("lang"))})
-    strata = held.select("lang").distinct().agg(F.count("*")).first()[0]
-    safe = by.where("level > 0 and n > 0").where(binomial_tail(F.col("k"), F.col("n"), RISK) <= CONFIDENCE / max(strata, 1))
-    return safe.groupBy(F.col("lang").alias("stratum")).agg(F.max_by("level", F.struct("hit", "level")).alias("cut"))
+    strata = max(1, held.select("lang").distinct().count())
+    of_rule = Window.partitionBy("lang", "rule")
+    down = of_rule.orderBy(F.col("level").desc())
+    by = held.withColumns({"k": F.sum("sound").over(down), "hit": F.sum("poor").over(down), "n": F.sum("sound").over(of_rule)}).where("level > 0 and n > 0 and hit > k")
+    safe = by.where(binomial_tail(F.col("k"), F.col("n"), risk / len(UNITS)) <= confidence / (strata * len(UNITS)))
+    cuts = safe.groupBy("lang", "rule").agg(F.max_by("level", F.struct(F.col("hit") - F.col("k"), "level")).alias("cut"))
+    return cuts.groupBy(F.col("lang").alias("stratum")).agg(*[F.max(F.when(F.col("rule") == k, F.col("cut"))).alias(f"cut_{k}") for k in UNITS])
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row for each row of docs(doc_id, text, lang, ...): the counts, base_failed, kept, level and cut.
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """A row for each row of docs(doc_id, text, lang, ...): the counts, base_failed, kept and failed, the rules that reject it.
 
     labels(doc_id, quality): the holdout; of several labels of a document the worst counts, null ones do not. Null
     texts have no words and fail the base rules. A null language is a stratum. Repeated rows give rows like others,
-    and each counts in the holdout. Empty labels: only the base rules apply. Empty docs: an empty result. Extra
-    columns are ignored.
+    and each counts in the holdout. Empty labels: only the base rules apply. Empty docs: an empty result. Very long
+    texts are measured whole. Extra columns are ignored.
     """
     measured = settle(measure(docs), "measured")
-    cuts = choose(measured, labels)
+    cuts = choose(measured, labels, risk, confidence)
     d = measured.join(cuts, F.col("lang").eqNullSafe(F.col("stratum")), "left")
-    kept = ~F.col("base_failed") & (F.col("cut").isNull() | (F.col("level") < F.col("cut")))
-    return d.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level", "cut")
+    failed = F.array_compact(F.array(*[F.when(F.col(f"levels.{k}") >= F.col(f"cut_{k}"), F.lit(k)) for k in UNITS]))
+    d = d.withColumn("failed", F.array_join(failed, ","))
+    kept = ~F.col("base_failed") & (F.col("failed") == "")
+    return d.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
 def op7_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +138,11 @@ def _oracle() -> str:
         "signs": "n_symbols / greatest(word_chars, 1)", "lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)",
         "capitals": "n_upper / greatest(word_chars, 1)", "marks": "n_marks / greatest(n_words, 1)",
     }
-    levels = ", ".join(f"floor({x} * {STEPS} / {UNITS[k]}::DOUBLE)" for k, x in share.items())
+    levels = ", ".join(f"least({LEVELS}, floor({x} * {STEPS} / {UNITS[k]}::DOUBLE))::BIGINT AS {k}" for k, x in share.items())
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, '{k}' AS rule, {k} AS level FROM m WHERE NOT base_failed" for k in UNITS)
+    cut = ", ".join(f"max(cut) FILTER (rule = '{k}') AS cut_{k}" for k in UNITS)
+    failed = ", ".join(f"CASE WHEN {k} >= cut_{k} THEN '{k}' END" for k in UNITS)
+    p = RISK / len(UNITS)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT uid, unnest(range(len(w) - 2)) AS i, w FROM d WHERE len(w) > 3),
@@ -141,14 +153,15 @@ m0 AS (SELECT uid, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_stri
   length(regexp_replace(t, '{SIGNS}', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '{NOT_UPPER}', '', 'g'))::BIGINT AS n_upper,
   length(regexp_replace(t, '{NOT_MARK}', '', 'g'))::BIGINT AS n_marks, len(solid) AS n_lines, (len(solid) - len(list_distinct(solid)))::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM l LEFT JOIN r USING (uid)),
-m AS (SELECT *, least({LEVELS}, greatest({levels}))::BIGINT AS level, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m0),
+m AS (SELECT *, {levels}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m0),
 lab AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT lang, level, count(*) FILTER (quality = 1) AS sound, count(*) FILTER (quality = 0) AS poor FROM m JOIN lab USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
-b AS (SELECT *, sum(sound) OVER (PARTITION BY lang ORDER BY level DESC) AS k, sum(poor) OVER (PARTITION BY lang ORDER BY level DESC) AS hit, sum(sound) OVER (PARTITION BY lang) AS n FROM h),
-p AS (SELECT *, CASE WHEN k >= n * {RISK} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))) FROM range(k::BIGINT + 1) r(j)) END AS tail FROM b WHERE level > 0 AND n > 0),
-c AS (SELECT lang AS stratum, arg_max(level, hit * 1000 + level) AS cut FROM p WHERE tail <= {CONFIDENCE} / greatest(1, (SELECT count(*) FROM (SELECT DISTINCT lang FROM h))) GROUP BY lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (cut IS NULL OR level < cut) AS kept, level, cut
-FROM m LEFT JOIN c ON lang IS NOT DISTINCT FROM stratum"""
+h AS (SELECT lang, rule, level, count(*) FILTER (quality = 1) AS sound, count(*) FILTER (quality = 0) AS poor FROM ({long}) JOIN lab USING (doc_id) GROUP BY ALL),
+b AS (SELECT *, sum(sound) OVER w AS k, sum(poor) OVER w AS hit, sum(sound) OVER (PARTITION BY lang, rule) AS n FROM h WINDOW w AS (PARTITION BY lang, rule ORDER BY level DESC)),
+p AS (SELECT *, CASE WHEN k >= n * {p} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))) FROM range(k::BIGINT + 1) r(j)) END AS tail FROM b WHERE level > 0 AND n > 0 AND hit > k),
+c AS (SELECT lang, rule, arg_max(level, (hit - k) * 1000 + level) AS cut FROM p WHERE tail <= {CONFIDENCE} / ({len(UNITS)} * greatest(1, (SELECT count(*) FROM (SELECT DISTINCT lang FROM h)))) GROUP BY ALL),
+c2 AS (SELECT lang AS stratum, {cut} FROM c GROUP BY lang),
+f AS (SELECT m.*, array_to_string(list_filter([{failed}], lambda x: x IS NOT NULL), ',') AS failed FROM m LEFT JOIN c2 ON lang IS NOT DISTINCT FROM stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM f"""
 
 
 ORACLE = _oracle()
