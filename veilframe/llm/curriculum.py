@@ -66,16 +66,17 @@ def mix(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SC
 
     size: words; target: what its source is to give; taken: words of this document that the mix takes, over
     copies copies, the last perhaps cut; position: time of the first copy in [0, 1], null if none is taken;
-    positions: of all copies. Within a source documents come in order of the md5 of their id, so reruns agree.
+    positions: of all copies. Within a source documents come in order of the md5 of their id, then of their text
+    (text_md5), so reruns agree in any order of rows: only rows equal in both can change places.
 
     Null text counts no words. A null source is a source of its own, after the others. Documents without words
     take nothing. Repeated rows are documents like others. A null id is read as an empty string. Extra columns
-    are ignored. An empty table gives an empty result.
+    are ignored. Very long texts are counted whole. An empty table gives an empty result.
     """
     sized = docs.select(
         "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"),
-    )
+        F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
+    ).withColumn("_order", F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "text_md5"))
     sized = settle(sized, "sizes")
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     per_source = per_source.withColumnRenamed("source", "_source")
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SC
 
     d = d.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), timed)).otherwise(F.array().cast("array<double>")))
     d = d.withColumn("position", F.get("positions", F.lit(0)))
-    d = d.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "positions")
+    d = d.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "positions", "text_md5")
     return d.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -119,7 +120,7 @@ _SHARE = "before_words / want::DOUBLE"
 ORACLE = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+         md5(coalesce(doc_id::VARCHAR, '')) || md5(coalesce(text, '')) AS o FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS class FROM s0),
 s2 AS (SELECT *, class + 1 AS weight, 3 * source_size AS cap, 3 * source_size / (class + 1)::DOUBLE AS ratio FROM s1),
