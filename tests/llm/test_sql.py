@@ -37,6 +37,12 @@ def test_mix(spark, awkward):
     assert curriculum.mix(awkward.limit(0)).count() == 0
 
 
+def test_mix_agrees_in_any_order_of_rows(spark):
+    rows = [(None if i % 3 == 0 else i % 7, f"w{i} " * (i % 11 + 1), "ab"[i % 2]) for i in range(60)]
+    take = lambda r: sorted((x.doc_id or -1, x["size"], x.text_md5, x.taken) for x in curriculum.mix(spark.createDataFrame(r, "doc_id long, text string, source string")).collect())
+    assert take(rows) == take(rows[::-1]) == take(rows[30:] + rows[:30])
+
+
 def test_scan(spark, awkward):
     rows = {r.doc_id: r for r in license_scan.scan(awkward).collect()}
     r = rows[None]
@@ -45,19 +51,21 @@ def test_scan(spark, awkward):
     assert license_scan.scan(awkward.limit(0)).count() == 0
 
 
-def test_scan_scores_all_words_of_a_template(spark):
+def test_scan_finds_all_notices_of_a_text(spark):
     notice = {label: text for label, _, text in license_scan.TEMPLATES}
     rare = " ".join(["universal charge person binary conditions mozilla dedication unencumbered foundation published gnu cc0"] * 2)
-    texts = [notice["mit"] + " and then " + notice["bsd"], rare + " " + notice["isc"], "plain words", None]
-    texts += [word for word in ("license", "software", "licensed", "general") for _ in range(5)]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    mpl = " mozilla public license " + notice["mpl-2.0"]
+    texts = [notice["mit"] + " and then " + notice["bsd"], rare + " " + notice["isc"], "plain words", None, " and ".join([notice["mit"], notice["bsd"], notice["isc"], mpl]), " . ".join(t for _, _, t in license_scan.TEMPLATES)]
+    texts += [word for word in ("license", "software", "licensed", "general") for _ in range(5)] + ["person " * 500 + notice["bsd"] + " software" * 500]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, word string")
     got = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
-    assert {"bsd", "mit"} <= set(got[0].split(",")) and "isc" in got[1].split(",") and got[2] == got[3] == ""
+    assert got[0] == "bsd,mit" and got[1] == "isc" and got[2] == got[3] == "" and got[4] == "bsd,isc,mit,mpl-2.0" and got[26] == "bsd"
     c = duckdb.connect()
     c.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
-    full = license_scan.ORACLE.replace(f"<= {license_scan.RAREST}", f"<= {len(license_scan.VOCABULARY)}")
-    out = c.execute(full)
+    out = c.execute(license_scan.ORACLE)
     assert of_frame(license_scan.scan(docs)) == rows([x[0] for x in out.description], out.fetchall())
+    one = spark.createDataFrame([(1, notice["mit"])], "doc_id long, text string")
+    assert license_scan.scan(one).first().labels == "mit"
 
 
 def test_rules(spark, awkward):
@@ -67,30 +75,102 @@ def test_rules(spark, awkward):
     assert risk_rules.judge(awkward.limit(0), labels).count() == 0 and risk_rules.judge(awkward, labels.limit(0)).count() == len(AWKWARD)
 
 
+def test_rules_reject_where_labels_certify_them(spark):
+    """Cutoffs against brute force: two languages, of which one has labels enough."""
+    import math
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijk") for _ in range(6))
+    text = lambda kind: " ".join({0: word(), 1: word() + "##", 2: word().upper()}[kind if r.random() < 0.9 else 0] for _ in range(60))
+    rows, labels = [], []
+    for i in range(1400):
+        kind = 0 if i % 10 else 1 + i // 10 % 2
+        rows.append((i, text(kind), "en" if i < 1300 else "de", "x"))
+        labels.append((i, int(kind == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, level string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    m = risk_rules.measure(docs).toPandas()
+    m["sound"] = [q for _, q in labels]
+    want = {}
+    for lang, part in m.groupby("lang"):
+        n, p = int(part.sound.sum()), risk_rules.RISK / len(risk_rules.UNITS)
+        for rule in risk_rules.UNITS:
+            level, best = part["levels"].map(lambda x: x[rule]), None  # noqa: B023
+            for cut in sorted(set(level) - {0}, reverse=True):
+                k, hit = int(((level >= cut) & (part.sound == 1)).sum()), int(((level >= cut) & (part.sound == 0)).sum())
+                tail = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) if k < n * p else 1
+                if tail <= risk_rules.CONFIDENCE / (2 * len(risk_rules.UNITS)) and hit > k and (best is None or hit - k > best[0]):
+                    best = hit - k, cut
+            want[lang, rule] = best and best[1]
+    assert want["en", "signs"] and want["en", "capitals"] and not any(v for (lang, _), v in want.items() if lang == "de")
+    got = {r.stratum: r for r in risk_rules.choose(risk_rules.measure(docs), marks).collect()}
+    assert {("en", k): got["en"][f"cut_{k}"] for k in risk_rules.UNITS} == {k: v for k, v in want.items() if k[0] == "en"} and "de" not in got
+    kept = {r.doc_id: r for r in risk_rules.judge(docs, marks).collect()}
+    assert {x for r in kept.values() for x in r.failed.split(",")} == {"", "signs", "capitals"}
+    assert all(kept[i].kept for i in range(1300, 1400)) and sum(not kept[i].kept for i, q in labels[:1300] if not q) > 120
+    assert sum(not kept[i].kept for i, q in labels if q) <= risk_rules.RISK * 1300
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "level"]))
+    c.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality"]))
+    out = c.execute(risk_rules.ORACLE)
+    assert of_frame(risk_rules.judge(docs, marks)) == rows_of(out)
+
+
+def rows_of(out):
+    return rows([x[0] for x in out.description], out.fetchall())
+
+
 def test_binomial_tail(spark):
     import math
 
     from pyspark.sql import functions as F
 
-    for k, n, p in ((0, 100, 0.02), (3, 1000, 0.02), (15, 1000, 0.02), (90, 5000, 0.02)):
+    for k, n, p in ((0, 100, 0.02), (3, 1000, 0.02), (900, 100000, 0.01), (1900, 200000, 0.01), (15, 1000, 0.02), (90, 5000, 0.02)):
         got = spark.range(1).select(risk_rules.binomial_tail(F.lit(k), F.lit(n), p)).first()[0]
-        want = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) if k < n * p else 1
-        assert abs(got - want) < 1e-9
+        chance = lambda j: math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p))  # noqa: B023, E731
+        want = sum(map(chance, range(k + 1))) if k < n * p else 1
+        assert abs(got - want) < 1e-8
 
 
 def test_archives(spark, tmp_path):
     big = "<p>é</p>\r\n\r\nWARC/1.1\r\n" * 30
-    rows = [(1, "http://a/\r\nx", big, "k"), (2, None, big, "k"), (3, "u", "small", None), (4, "u", "small", None), (None, "u", big, None), (5, "u", None, None), (2, None, big, "k")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, first string")
-    warc.write(pages, str(tmp_path / "w"))
+    pages = [(1, "http://a/\r\nx", big, "k"), (2, None, big, "k"), (3, "u", "small", None), (4, "u", "small", None), (None, "u", big, None), (5, "u", None, None), (2, None, big, "k"), (1, "http://b/", big, "k")]
+    pages += [(6, "u", "x" * 300, "k"), (6, "u", "x" * 300, "k"), (None, "u", "y" * 300, "k"), (None, "v", "y" * 300, "k"), (7, "u", "z" * (warc.BIG + 10), "k")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, first string")
+    warc.write(df, str(tmp_path / "w"))
     back = warc.read(spark, str(tmp_path / "w")).collect()
-    assert len(back) == len(rows)
-    assert {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in back} == {1: ("response", None, len(big.encode())), 2: ("revisit", 1, len(big.encode())), 3: ("response", None, 5), 4: ("response", None, 5), None: ("revisit", 1, len(big.encode())), 5: ("response", None, 0)}
-    assert next(r.payload for r in back if r.page_id == 1) == big
-    warc.write(pages.limit(0), str(tmp_path / "none"))
+    size, none = len(big.encode()), None
+    want = [(1, "response", none, size), (1, "revisit", 1, size), (2, "revisit", 1, size), (2, "revisit", 1, size), (none, "revisit", 1, size), (3, "response", none, 5), (4, "response", none, 5), (5, "response", none, 0)]
+    want += [(6, "response", none, 300), (6, "revisit", 6, 300), (none, "response", none, 300), (none, "revisit", none, 300), (7, "response", none, warc.BIG + 10)]
+    assert sorted(map(str, want)) == sorted(str((r.page_id, r.record_type, r.refers_to, r.payload_bytes)) for r in back)
+    assert {r.payload for r in back if r.record_type == "response" and r.page_id in (1, 7)} == {big, "z" * (warc.BIG + 10)}
+    assert {r.url for r in back if r.page_id == 1} == {"http://a/%0D%0Ax", "http://b/"}
+    warc.write(df.limit(0), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_records_are_gzip_members_of_their_own(spark, tmp_path):
+    import gzip
+    import zlib
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i % 3} " * 40) for i in range(9)], "page_id long, url string, html string")
+    warc.write(pages.coalesce(1), str(tmp_path / "w"), date="2024-05-06T07:08:09Z")
+    ids = set()
+    for file in tmp_path.glob("w/part-*"):
+        data, at = file.read_bytes(), 0
+        assert gzip.decompress(data).count(b"WARC/1.1\r\n") == data.count(b"\x1f\x8b\x08")
+        while at < len(data):  # each record is read at its own offset
+            d = zlib.decompressobj(31)
+            head, _, body = d.decompress(data[at:]).partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert fields["WARC-Date"] == "2024-05-06T07:08:09Z" and body.startswith(b"HTTP/1.1 200 OK\r\n") and body.endswith(b"\r\n\r\n") and len(body) == int(fields["Content-Length"]) + 4
+            assert fields["Content-Type"] == "application/http; msgtype=response" and ("WARC-Refers-To" in fields) == (fields["WARC-Type"] == "revisit")
+            ids.add(fields["WARC-Record-ID"])
+            at = len(data) - len(d.unused_data)
+    assert len(ids) == 9
+
+
 def test_search(spark):
     rows = [(i, [float(i % 7), float(i % 3), 1.0], "e") for i in range(60)] + [(100, None, "e"), (120, [0.0, 0.0, 0.0], "e"), (140, [float("nan"), 1.0, 1.0], "e"), (160, [None, 1.0, 2.0], "e"), (None, [1.0, 1.0, 1.0], "e"), (180, [1.0, 2.0], "e"), (20, [6.0, 2.0, 1.0], "e")]
     got = rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")).collect()
