@@ -82,17 +82,81 @@ ARTICLE = "<article><h1>A &amp; B</h1><p>one <b>two<p>three&nbsp;x<br>y</p><div
 
 def test_main_text():
     text = "A & B\none two\nthree x y\ni\nj"
-    assert template_extract.main_text(PAGE.format(main=ARTICLE), frozenset(), None) == text
-    assert template_extract.main_text(PAGE.format(main=ARTICLE.replace("article", "div")), frozenset(), None) == text
-    assert template_extract.main_text("", frozenset(), None) == "" and template_extract.main_text("plain <b", frozenset(), None) == "plain"
+    alone = lambda page: template_extract.main_text(page, frozenset(), frozenset(), None)
+    assert alone(PAGE.format(main=ARTICLE)) == text
+    assert alone(PAGE.format(main=ARTICLE.replace("article", "div"))) == text
+    assert alone("") == "" and alone("plain <b") == "plain"
+    assert alone("<article><p>let <math><mi>x</mi> = 1</math> be</p></article>") == "let x = 1 be"
 
 
-def test_template_texts_go(spark):
+def story(i, n=30):
+    return " ".join(f"{'abcdefghij'[(i * 7 + k * k) % 10]}{(i * k) % 97}" for k in range(n))
+
+
+def pages_of(spark, pages):
+    return spark.createDataFrame([(i, f"http://h.example/{i}", p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, host string")
+
+
+def test_template_decides_in_marked_articles_too(spark, monkeypatch):
+    """A notice in every article goes; a line that only some articles share, and a heading on few pages, stay."""
+    body = lambda i: f"<h1>t {i}</h1><p>{story(i)}</p>" + ("<p>a shared line</p>" if i % 3 == 0 else "") + ("<h2>References</h2>" if i in (1, 2, 5) else "")
+    pages = [f"<body><article>{body(i)}<section><p>Read more on our site every day</p></section></article></body>" for i in range(12)]
+    want = {i: "\n".join([f"t {i}", story(i), *["a shared line"] * (i % 3 == 0), *["References"] * (i in (1, 2, 5))]) for i in range(12)}
+    assert {r.page_id: r.text for r in template_extract.extract(pages_of(spark, pages)).collect()} == want
+    monkeypatch.setattr(template_extract, "LEAST_INSIDE", 1000)
+    assert all(r.text.endswith("every day") for r in template_extract.extract(pages_of(spark, pages)).collect())
+
+
+def test_all_slots_of_an_unmarked_region(spark):
+    page = lambda i: f"<body><div>Home of stories</div><div><ul><li><a href=x>{story(i, 9)}</a><li><a href=y>{story(i + 50, 9)}</a></ul></div><div id=c><h1>t {i}</h1><div><p>{story(i, 20)}</p></div><div id=b><p>{story(i + 20, 14)}</p><p>see <a href=z>{story(i + 90, 2)}</a></p></div></div></body>"
+    got = {r.page_id: r.text for r in template_extract.extract(pages_of(spark, [page(i) for i in range(8)])).collect()}
+    assert got == {i: f"t {i}\n{story(i, 20)}\n{story(i + 20, 14)}\nsee {story(i + 90, 2)}" for i in range(8)}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    pages = [f"<article><h1>one</h1><p>{story(1)}</p></article>"] * 9 + [f"<article><h1>two</h1><p>{story(2)}</p></article>"]
+    got = template_extract.extract(pages_of(spark, pages)).collect()
+    assert all(r.text == (f"one\n{story(1)}" if r.page_id < 9 else f"two\n{story(2)}") for r in got)
+
+
+def test_classes_equal_brute_force(spark):
+    """Equivalence classes from exact occurrence vectors."""
+    pages = [f"<body><div>menu</div><div class=x>{'note' if i % 2 else f'own {i}'}</div><p>{story(i)}</p><p>{'twice' if i < 5 else i}</p><footer>end</footer></body>" for i in range(10)]
+    vectors, kinds = {}, {}
+    for i, source in enumerate(pages):
+        blocks, paths = template_extract.blocks_of(source)
+        for t in paths + [f"{b[0]}\x1f{b[1]}" for b in blocks]:
+            vectors.setdefault(t, {}).setdefault(i, 0)
+            vectors[t][i] += 1
+            kinds[t] = "\x1f" in t
+    groups = {}
+    for t, v in vectors.items():
+        if len(v) >= template_extract.LEAST_PAGES:
+            groups.setdefault(tuple(sorted(v.items())), []).append(t)
+    want = {t for g in groups.values() if not all(kinds[t] for t in g) for t in g if kinds[t]}
+    assert {t.split("\x1f")[1] for t in want} == {"menu", "end"}
+    rows = pages_of(spark, pages).selectExpr("xxhash64(html) AS uid", "'h' AS host", "xxhash64(html) AS page", "html")
+    assert sorted(template_extract.templates(rows).first().texts) == sorted(template_extract._hash(sorted(want)).tolist())
+
+
+def test_awkward_pages(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div>All offers on one page</div><div id=c><p>story {i} {'abc'[i % 3] * 30}</p></div></body>", "x") for i in range(9)]
     rows += [(None, None, None, "x"), (3, rows[3][1], rows[3][2], "x"), (70, "bad", "<p>" + "long " * 50000, "x")]
-    out = template_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, region string")
+    out = template_extract.extract(df).collect()
     assert len(out) == len(rows)
     for r in out:
         want = "" if r.page_id is None else " ".join(["long"] * 50000) if r.page_id == 70 else f"story {r.page_id} {'abc'[r.page_id % 3] * 30}"
         assert r.text == want and r.n_chars == len(want)
-    assert template_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert template_extract.extract(df.limit(0)).count() == 0
+
+
+def test_given_pages_keep_their_articles(spark):
+    """On the given pages the article is the main text, whatever the host's template is."""
+    import html
+    import re
+
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").join(template_extract.op8_template_extract(spark, SMALL), "page_id").collect():
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        parts = (" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:h1|p)>", body))
+        assert r.text == "\n".join(p for p in parts if p)

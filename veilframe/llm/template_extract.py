@@ -1,11 +1,13 @@
 """Main text of web pages by deducing the template of each host.
 
-A page is read as blocks of text, each on a path of elements. Tokens are the paths of a page's elements and, outside
-marked articles, its blocks' texts. Over the pages of a host each token has an occurrence vector: how often it stands in
-each page. Tokens with one vector form an equivalence class. A class is valid if it recurs on enough pages and its
-vector has a path; texts in a valid class are part of the template (menus, notices, imprints). Valid classes nest by
-their paths; the slots are what they leave open, and the slot with most text beside links is the host's main one. From
-each page the marked article, or else the main slot, is taken, without regions that markup or names give away.
+A page is read as blocks of text, each on a path of elements. Tokens are the paths of a page's elements and its blocks'
+texts. Over the pages of a host each token has an occurrence vector: how often it stands in each page. Tokens with one
+vector form an equivalence class. A class is valid if it recurs on enough pages and its vector has a path; texts in a
+valid class are part of the template (menus, notices, imprints), also inside articles. Valid classes nest by their
+paths; the slots are the paths that they leave open. A slot's text beside links, and more so within marked articles,
+speaks for every path around it; the innermost path that holds nearly all of that evidence is the host's main region.
+From each page the open slots of the main region are taken: without template texts, slots of links, and regions that
+markup or names give away.
 
 Occurrence vectors are never gathered: a vector is represented by the sum over its pages of a hash of page and count,
 which tasks pre-aggregate, so a host with a third of all pages costs no more to any task than others do.
@@ -19,22 +21,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import settle, table
 
-#: A valid class stands on so many pages and such a share of the host's pages.
-LEAST_PAGES, LEAST_SHARE = 3, 0.5
-#: Templates go to executors whole up to so many hosts, else by a salted join.
-MOST_HOSTS, SALTS = 50_000, 32
+#: A valid class stands on so many pages; to take texts from marked articles, on so many and such a share of the host's pages.
+LEAST_PAGES, LEAST_INSIDE, LEAST_SHARE = 3, 5, 0.8
+#: Outside articles a class stands on such a share of the host's pages.
+LEAST_OUTSIDE = 0.2
+#: The main region holds such a share of the evidence, for which text in marked articles counts so many times.
+MAIN_SHARE, MARKED = 0.9, 5
+#: Templates go to executors whole up to so many bytes, else by a salted join.
+MOST_BYTES, SALTS = 64 << 20, 32
 
 # Elements by role, and names that give a region away.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas noframes xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe canvas noframes".split())
 APART = frozenset("nav aside footer form button select label fieldset dialog menu head".split())
 CONTENT = frozenset("article main".split())
+#: Elements that are parts of a region, never one.
+PARTS = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 hgroup table thead tbody tfoot tr td th caption blockquote pre figure figcaption summary details address center".split())
 CLOSED_BY_SAME = frozenset("li dt dd tr td th option p".split())
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|alert|menu|nav|navbar|navigation|topnav|breadcrumb|breadcrumbs|"
@@ -154,95 +162,134 @@ def _hash(values: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(values, object)).view(np.int64)
 
 
+def regions(path: str) -> list[str]:
+    """Paths that may be the main region of a block at path: around it, down to a marked article, without mere parts."""
+    out, at = [""], ""
+    for step in path.split("/")[1:]:
+        at = f"{at}/{step}"
+        tag = step.split(".")[0]
+        if tag not in PARTS:
+            out.append(at)
+        if tag == "article":
+            break
+    return out
+
+
 def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, token, page, n, text, chars): a row for each token of a page; text: it is a block's text; chars: of slots, beside links."""
+    """A row for each token of a page.
+
+    kind: 0 for a path, 1 for a text outside, 2 inside a marked article; n: how often; depth of a path; evidence, plain
+    (characters beside links) and linked characters below a path or, negative depth, just on it.
+    """
     for batch in batches:
         for first in range(0, len(batch), 100):
             rows = []
             for host, page, source in batch[["host", "page", "html"]][first : first + 100].itertuples(index=False):
                 blocks, paths = blocks_of(source)
-                found: dict[tuple[str, bool], list[int]] = {}
-                for p in paths:
-                    found.setdefault((p, False), [0, 0])[0] += 1
+                found: dict[tuple[str, int], list[int]] = {}
+                for p in ["", *paths]:
+                    found.setdefault((p, 0), [0, 0, 0, 0])[0] += 1
                 for path, text, apart, content, linked in blocks:
-                    found.setdefault((path, False), [1, 0])[1] += 0 if apart else len(text) - linked
-                    if not content:
-                        found.setdefault((f"{path}\0{text}", True), [0, 0])[0] += 1
-                rows += [(host, page, t, n, is_text, chars) for (t, is_text), (n, chars) in found.items()]
+                    found.setdefault((f"{path}\x1f{text}", 2 if content else 1), [0, 0, 0, 0])[0] += 1
+                    own = found.setdefault((path, 0), [1, 0, 0, 0])
+                    own[2] += len(text) - linked
+                    own[3] += linked
+                    if not apart:
+                        for p in regions(path):
+                            found.setdefault((p, 0), [1, 0, 0, 0])[1] += (len(text) - linked) * (MARKED if content else 1)
+                rows += [(host, page, t, kind, t.count("/") if kind == 0 else 0, *x) for (t, kind), x in found.items()]
             if rows:
-                out = pd.DataFrame(rows, columns=["host", "page", "token", "n", "text", "chars"])
+                out = pd.DataFrame(rows, columns=["host", "page", "token", "kind", "depth", "n", "evidence", "plain", "linked"])
                 out["token"] = _hash(out["token"].tolist())
                 yield out
 
 
+TOKENS = "host string, page long, token long, kind int, depth int, n int, evidence long, plain long, linked long"
+
+
 def templates(rows: DataFrame) -> DataFrame:
-    """rows(host, page, html) -> (host, texts, slot): hashes of the texts in the host's template, and of its main slot's path."""
-    found = rows.mapInPandas(tokens_of, "host string, page long, token long, n int, text boolean, chars long")
+    """rows(host, page, html) -> (host, texts, links, region): hashes of the template's texts, of slots of links, and of the main region's path.
+
+    Pages of a host with equal html count once.
+    """
+    once = rows.groupBy("host", "page").agg(F.any_value("uid").alias("uid")).select("uid")
+    found = rows.join(once, "uid", "left_semi").mapInPandas(tokens_of, TOKENS)
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(20,0)"))
-    found = found.groupBy("host", "token", "text").agg(vector.alias("vector"), F.count("*").alias("support"), F.sum("chars").alias("chars"))
-    found = settle(found.where((F.col("support") >= LEAST_PAGES) | (F.col("chars") > 0)), "tokens")
-    of_host = Window.partitionBy("host")
-    sized = found.withColumn("pages", F.max("support").over(of_host))
-    classes = sized.where((F.col("support") >= LEAST_PAGES) & (F.col("support") >= LEAST_SHARE * F.col("pages"))).groupBy("host", "vector")
-    classes = classes.agg(F.bool_or(~F.col("text")).alias("valid"), F.collect_set(F.when(F.col("text"), F.col("token"))).alias("texts"))
-    texts = classes.where("valid").groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
-    slot = found.where("not text").groupBy("host").agg(F.max_by("token", F.struct("chars", "token")).alias("slot"))
-    return slot.join(texts.withColumnRenamed("host", "_h"), F.col("host") == F.col("_h"), "left").select("host", "texts", "slot")
-
-
-def main_text(source: str, texts: frozenset[int], slot: int | None) -> str:
+    sums = [F.sum(c).alias(c) for c in ("evidence", "plain", "linked")]
+    found = found.groupBy("host", "token", "kind").agg(vector.alias("vector"), F.count("*").alias("support"), F.max("depth").alias("depth"), *sums)
+    found = settle(found.where((F.col("support") >= LEAST_PAGES) | (F.col("kind") == 0)), "tokens")
+    paths = found.where("kind = 0")
+    whole = paths.where("depth = 0").groupBy(F.col("host").alias("_h")).agg(F.max("support").alias("pages"), F.max("evidence").alias("all"))
+    sized = found.where(F.col("support") >= LEAST_PAGES).join(whole, F.col("host") == F.col("_h"))
+    # a class that takes texts has a path, and stands on enough pages
+    classes = sized.where((F.col("kind") < 2) | (F.col("support") >= LEAST_INSIDE)).where(F.col("support") >= F.col("pages") * F.when(F.col("kind") == 2, LEAST_SHARE).otherwise(LEAST_OUTSIDE))
+    classes = classes.groupBy("host", "vector").agg(F.bool_or(F.col("kind") == 0).alias("valid"), F.collect_set(F.when(F.col("kind") > 0, F.col("token"))).alias("texts"))
+    texts = classes.where("valid").groupBy(F.col("host").alias("_t")).agg(F.flatten(F.collect_list("texts")).alias("texts"))
+    links = paths.where("linked > plain").groupBy(F.col("host").alias("_l")).agg(F.collect_list("token").alias("links"))
+    main = paths.join(whole, F.col("host") == F.col("_h")).where(F.col("evidence") >= MAIN_SHARE * F.col("all"))
+    main = main.groupBy("host").agg(F.max_by("token", F.struct("depth", "evidence", "token")).alias("region"))
+    return main.join(texts, F.col("host") == F.col("_t"), "left").join(links, F.col("host") == F.col("_l"), "left").select("host", "texts", "links", "region")
+
+
+def main_text(source: str, texts: frozenset[int], links: frozenset[int], region: int | None) -> str:
+    """Blocks of the main region (of the page's own, if it has none of the host's) without the template's texts and slots of links."""
     blocks, _ = blocks_of(source)
-    if any(content and not apart for _, _, apart, content, _ in blocks):
-        return "\n".join(text for _, text, apart, content, _ in blocks if content and not apart)
-    blocks = [b for b in blocks if not b[2]]
-    if not blocks:
-        return ""
-    known = _hash([f"{b[0]}\0{b[1]}" for b in blocks]).tolist()
-    blocks = [b for b, h in zip(blocks, known) if h not in texts]
-    if not blocks:
-        return ""
-    chars: dict[str, int] = {}
-    for path, text, _, _, linked in blocks:
-        chars[path] = chars.get(path, 0) + len(text) - linked
-    paths = list(chars)
-    main = next((p for p, h in zip(paths, _hash(paths).tolist()) if h == slot), None) or max(paths, key=chars.get)
-    # the slot of a paragraph or heading is the element around it
-    around = main.rsplit("/", 1)[0] if main.rsplit("/", 1)[-1].split(".")[0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "dd") else main
-    return "\n".join(text for path, text, _, _, linked in blocks if (path == around or path.startswith(f"{around}/")) and linked * 2 <= len(text))
-
-
-def extracted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    known = _hash([f"{b[0]}\x1f{b[1]}" for b in blocks]).tolist() if blocks else []
+    blocks = [b for b, h in zip(blocks, known) if h not in texts and not b[2]]
+    paths = {b[0]: regions(b[0]) for b in blocks}
+    names = sorted({p for ps in paths.values() for p in ps} | set(paths))
+    of = dict(zip(names, _hash(names).tolist())) if names else {}
+    inside = [b for b in blocks if any(of[p] == region for p in paths[b[0]])]
+    if not inside and blocks:
+        weigh: dict[str, int] = {}
+        for path, text, _, content, linked in blocks:
+            for p in paths[path]:
+                weigh[p] = weigh.get(p, 0) + (len(text) - linked) * (MARKED if content else 1)
+        own = max((p for p in weigh if weigh[p] >= MAIN_SHARE * weigh[""]), key=lambda p: (p.count("/"), weigh[p], p))
+        inside = [b for b in blocks if own in paths[b[0]]]
+    # the page's title may stand before the region
+    title = [b for b in blocks if b[0].rsplit("/", 1)[-1].split(".")[0] == "h1"]
+    if title and inside and not any(b in title for b in inside):
+        inside = title + inside
+    # in a marked article a list of links belongs to its text
+    return "\n".join(text for path, text, _, content, _ in inside if content or of[path] not in links)
+
+
+def extracted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     sets: dict[bytes, frozenset[int]] = {}
-    for source, texts, slot in batches:
-        out = []
-        for s, t, k in zip(source, texts, slot):
-            key = b"" if t is None else np.asarray(t, np.int64).tobytes()
-            if key not in sets:
-                if len(sets) > 1000:
-                    sets.clear()
-                sets[key] = frozenset(np.frombuffer(key, np.int64).tolist())
-            out.append(main_text(s or "", sets[key], None if pd.isna(k) else int(k)))
-        yield pd.Series(out, dtype=object)
+
+    def known(x) -> frozenset[int]:
+        key = b"" if x is None else np.asarray(x, np.int64).tobytes()
+        if key not in sets:
+            if len(sets) > 1000:
+                sets.clear()
+            sets[key] = frozenset(np.frombuffer(key, np.int64).tolist())
+        return sets[key]
+
+    for source, texts, links, region in batches:
+        yield pd.Series([main_text(s or "", known(t), known(k), None if pd.isna(r) else int(r)) for s, t, k, r in zip(source, texts, links, region)], dtype=object)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): a row for each row of pages(page_id, url, html, ...).
 
-    Null html is empty and has no text. Pages without a host in their url share one template. Repeated rows count as
-    pages of their host and give equal rows; null ids are kept. An empty table gives an empty result. Extra columns
-    are ignored.
+    Null html is empty and has no text. Pages without a host in their url share one template. Pages of a host with equal
+    html count once for its template and give equal rows; null ids are kept. A host of one or two pages has no template
+    texts; its region follows from its own pages. Very long pages are read whole. An empty table gives an empty result.
+    Extra columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     source = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url", source).alias("page"), source.alias("html"))
-    known = settle(templates(rows.select("host", "page", "html")), "templates")
-    if known.count() <= MOST_HOSTS:
+    rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64(source).alias("page"), source.alias("html")).withColumn("uid", F.xxhash64("host", "page", "page_id", "url"))
+    known = settle(templates(rows.select("uid", "host", "page", "html")), "templates")
+    size = known.agg(F.sum(8 * (F.greatest(F.size("texts"), F.lit(0)) + F.greatest(F.size("links"), F.lit(0))) + F.length("host") + 64)).first()[0] or 0
+    if size <= MOST_BYTES:
         joined = rows.join(F.broadcast(known), "host", "left")
     else:
         salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     text = F.pandas_udf(extracted, "string")
-    return joined.select("page_id", "url", text("html", "texts", "slot").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", text("html", "texts", "links", "region").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
