@@ -1,6 +1,7 @@
 """Operators whose results SQL can express, on the small tables and on awkward rows."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from oracle import SMALL, of_frame, of_sql, rows
@@ -181,3 +182,24 @@ def test_search(spark):
         want = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q))[:20]
         assert [(r["rank"], r.vec_id, -r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(n, i, s) for n, (s, i) in enumerate(want, 1)]
     assert {r.query_id for r in got} == {0, 20, 40}
+
+
+def test_codes_leave_out_most_and_lose_none():
+    r = np.random.default_rng(7)
+    x = r.standard_normal((12000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids, q = np.arange(len(x)), np.arange(0, len(x), 200)
+    best = rabitq.Best(ids[q], x[q].astype(float), 20)
+    code, scalar, length = rabitq.encode(x.astype(float), rabitq.frame(64))
+    asked, near = best.asked, x[q].astype(float) @ x.T
+    estimate = asked.estimate(slice(0, len(q)), np.ascontiguousarray(code.T), np.bitwise_count(code).sum(axis=1).astype(np.int64)) * length / scalar
+    spread = rabitq.half_widths(scalar, length, asked.dim) / rabitq.WIDTH
+    off = (estimate - near) / spread
+    assert abs(off.mean()) < 0.02 and 0.9 < off.std() < 1.15  # unbiased, and spread as the bound says
+    for i in range(0, len(x), 4000):
+        best.meet(ids[i : i + 4000], x[i : i + 4000], code[i : i + 4000], scalar[i : i + 4000], length[i : i + 4000])
+    near[np.arange(len(q)), q] = -9
+    top = np.argsort(-near, axis=1)[:, :20]
+    recall = np.mean([len(set(top[j]) & set(best.found[j][0])) / 20 for j in range(len(q))])
+    print(f"recall {recall}, reranked {best.reranked / best.met}")
+    assert recall > 0.999 and best.reranked < 0.15 * best.met
