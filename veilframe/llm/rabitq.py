@@ -112,7 +112,7 @@ class Best:
                 for j in np.flatnonzero(fresh):
                     self._score(first + j, likely[j], ids, x)
                     near[j, likely[j]] = -np.inf
-            may = near + bound >= self.reach[rows, None]
+            may = (near + bound >= self.reach[rows, None]) & (near > -np.inf)
             self.met += may.size
             for j in np.flatnonzero(may.any(axis=1)):
                 self._score(first + j, np.flatnonzero(may[j]), ids, x)
