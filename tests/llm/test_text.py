@@ -59,18 +59,44 @@ def test_ranks_are_a_permutation():
 
 
 def test_classifier_on_labels(spark):
-    """The labels took no part in training."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = weak_quality.judge(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
-    clean, poor = out[(out.quality == 1) & (out.toxic == 0)], out[out.quality == 0]
-    assert clean.kept.mean() > 0.98 and poor.kept.mean() < 0.1
+    """Labels of even ids tell toxic words; rows with odd ones took no part in anything but the votes' counts."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.where("doc_id < 6000")
+    out = weak_quality.judge(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    clean, poor, toxic = out[(out.quality == 1) & (out.toxic == 0)], out[out.quality == 0], out[(out.quality == 1) & (out.toxic == 1)]
+    listed = toxic.text.str.contains("idiot|moron|scum|trash|loser|clown|stupid|pathetic|worthless|disgusting")
+    print(f"kept: clean {clean.kept.mean()}, poor {poor.kept.mean()}, toxic {toxic.kept.mean()}, of them in other languages {toxic[~listed].kept.mean()}")
+    assert clean.kept.mean() > 0.98 and poor.kept.mean() < 0.05 and toxic.kept.mean() < 0.2 and toxic[~listed].kept.mean() < 0.4
+    plain = weak_quality.judge(docs.select("doc_id", "text")).join(labels, "doc_id").toPandas()
+    assert plain[(plain.quality == 1) & (plain.toxic == 0)].kept.mean() > 0.98 and plain[plain.quality == 0].kept.mean() < 0.05
+
+
+def test_features_hold_no_votes():
+    """Texts with equal words and measures differ in nothing the scorer sees."""
+    a, b = weak_quality.described(["one two three", "one two three"]), weak_quality.described(["three two one"])
+    assert (a[0][0] == a[0][1]).all() and (a[0][0] == b[0][0]).all() and (a[1][0] == b[1][0]).all()
+
+
+def test_measures_equal_plain_ones():
+    texts = ["", "  ", "One two TWO two!! a|b # #\nx\n\nx\nx ", "ünï ünï. code", "a" * 3000, "w " * 900]
+    got = np.concatenate([t.measures() for _, t in weak_quality.grouped(texts)])
+    for t, m in zip(texts, got):
+        words, low = t.split(), t.lower().split()
+        n = max(len(words), 1)
+        lines = [x for x in t.split("\n") if x.strip()]
+        want = [len(words), sum(t.count(c) for c in "#*$%&<>{}\\^~=") / n, sum(w[-1] in "#*$%&" for w in words) / n, sum("A" <= c <= "Z" for c in t) / max(1, sum("a" <= c.lower() <= "z" for c in t))]
+        want += [sum(a == b and a in "!?" for a, b in zip(t, t[1:])) / n, sum(a == b for a, b in zip(low, low[1:])) / n, len(set(low)) / n, 1 - len({x.lower() for x in lines}) / len(lines) if len(lines) >= 4 else 0]
+        want += [t.count("|") / n, sum(len(w) == 1 and not w.isalnum() for w in words) / n, sum(map(t.count, ".!?")) / n, sum(len(w.encode()) for w in words) / n]
+        assert np.allclose(m, want)
 
 
 def test_classifier_on_awkward_rows(spark):
-    df = spark.createDataFrame([(1, None, "p"), (1, "", "p"), (None, "  \n", "p"), (2, "x", "p"), (3, "word " * 30000, "p"), (3, "word " * 30000, "p")], "doc_id long, text string, label string")
-    rows = weak_quality.judge(df).collect()
-    assert len(rows) == 6 and [r.kept for r in rows if not (r.text or "").strip()] == [False] * 3
-    assert weak_quality.judge(df.limit(0)).count() == 0
+    df = spark.createDataFrame([(1, None, "p"), (1, "", "p"), (None, "  \n", "p"), (2, "x", "p"), (3, "word " * 30000, "p"), (3, "word " * 30000, "p")], "doc_id long, text string, kept string")
+    labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
+    for known in (None, labels, labels.limit(0)):
+        rows = weak_quality.judge(df, known).collect()
+        assert len(rows) == 6 and [r.kept for r in rows if not (r.text or "").strip()] == [False] * 3
+        assert weak_quality.judge(df.limit(0), known).count() == 0
 
 
 PAGE = (
