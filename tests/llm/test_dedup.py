@@ -109,6 +109,40 @@ def test_copies_that_only_meet_through_their_original(spark):
     assert set(map(frozenset, got.values())) == classes(rows)
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_no_link_is_lost_in_a_bucket_of_many_clusters(spark, monkeypatch, block):
+    """60 clusters that all meet in the buckets of what they share, and no hub that links them."""
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
+    common, r, rows = words(100, 1).split(), random.Random(2), []
+    for c in range(60):
+        own = words(60, 100 + c).split()
+        for k in range(4):
+            w = common + own
+            for _ in range(k):
+                w[r.randrange(len(w))] = f"x{c}y{k}"
+            rows.append((len(rows), " ".join(w), "x"))
+    r.shuffle(rows)
+    got = collections.defaultdict(set)
+    for x in bagminhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[x.class_k].add(x["_k"])
+    texts = dict((i, t) for i, t, _ in rows)
+    want = {frozenset(sorted(c)) for c in classes([(i, texts[i], "") for i in range(len(rows))])}
+    mine = {x: k for k, v in got.items() for x in v}
+    links = [(a, b) for c in want for a, b in itertools.combinations(sorted(c), 2)]
+    print("recall of pairs in one class", sum(mine[a] == mine[b] for a, b in links) / len(links))
+    assert len(want) > 30 and set(map(frozenset, got.values())) == want
+
+
+def test_sketches_rule_out_no_similar_pair():
+    r, lost = np.random.default_rng(3), 0
+    for _ in range(300):
+        items = r.integers(1, 2**63, 250).astype(np.uint64)
+        a, b = items[:225], items[25:]  # similarity 0.8
+        sign = lambda x: (bagminhash.mix64(bagminhash.bag_signature(x, np.ones(len(x), np.int64), 160).view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+        lost += (sign(a) == sign(b)).sum() < bagminhash.AGREE
+    assert lost == 0
+
+
 def test_signature_is_unbiased():
     r = np.random.default_rng(1)
     items = r.integers(1, 2**63, 400).astype(np.uint64)

@@ -4,19 +4,22 @@ A document is a multiset of 5-word shingles. For a shingle that occurs c times,
 (0,1], (1,2], (2,4], ..., each carry a Poisson process seeded by the shingle and the interval; a point has a time, a
 unit of weight inside its interval and a slot of the signature, and counts if its unit is at most c. A slot keeps the
 earliest time. Two documents agree in a slot with probability sum(min)/sum(max) of their counts, without bias, and the
-cost of a shingle follows log c, not c. Slots are banded; documents that meet in a band are verified on their multisets.
+cost of a shingle follows log c, not c. Slots are banded. In each band's bucket all members meet the one that meets most
+others; then, in buckets that still hold two classes, all members meet in blocks, on a sketch of a byte a slot. Pairs that
+the sketch does not rule out are verified on their multisets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import settle, table
+from veilframe.llm.common import discard, settle, table
 from veilframe.llm.components import components
 from veilframe.llm.hashing import Powers, mix64, shingles, texts_in_groups, word_hashes
 
@@ -25,9 +28,23 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Candidates are sent to executors whole up to so many rows (24 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 1_000_000
-#: Pivots are tried in blocks that give about so many pairs at most, but one at least; a bucket's members are dealt by a salt.
-MOST_PAIRS, SALTS = 50_000_000, 16
-SIGNATURE = "_k long, _h long, n_words long, s1 long, s2 long, bands array<long>"
+#: Members of a bucket meet in blocks of about so many; so many pairs are verified at once; a bucket's members are dealt by a salt.
+BLOCK, MOST_PAIRS, SALTS = 4096, 20_000_000, 16
+SIGNATURE = "_k long, _h long, n_words long, s1 long, s2 long, bands array<long>, sketch binary"
+
+
+def least_agreeing(miss: float = 1e-6) -> int:
+    """Slots that agree at least in a pair of similarity SIMILAR, but with a probability of miss."""
+    n, tail, k = BANDS * ROWS, 0.0, 0
+    while True:
+        tail += math.comb(n, k) * SIMILAR**k * (1 - SIMILAR) ** (n - k)
+        if tail > miss:
+            return k
+        k += 1
+
+
+#: Pairs whose sketches agree in fewer slots are ruled out.
+AGREE = least_agreeing()
 
 
 def bag_signature(items: np.ndarray, counts: np.ndarray, slots: int) -> np.ndarray:
@@ -77,16 +94,16 @@ def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 place = at.to(len(words) + 1)
                 s1 = int((words * place.up[: len(words)]).sum(dtype=np.uint64))
                 s2 = int((mix64(words + np.uint64(1)) * place.down[: len(words)]).sum(dtype=np.uint64))
-                bands: np.ndarray | list = []
+                bands, sketch = np.zeros(0, np.int64), b""
                 if len(words):
                     items, counts = np.unique(shingles(words, SHINGLE), return_counts=True)
                     best = bag_signature(items, counts, BANDS * ROWS).view(np.uint64).reshape(BANDS, ROWS)
                     bands = salt.copy()
                     for j in range(ROWS):
                         bands = mix64(bands ^ best[:, j])
-                    bands = bands.view(np.int64)
-                rows.append((ks[i], hs[i], len(words), *np.array([s1, s2], np.uint64).view(np.int64), bands))
-            yield pd.DataFrame(rows, columns=["_k", "_h", "n_words", "s1", "s2", "bands"])
+                    bands, sketch = bands.view(np.int64), (mix64(best.ravel()) >> np.uint64(56)).astype(np.uint8).tobytes()
+                rows.append((ks[i], hs[i], len(words), *np.array([s1, s2], np.uint64).view(np.int64), bands, sketch))
+            yield pd.DataFrame(rows, columns=["_k", "_h", "n_words", "s1", "s2", "bands", "sketch"])
 
 
 def multisets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,6 +116,48 @@ def multisets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["uid", "items", "counts"])
 
 
+def meeting(key: np.ndarray, side: np.ndarray, cross: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with one key (neighbours have it) that have different roots, fitting sizes and agreeing sketches.
+
+    cross: the key's rows are of two blocks, and only rows of different sides meet.
+    """
+    end = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    end = end[np.searchsorted(end, np.arange(len(key)), side="right")]
+    rows, lag, left, right = np.arange(len(key)), 1, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while True:
+        rows = rows[rows + lag < end[rows]]
+        if not len(rows):
+            return np.concatenate(left), np.concatenate(right)
+        other = rows + lag
+        low, high = np.minimum(size[rows], size[other]), np.maximum(size[rows], size[other])
+        may = (root[rows] != root[other]) & (low >= SIMILAR * high) & (~cross[rows] | (side[rows] != side[other]))
+        a, b = rows[may], other[may]
+        near = np.concatenate([(sketch[a[i : i + 20000]] == sketch[b[i : i + 20000]]).sum(axis=1) >= AGREE for i in range(0, len(a), 20000)]) if len(a) else may[:0]
+        left.append(a[near])
+        right.append(b[near])
+        lag += 1
+
+
+def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of band, value, i and j -> pairs (a, b) of uids. A key has the rows of two blocks at most."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        key = part.groupby(["band", "value", "i", "j"], sort=False).ngroup().to_numpy()
+        uid, sketch = part["uid"].to_numpy(), np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), -1)
+        a, b = meeting(key, part["side"].to_numpy(), (part["i"] != part["j"]).to_numpy(), part["root"].to_numpy(), part["size"].to_numpy(), sketch)
+        return pd.DataFrame({"a": np.minimum(uid[a], uid[b]), "b": np.maximum(uid[a], uid[b])}).drop_duplicates()
+
+    left = None
+    for batch in batches:
+        batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
+        last = (batch[["band", "value", "i", "j"]] == batch[["band", "value", "i", "j"]].iloc[-1]).all(axis=1).to_numpy() if len(batch) else np.zeros(0, bool)
+        left, ready = batch[last], batch[~last]
+        if len(ready):
+            yield work(ready)
+    if left is not None and len(left):
+        yield work(left)
+
+
 def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs whose multisets overlap enough: sum of smaller counts over sum of larger ones."""
     for batch in batches:
@@ -131,12 +190,16 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs(a, b) that are similar enough."""
     pairs = settle(pairs, "pairs")
+    old = pairs
     ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
     sets = settle(_fetch(docs, settle(keys.join(ends, "uid").select("uid", "_k", "_h"), "wanted")), "multisets")
     for end in ("a", "b"):
         side = sets.select(F.col("uid").alias(end), F.col("items").alias(f"items_{end}"), F.col("counts").alias(f"counts_{end}"))
         pairs = pairs.join(side, end)
-    return settle(pairs.mapInPandas(verified, "a long, b long"), "links")
+    links = settle(pairs.mapInPandas(verified, "a long, b long"), "links")
+    for done in (old, sets):
+        discard(done)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -144,61 +207,52 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with the same sequence of words are copies, one of which stands for all. Those whose 5-word shingle
     multisets have a weighted Jaccard similarity of at least 0.8 are linked; classes are the components of the links.
-    In every band's bucket members are tried as pivots in blocks, those first that meet most others; a pivot meets
-    all later members of other classes than its own. With the second block, members that are apart also meet their
-    neighbour in the order of the next band's value. This goes on until every pair of a bucket is in one class, has
-    been verified, or differs too much in size, so classes are those of all pairs that meet in a band.
+    Classes are those of all pairs that meet in a band: a pair of one bucket is left out only if both are in one class
+    already, their sizes differ too much, or their sketches agree in too few slots (which a similar pair does once in a
+    million).
 
     A text of fewer than five words has one shingle, of all its words. Texts without words (null, empty, blank)
-    are copies of each other. Null ids rank after all others. Repeated rows share a class. An empty table gives an
-    empty result. Extra columns are ignored.
+    are copies of each other. Null ids rank after all others. Repeated rows share a class. Very long texts are read
+    whole. An empty table gives an empty result. Extra columns are ignored.
     """
     d = keyed(docs)
     sig = settle(d.mapInPandas(signatures, SIGNATURE).withColumn("uid", F.monotonically_increasing_id()), "signatures")
-    same = ["s1", "s2", "n_words"]
-    reps = settle(sig.groupBy(*same).agg(F.min(F.struct("_k", "uid", "_h", "bands")).alias("rep")).select(*same, "rep.*"), "copies")
-    of_bucket, of_uid = Window.partitionBy("band", "value"), Window.partitionBy("uid")
-    buckets = reps.select("uid", F.greatest(F.col("n_words") - SHINGLE + 1, F.lit(1)).alias("size"), "bands", F.posexplode("bands").alias("band", "value"))
-    buckets = buckets.select("uid", "size", "band", "value", F.element_at("bands", (F.col("band") + 1) % BANDS + 1).alias("next"))
-    buckets = buckets.withColumn("met", F.count("*").over(of_bucket)).where("met > 1").withColumn("met", F.sum("met").over(of_uid))
-    buckets = buckets.withColumn("rank", F.row_number().over(of_bucket.orderBy(F.col("met").desc(), "uid")) - 1)
-    side = [F.lag(c).over(of_bucket.orderBy("next", "uid")).alias(f"side_{c}") for c in ("uid", "size")]
-    buckets = settle(buckets.select("uid", "size", "band", "value", "rank", *side), "buckets")
+    same, bucket = ["s1", "s2", "n_words"], ["band", "value"]
+    reps = settle(sig.groupBy(*same).agg(F.min(F.struct("_k", "uid", "_h", "bands", "sketch")).alias("rep")).select(*same, "rep.*"), "copies")
+    cells = reps.select("uid", F.greatest(F.col("n_words") - SHINGLE + 1, F.lit(1)).alias("size"), F.posexplode("bands").alias(*bucket))
+    shared = cells.groupBy(*bucket).agg(F.count("*").alias("met")).where("met > 1")
+    members = settle(cells.join(shared, bucket), "buckets")
     keys = reps.select("uid", "_k", "_h")
 
-    def rooted(df: DataFrame, roots: DataFrame | None, of: str, out: str) -> DataFrame:
-        if roots is None:
-            return df.withColumn(out, F.col(of))
+    def rooted(df: DataFrame, roots: DataFrame, of: str, out: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(out)), of, "left").withColumn(out, F.coalesce(out, of))
 
-    def pair(df: DataFrame, one: str, two: str, size_one: str, size_two: str) -> DataFrame:
-        """Pairs that can be similar: the overlap is at most the smaller size, the union at least the larger one."""
-        df = df.where(F.least(size_one, size_two) >= F.lit(SIMILAR) * F.greatest(size_one, size_two))
-        return df.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+    # each bucket's member that meets most others meets all of them
+    met = members.groupBy("uid").agg(F.sum("met").alias("all"))
+    hubs = members.join(met, "uid").groupBy(*bucket).agg(F.max(F.struct("all", F.col("uid").alias("hub"), F.col("size").alias("hub_size"))).alias("h")).select(*bucket, "h.*")
+    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = members.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(hubs, [*bucket, "salt"]).where("uid <> hub")
+    # the overlap is at most the smaller size, the union at least the larger one
+    pairs = pairs.where(F.least("size", "hub_size") >= F.lit(SIMILAR) * F.greatest("size", "hub_size"))
+    links = _links(d, keys, pairs.select(F.least("uid", "hub").alias("a"), F.greatest("uid", "hub").alias("b")).distinct())
+    roots = settle(components(links), "roots")
 
-    roots, first, width, live = None, 0, 1, buckets
-    while True:
-        # members of buckets that still hold two classes and a pivot to try
-        live = rooted(live.select(*buckets.columns), roots, "uid", "root")
-        live = live.withColumns({"_apart": F.min("root").over(of_bucket) != F.max("root").over(of_bucket), "_last": F.max("rank").over(of_bucket)})
-        live = settle(live.where(F.col("_apart") & (F.col("_last") > first)).drop("_apart", "_last"), "live")
-        left = live.count()
-        if not left:
-            break
-        width = max(1, min(width, MOST_PAIRS // left))
-        pivots = live.where(F.col("rank").between(first, first + width - 1))
-        pivots = pivots.select("band", "value", F.col("uid").alias("pivot"), F.col("size").alias("pivot_size"), F.col("rank").alias("pivot_rank"), F.col("root").alias("pivot_root"))
-        pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = live.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(pivots, ["band", "value", "salt"])
-        pairs = pair(met.where("pivot_rank < rank and pivot_root <> root"), "pivot", "uid", "pivot_size", "size")
-        if first == 1:
-            apart = rooted(live.where("side_uid is not null"), roots, "side_uid", "side_root").where("root <> side_root")
-            pairs = pairs.unionByName(pair(apart, "side_uid", "uid", "side_size", "size")).distinct()
-        links = _links(d, keys, pairs)
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = settle(components(links), "roots")
-        first, width = first + width, width * 8
+    # members of buckets that still hold two classes meet in blocks; a block's members are copied to each pair of blocks that it is in
+    live = settle(rooted(members, roots, "uid", "root"), "live")
+    apart = live.groupBy(*bucket).agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low <> _high")
+    live = live.drop("met").join(apart.select(*bucket, F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), bucket)
+    live = live.withColumn("side", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    live = live.join(reps.select("uid", "sketch"), "uid").select(*bucket, F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "uid", "root", "size", "sketch")
+    order = [*bucket, "i", "j"]
+    near = settle(live.repartition(*order).sortWithinPartitions(*order).mapInPandas(compared, "a long, b long").distinct(), "near")
+    rounds = -(-near.count() // MOST_PAIRS)
+    for r in range(rounds):
+        part = near.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == r)
+        if r:
+            part = rooted(rooted(part, roots, "a", "_ra"), roots, "b", "_rb").where("_ra <> _rb").select("a", "b")
+        links = _links(d, keys, part).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots, old = settle(components(links), "roots"), roots
+        discard(old)
 
     reps = rooted(reps.select(*same, "uid", F.col("_k").alias("rep_k")), roots, "uid", "root")
     least = reps.groupBy("root").agg(F.min("rep_k").alias("class_k"))
