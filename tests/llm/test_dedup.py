@@ -45,14 +45,42 @@ def removed(rows):
     return out
 
 
-def test_suffix_dedup_equals_definition(spark, docs):
-    out = suffix_dedup.remove_copies(spark.createDataFrame(docs, SCHEMA).repartition(3)).select("doc_id", "key", "carved.*").collect()
+@pytest.mark.parametrize("kinds", [4096, 3])
+def test_suffix_dedup_equals_definition(spark, docs, monkeypatch, kinds):
+    """With 3, the passage that eight documents share is dealt on by its windows."""
+    monkeypatch.setattr(suffix_dedup, "MOST_KINDS", kinds)
+    monkeypatch.setattr(suffix_dedup, "HOT", 32 if kinds > 3 else 6)
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(3).selectExpr("*", "key AS _k", "1 AS _runs", "2 AS carved", "3 AS _h")
+    assert (len(suffix_dedup.hot_anchors(suffix_dedup.keyed(frame))) > 0) == (kinds == 3)
+    out = suffix_dedup.remove_copies(frame).select("doc_id", "key", "_k", "_runs", "carved.*").collect()
     want = removed(docs)
     assert len(out) == len(docs)
     for r in out:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[2**63 - 1 if r.doc_id is None else r.doc_id]
 
 
+def test_longest_previous_factors_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LENGTH", 12)
+    r = np.random.default_rng(5)
+    for letters in (1, 2, 3):
+        data = r.integers(97, 97 + letters, 160).astype(np.uint8)
+        starts = np.arange(len(data) - 11)
+        suffix = np.lib.stride_tricks.sliding_window_view(data, 12)[starts]
+        got = suffix_dedup.longest_previous(suffix)
+        common = lambda a, b: next((i for i in range(12) if a[i] != b[i]), 12)
+        want = [max((common(suffix[i], suffix[j]) for j in range(i)), default=0) for i in range(len(starts))]
+        assert got.tolist() == want
+        hit = suffix_dedup.earlier_matches(data, starts, suffix_dedup.Powers())
+        assert hit.tolist() == [w >= 12 for w in want]
+
+
+def test_smaller_before():
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        x = r.permutation(50)
+        assert suffix_dedup.smaller_before(x).tolist() == [next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1) for i in range(50)]
+
+
 def test_long_texts_in_pieces(monkeypatch):
     """Pieces of one text overlap so that no window is lost."""
     import pandas as pd

@@ -5,11 +5,14 @@ far too many to sort, so suffixes meet only where they can match:
 
 1. Every 100-byte window has one anchor, its 32-byte string of smallest hash (the leftmost of equals). Equal windows
    have equal anchors at equal offsets. The consecutive windows of one anchor form a stretch of at most 168 bytes.
-2. Stretches are dealt by anchor. Of equal stretches all but the first are copies outright, and tasks settle this among
-   their own rows before the shuffle, so a passage shared by a third of all documents sends few rows.
-3. Where an anchor has several different stretches, their suffixes are put in suffix order, compared on 100 bytes with
-   ties by position. A suffix with an earlier match then has, as previous smaller position in suffix order, its left
-   neighbour at a common prefix of 100; a next smaller position can only share less. That is its longest previous factor.
+2. Stretches are dealt by anchor, those of hot anchors by their own hash. Of equal stretches all but the first are copies
+   outright, and tasks settle this among their own rows before the shuffle, so a passage shared by a third of all
+   documents sends few rows.
+3. Where an anchor has several different stretches, those suffixes whose 100 bytes recur by hash are put in suffix order.
+   One pass each way finds every suffix's previous and next smaller position in that order; the longer common prefix
+   with one of the two is its longest previous factor, and a factor of 100 makes it a copy.
+4. Hot anchors, with more different stretches than a task should hold, stand at the edges of passages that very many
+   documents share. Their windows are dealt on by the hash of their 100 bytes, again settled in tasks first.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from veilframe.llm.hashing import Powers, mix64, prefix_hash
 
 LENGTH, GRAM = 100, 32
 SLIDE = LENGTH - GRAM + 1
+#: Anchors with so many different stretches in about MOST_SAMPLED documents are taken as hot from the start, others from MOST_KINDS on.
+HOT, MOST_SAMPLED, MOST_KINDS = 32, 5000, 4096
 #: Bytes of text worked on at once in a task; positions inside must fit PLACE bits.
 CHUNK, PLACE = 1 << 20, 21
 PLACED = ("key", "ctx", "_k", "_h", "pos")
-STRETCH = "key long, ctx long, _k long, _h long, pos long, cnt int, off int, done boolean"
+STRETCH = "key long, ctx long, _k long, _h long, pos long, cnt int, off int, done boolean, hot boolean, deal long"
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -69,7 +74,8 @@ def _repeated(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def stretches(batches: Iterator[pd.DataFrame], hot: np.ndarray = np.zeros(0, np.uint64)) -> Iterator[pd.DataFrame]:
+    """The stretches of texts, settled among themselves. hot: keys in order whose stretches are dealt by their own hash."""
     at = Powers()
     low = np.uint64((1 << PLACE) - 1)
     for batch in batches:
@@ -103,14 +109,47 @@ def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.add.reduceat(cnt[d], head) if len(d) else cnt[:0]
             u, h0 = order[~again[order]], d[head]
             rows = np.concatenate([u, h0])
+            keys, done = np.concatenate([key[u], mix64(ctx[h0])]), np.arange(len(rows)) >= len(u)
+            warm = ~done & member(keys, hot)
             yield pd.DataFrame({
-                "key": np.concatenate([key[u], mix64(ctx[h0])]).view(np.int64), "ctx": ctx[rows].view(np.int64), "_k": k[rows], "_h": h[rows], "pos": pos[rows],
-                "cnt": np.concatenate([cnt[u], total]).astype(np.int32), "off": (a - s)[rows].astype(np.int32), "done": np.arange(len(rows)) >= len(u),
+                "key": keys.view(np.int64), "ctx": ctx[rows].view(np.int64), "_k": k[rows], "_h": h[rows], "pos": pos[rows], "cnt": np.concatenate([cnt[u], total]).astype(np.int32),
+                "off": (a - s)[rows].astype(np.int32), "done": done, "hot": warm, "deal": np.where(warm, mix64(ctx[rows]), keys).view(np.int64),
             })
 
 
+def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each x is in known, which is in order."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return known[at] == x
+
+
+def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stretches with their bytes -> their windows as stretches of one, keyed by the hash of their bytes; of equal ones in a batch all but the first are done."""
+    at = Powers()
+    for batch in batches:
+        for i in range(0, len(batch), 2000):
+            part = batch[i : i + 2000]
+            data, cnt = np.frombuffer(b"".join(part["data"]), np.uint8), part["cnt"].to_numpy().astype(np.int64)
+            sizes = part["data"].map(len).to_numpy()
+            row = np.repeat(np.arange(len(part)), cnt)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+            start = (np.cumsum(sizes) - sizes)[row] + nth
+            p = prefix_hash(data, at)
+            key = mix64((p[start + LENGTH] - p[start]) * at.down[start])
+            k, h, pos = part["_k"].to_numpy()[row], part["_h"].to_numpy()[row], part["pos"].to_numpy()[row] + nth
+            order = np.lexsort((pos, h, k, key))
+            order = order[~_repeated(key[order], k[order], h[order], pos[order])]
+            done = np.zeros(len(order), bool)
+            done[1:] = key[order[1:]] == key[order[:-1]]
+            key = np.where(done, mix64(key[order] + pos[order].view(np.uint64)), key[order]).view(np.int64)
+            yield pd.DataFrame({"key": key, "ctx": key, "_k": k[order], "_h": h[order], "pos": pos[order], "cnt": np.int32(1), "off": np.int32(0), "done": done, "hot": False, "deal": key})
+
+
 def sifted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of key, ctx and position -> copies (done), and the first stretch of each kind where a key has several.
+    """Rows in order of key, ctx and position -> copies (done), and the first stretch of each kind where a key has several or is hot.
 
     Keeps one row between batches, so a key may have any number of rows.
     """
@@ -130,7 +169,10 @@ def sifted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             new[0] = (key[0], ctx[0]) != last[:2]
         last = tuple(live.iloc[-1][list(PLACED)])
         yield live[~new].assign(done=True)
-        kinds = live[new] if held is None else pd.concat([held, live[new]])
+        fresh = live[new]
+        yield fresh[fresh["hot"]]
+        fresh = fresh[~fresh["hot"]]
+        kinds = fresh if held is None else pd.concat([held, fresh])
         if not len(kinds):
             continue
         key = kinds["key"].to_numpy()
@@ -156,24 +198,47 @@ def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["key", "_k", "_h", "pos", "cnt", "data"])
 
 
+def smaller_before(place: np.ndarray) -> np.ndarray:
+    """For each element the index of the nearest smaller one before it, or -1."""
+    out = np.arange(-1, len(place) - 1)
+    while True:
+        off = np.flatnonzero((out >= 0) & (place[np.maximum(out, 0)] > place))
+        if not len(off):
+            return out
+        out[off] = out[out[off]]  # all between are larger too
+
+
+def longest_previous(suffix: np.ndarray) -> np.ndarray:
+    """Longest-previous-factor array of suffixes, rows of LENGTH bytes in order of position: the longest prefix that also begins an earlier one.
+
+    In suffix order (ties by position) a suffix's longest earlier match is with its previous or its next smaller position.
+    """
+    n = len(suffix)
+    order = np.argsort(np.ascontiguousarray(suffix).view(f"S{LENGTH}").ravel(), kind="stable")
+    back = smaller_before(order)
+    ahead = n - 1 - smaller_before(order[::-1])[::-1]
+    out = np.zeros(n, np.int64)
+    for near in (back, ahead):
+        ranks = np.flatnonzero((near >= 0) & (near < n))
+        for i in range(0, len(ranks), 50_000):
+            r = ranks[i : i + 50_000]
+            same = suffix[order[r]] == suffix[order[near[r]]]
+            common = np.where(same.all(axis=1), LENGTH, same.argmin(axis=1))
+            out[order[r]] = np.maximum(out[order[r]], common)
+    return out
+
+
 def earlier_matches(data: np.ndarray, starts: np.ndarray, at: Powers) -> np.ndarray:
-    """For suffixes of data in order of position: does LENGTH bytes of an earlier one begin this one?"""
+    """For suffixes of data in order of position: is the longest previous factor LENGTH bytes? A suffix whose hash is its own has a shorter one."""
     p = prefix_hash(data, at)
     h = (p[starts + LENGTH] - p[starts]) * at.down[starts]
     order = np.argsort(h)
     near = h[order[1:]] == h[order[:-1]]
     may = np.zeros(len(starts), bool)
     may[order[1:][near]] = may[order[:-1][near]] = True
-    may = np.flatnonzero(may)
     out = np.zeros(len(starts), bool)
-    if not len(may):
-        return out
-    text = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts[may]]
-    suffix = np.ascontiguousarray(text).view(f"S{LENGTH}").ravel()
-    order = np.argsort(suffix, kind="stable")
-    ranked = text[order]
-    common = (ranked[1:] == ranked[:-1]).all(axis=1)
-    out[may[order[1:][common]]] = True
+    if may.any():
+        out[may] = longest_previous(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts[may]]) >= LENGTH
     return out
 
 
@@ -212,17 +277,38 @@ def factored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield work(left)
 
 
+def hot_anchors(d: DataFrame) -> np.ndarray:
+    """Keys of anchors that have many different stretches in a sample of documents. Fewer than the sample's stretches / HOT; only the plan follows from them."""
+    count = d.count()
+    part = d if count <= MOST_SAMPLED else d.where(F.pmod(F.xxhash64("_k", "_h"), F.lit(1 << 30)) < F.lit(int(MOST_SAMPLED / count * (1 << 30))))
+    kinds = part.mapInPandas(stretches, STRETCH).where("not done").groupBy("key", "ctx").count().groupBy("key").count().where(F.col("count") >= HOT)
+    return np.sort(np.array([r.key for r in kinds.select("key").collect()], np.int64).view(np.uint64))
+
+
 def copied_runs(docs: DataFrame) -> DataFrame:
     """(_k, _h, runs): for documents with windows that start earlier too, those windows as start << 31 | number."""
     d = keyed(docs)
-    found = d.mapInPandas(stretches, STRETCH).repartition("key").sortWithinPartitions("key", "ctx", "_k", "_h", "pos")
-    found = settle(found.mapInPandas(sifted, STRETCH), "stretches")
-    ask = found.where("not done").groupBy("_k", "_h").agg(F.collect_list(F.struct("key", "pos", "cnt")).alias("at"))
-    bits = d.join(ask, ["_k", "_h"]).dropDuplicates(["_k", "_h"]) if _repeats(d) else d.join(ask, ["_k", "_h"])
-    bits = bits.mapInPandas(cut_out, "key long, _k long, _h long, pos long, cnt int, data binary")
-    bits = bits.repartition("key").sortWithinPartitions("key", "_k", "_h", "pos")
+    hot = hot_anchors(d)
+    order = ["key", "ctx", "_k", "_h", "pos"]
+    sift = lambda rows, name: settle(rows.repartition("deal").sortWithinPartitions(*order).mapInPandas(sifted, STRETCH), name)
+    found = sift(d.mapInPandas(lambda batches: stretches(batches, hot), STRETCH), "stretches")
+    kinds = found.where("not done")
+    texts = d.dropDuplicates(["_k", "_h"]) if _repeats(d) else d
+
+    def with_bytes(some: DataFrame) -> DataFrame:
+        ask = some.groupBy("_k", "_h").agg(F.collect_list(F.struct("key", "pos", "cnt")).alias("at"))
+        return texts.join(ask, ["_k", "_h"]).mapInPandas(cut_out, "key long, _k long, _h long, pos long, cnt int, data binary")
+
+    cold, warm = kinds.where("not hot"), kinds.where("hot")
+    many = settle(cold.groupBy("key").count().where(F.col("count") > MOST_KINDS).select("key"), "hot")
+    if many.take(1):
+        warm, cold = warm.unionByName(cold.join(many, "key", "left_semi")), cold.join(many, "key", "left_anti")
+    bits = with_bytes(cold).repartition("key").sortWithinPartitions("key", "_k", "_h", "pos")
     late = bits.mapInPandas(factored, "_k long, _h long, pos long, cnt int")
     runs = found.where("done").select("_k", "_h", "pos", "cnt").unionByName(late)
+    if warm.take(1):
+        dealt = sift(with_bytes(warm).mapInPandas(windows, STRETCH), "windows")
+        runs = runs.unionByName(dealt.where("done").select("_k", "_h", "pos", "cnt"))
     return runs.groupBy("_k", "_h").agg(F.collect_set(F.shiftleft("pos", 31).bitwiseOR(F.col("cnt").cast("long"))).alias("_runs"))
 
 
@@ -257,12 +343,13 @@ def remove_copies(docs: DataFrame) -> DataFrame:
 
     Earlier means a smaller doc_id, or in the same document an earlier start; null ids rank last, and of different
     texts with one id the one with the smaller hash is earlier. Rows with the same id and text count as one document
-    and get equal results. Texts of under 100 bytes (null and empty ones too) stay whole. Other columns are kept.
+    and get equal results. Texts of under 100 bytes (null and empty ones too) stay whole; very long ones are read in
+    overlapping pieces. A column carved of docs is replaced, all others are kept. An empty table gives an empty result.
     """
     runs = copied_runs(docs)
     k, h = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    kept = docs.withColumns({"_k": k, "_h": h}).join(runs, ["_k", "_h"], "left").drop("_k", "_h")
-    return kept.withColumn("carved", F.pandas_udf(carve, CARVED)("text", "_runs")).drop("_runs")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "carved"]).alias("_row"), k.alias("_k"), h.alias("_h")).join(runs, ["_k", "_h"], "left")
+    return rows.withColumn("carved", F.pandas_udf(carve, CARVED)("_row.text", "_runs")).select("_row.*", "carved")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
