@@ -39,15 +39,32 @@ def test_pack_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string"), PATH).count() == 0
 
 
-def test_windows_hold_target_shares(spark):
-    rows = [(i, "one two three four five " * 200, "ab"[i % 5 == 0]) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    of = {i: s for i, _, s in rows}
-    for weights, share in ((None, 0.8), ({"a": 1, "b": 3}, 0.25)):
-        out = packing.pack(docs, PATH, weights).toPandas()
-        out["a"] = out.length * (out.doc_id.map(of) == "a")
-        early = out[out.sequence_id < 7].groupby("sequence_id")[["a", "length"]].sum()
-        assert (abs(early.a / early.length - share) <= packing.PACKET / packing.WINDOW + 1e-9).all()
+def test_windows_hold_target_shares(spark, monkeypatch):
+    """While all queues last each window has the target shares, then the others share it; the two ways to rank agree."""
+    rows = [(i, "one two three four five " * 200, "aabbc"[i % 5], "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, name string")
+    of, outs = {i: s for i, _, s, _ in rows}, {}
+    for most in (packing.MOST_QUEUES, 1):
+        monkeypatch.setattr(packing, "MOST_QUEUES", most)
+        for want in (None, {"a": 1, "b": 4, "c": 3}):
+            weights = want and spark.createDataFrame(list(want.items()), "source string, weight int")
+            out = packing.pack(docs, PATH, weights).toPandas()
+            share = {s: w / 8 for s, w in want.items()} if want else {"a": 0.4, "b": 0.4, "c": 0.2}
+            early = out.assign(source=out.doc_id.map(of)).pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum", fill_value=0)
+            for s in share:
+                assert (abs(early[s].iloc[:11] / packing.WINDOW - share[s]) <= packing.PACKET / packing.WINDOW + 1e-9).all()
+            if want:  # c ends first, then a and b keep 1 to 4
+                dry = early[(early.c == 0) & (early.a > 0) & (early.b > 0)].iloc[1:-1]
+                assert len(dry) and (abs(dry.a / packing.WINDOW - 0.2) <= packing.PACKET / packing.WINDOW + 1e-9).all()
+            outs[most, bool(want)] = sorted(zip(out.doc_id, out.start, out.length, out.ids_crc32)), early.sum().to_dict()
+    for kind in (True, False):
+        assert outs[1, kind][1] == outs[512, kind][1] and sum(x[2] for x in outs[1, kind][0]) == sum(x[2] for x in outs[512, kind][0])
+
+
+def test_repeated_rows_and_any_order_pack_alike(spark):
+    rows = [(None if i % 4 == 0 else i % 6, f"word{i % 9} " * 60, "ab"[i % 2]) for i in range(40)]
+    pieces = lambda r: sorted(map(str, packing.pack(spark.createDataFrame(r, "doc_id long, text string, source string"), PATH).toPandas().itertuples(index=False)))
+    assert pieces(rows) == pieces(rows[::-1])
 
 
 def test_ranks_are_a_permutation():

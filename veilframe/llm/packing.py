@@ -4,7 +4,9 @@ Each source is a queue of tokens, documents in a fixed order. Deficit round-robi
 earns credit in proportion to its weight and sends a packet when the credit covers one. With equal packets, packet j of
 a queue of weight w is due at (j + 1) / w, so its place among all packets is a count over the queues, in closed form.
 Credit left over in a window, a partition or a task is thus carried on exactly, and each task places its documents alone
-from the queues' totals. Sixteen packets of 128 tokens fill a window; what is left of each queue follows at the end.
+from the queues' totals. Sixteen packets of 128 tokens fill a window; what is left of each queue follows at the end. When
+a queue runs dry, the others share the windows by their weights. With very many queues packets are ranked by a range sort
+of the times they are due.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import before, settle, table
 
 WINDOW, PACKET, END = 2048, 128, 1
-#: More sources than this share queues by hash, so that the totals that every task gets stay small.
-MOST_QUEUES = 4096
+#: Up to so many queues every task gets all totals and counts places itself; beyond, packets are ranked by a range sort.
+MOST_QUEUES = 512
+#: Weights of the registered query, taken in turn by the sources by code point, null last.
+TURNS = (1, 2, 3)
 #: Words whose ids a task remembers, a hundred megabytes or so.
 MOST_WORDS = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,6 +47,17 @@ PLAIN = re.compile(f"[ \\t\\n\\r{_LETTERS}{_DIGITS}{_REST}]*")
 PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[{_REST}]+")
 
 
+_ASCII = bytes([0x20, 0x09, 0x0A, 0x0D, *range(0x21, 0x7F)])
+
+
+def is_plain(text: str) -> bool:
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return not text.encode().translate(None, _ASCII)
+    return PLAIN.fullmatch(text) is not None
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -118,14 +133,14 @@ def tokenised(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
             texts, out = batch["_t"].tolist(), []
             for i in range(0, len(texts), 500):
                 part = texts[i : i + 500]
-                plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in part]
+                plain = list(map(is_plain, part))
                 ready = iter(words.encode([t for t, p in zip(part, plain) if p]))
                 for t, p in zip(part, plain):
                     ids = next(ready) if p else np.array([*tokenizer.encode(t, add_special_tokens=False).ids, END], np.uint32)
                     out.append(shrink(ids))
                 if len(words) > MOST_WORDS:
                     words.clear()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "queue": batch["queue"], "_order": batch["_order"], "n": [len(grown(x)) for x in out], "ids": out})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "name": batch["name"], "_order": batch["_order"], "n": [len(grown(x)) for x in out], "ids": out})
 
     return run
 
@@ -156,26 +171,29 @@ def ranks(queue: np.ndarray, packet: np.ndarray, full: np.ndarray, weight: np.nd
     return out
 
 
-def placed(totals: np.ndarray, weight: np.ndarray | None = None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """totals: tokens of each queue; weight: integers above 0, the queues' shares of every window (default: their own)."""
-    full, left = totals // PACKET, totals % PACKET
-    weight = np.maximum(full, 1) if weight is None else weight
-    tail = int(full.sum()) * PACKET + np.cumsum(left) - left
+def placed(full: np.ndarray | None, weight: np.ndarray | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows with queue, full and tail (the queue's number, full packets and place of its rest) -> pieces.
+
+    full, weight: of all queues by number; None: rows have ranks, the places of their full packets.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 2000):
                 part = batch[i : i + 2000]
-                q0, n, queue = (part[c].to_numpy().astype(np.int64) for c in ("_before", "n", "queue"))
+                q0, n, queue, whole, tail = (part[c].to_numpy().astype(np.int64) for c in ("_before", "n", "queue", "full", "tail"))
                 first = q0 // PACKET
                 cnt = (q0 + n - 1) // PACKET - first + 1
                 row = np.repeat(np.arange(len(part)), cnt)
                 packet = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-                q = queue[row]
                 begin, end = np.maximum(q0[row], packet * PACKET), np.minimum((q0 + n)[row], (packet + 1) * PACKET)
-                last = packet >= full[q]
-                place = np.where(last, tail[q], 0) + begin - packet * PACKET
-                place[~last] += ranks(q[~last], packet[~last], full, weight) * PACKET
+                last = packet >= whole[row]
+                place = np.where(last, tail[row], 0) + begin - packet * PACKET
+                if full is None:
+                    rank = np.concatenate([np.zeros(0, np.int64), *[np.asarray(r, np.int64) for r in part["ranks"] if r is not None]])
+                else:
+                    rank = ranks(queue[row[~last]], packet[~last], full, weight)
+                place[~last] += rank * PACKET
                 size = end - begin
                 over = place % WINDOW + size - WINDOW  # only tails can lie across two windows
                 cut = np.flatnonzero(over > 0)
@@ -189,42 +207,71 @@ def placed(totals: np.ndarray, weight: np.ndarray | None = None) -> Callable[[It
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, weights: dict[str | None, int] | None = None) -> DataFrame:
+def ranked(starts: DataFrame, totals: DataFrame) -> DataFrame:
+    """(uid, ranks): places among all packets of each document's full packets, by the time they are due, ties to the queue's name."""
+    step = 1 << 16
+    blocks = totals.where("full > 0").select("name", "weight", "full", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(full - 1) div {step}"))).alias("b"))
+    packets = blocks.select("name", "weight", F.explode(F.sequence(F.col("b") * step, F.least(F.col("full"), (F.col("b") + 1) * step) - 1)).alias("packet"))
+    order = ["due", "name", "packet"]
+    packets = packets.select("name", "packet", ((F.col("packet") + 1) / F.col("weight")).alias("due")).repartitionByRange(*order).sortWithinPartitions(*order)
+    packets = settle(packets.select("name", "packet", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "packets")
+    along = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = packets.groupBy("p").agg(F.count("*").alias("c"), F.min("m").alias("least")).withColumn("earlier", F.coalesce(F.sum("c").over(along), F.lit(0)))
+    packets = packets.join(F.broadcast(parts), "p").select("name", "packet", (F.col("m") - F.col("least") + F.col("earlier")).alias("rank"))
+    parts_of = starts.join(totals.select("name", "full"), "name").withColumn("last", F.least(F.col("full"), F.expr(f"(_before + n - 1) div {PACKET} + 1")) - 1)
+    mine = parts_of.where(F.expr(f"_before div {PACKET} <= last")).select("uid", "name", F.explode(F.sequence(F.expr(f"_before div {PACKET}"), "last")).alias("packet"))
+    return mine.join(packets, ["name", "packet"]).groupBy("uid").agg(F.transform(F.sort_array(F.collect_list(F.struct("packet", "rank"))), lambda x: x["rank"]).alias("ranks"))
+
+
+def pack(docs: DataFrame, tokenizer: str, weights: DataFrame | None = None) -> DataFrame:
     """A row for each piece of each row of docs(doc_id, text, source, ...).
 
-    A document's ids are those of its text and the end id. weights: share of each source in every window while its
-    queue lasts (others: 1); by default the sources' shares of all tokens, so that all queues end together. A queue is
-    in order of the md5 of doc_id. All windows are full but the last.
+    A document's ids are those of its text and the end id. weights(source, weight): whole numbers above 0, the sources'
+    shares of every window while their queues last (sources without one: 1); by default their shares of all tokens, so
+    that all queues end together. A queue is in order of the md5 of doc_id, then of the text. All windows are full but
+    the last.
 
-    Null and empty texts have the end id alone. Null sources are a queue of their own. Null ids are kept; repeated
-    rows are packed as often as they come. An empty table gives an empty result. Extra columns are ignored.
+    Null and empty texts have the end id alone; very long ones are cut at every packet. Null sources are a queue of
+    their own. Null ids are kept; repeated rows are packed as often as they come. Any number of sources keeps its
+    weights. An empty table gives an empty result. Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    names = docs.select("source").distinct()
-    queue = F.coalesce(F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("int"), F.lit(MOST_QUEUES))
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    by_name = names.limit(MOST_QUEUES + 1).collect()  # bounded: beyond this many sources, queues are by hash
-    if len(by_name) <= MOST_QUEUES:
-        found = sorted((r.source for r in by_name), key=lambda s: (s is None, s or ""))
-        known = spark.createDataFrame(list(enumerate(found)), "queue int, _name string")
-        rows = docs.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_name"))).select(docs["doc_id"], known["queue"], order.alias("_order"), docs["text"])
-        size = len(found)
-        share = np.array([(weights or {}).get(s, 1) for s in found], np.int64)
-    else:
-        rows, size, share = docs.select("doc_id", queue.alias("queue"), order.alias("_order"), "text"), MOST_QUEUES + 1, np.ones(MOST_QUEUES + 1, np.int64)
-    rows = rows.select("doc_id", "queue", "_order", F.coalesce("text", F.lit("")).alias("_t"))
-    tokens = rows.mapInPandas(tokenised(tokenizer), "doc_id long, queue int, _order string, n long, ids binary")
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("t"))  # null last
+    text = F.coalesce("text", F.lit(""))
+    order = F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.md5(text))
+    rows = docs.select("doc_id", named("source").alias("name"), order.alias("_order"), text.alias("_t"))
+    tokens = rows.mapInPandas(tokenised(tokenizer), "doc_id long, name string, _order string, n long, ids binary")
     tokens = settle(tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    sizes = tokens.select("uid", "queue", "n", F.concat("_order", F.lpad(F.hex("uid"), 16, "0")).alias("_order"))
-    totals = np.zeros(size, np.int64)
-    for r in sizes.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # a row for each queue
-        totals[r.queue] = r.n
-    starts = before(sizes, ["queue"], "_order", "n", "_before").select("uid", "_before")
-    rows = tokens.join(starts, "uid").select("doc_id", "queue", "n", "ids", "_before")
-    return rows.mapInPandas(placed(totals, share if weights else None), PIECES)
+    sizes = tokens.select("uid", "name", "n", F.concat("_order", F.lpad(F.hex("uid"), 16, "0")).alias("_order"))
+    totals = sizes.groupBy("name").agg(F.sum("n").alias("n")).withColumns({"full": F.expr(f"n div {PACKET}"), "left": F.col("n") % PACKET, "_hex": F.md5("name")})
+    if weights is None:
+        totals = totals.withColumn("weight", F.greatest("full", F.lit(1)))
+    else:
+        given = weights.groupBy(named("source").alias("name")).agg(F.max("weight").cast("long").alias("weight"))
+        totals = totals.join(given, "name", "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("long")))
+    totals = settle(totals, "totals")
+    size = totals.count()
+    starts = before(sizes, ["name"], "_order", "n", "_before").select("uid", "name", "n", "_before")
+    if size <= MOST_QUEUES:
+        queues = sorted(totals.collect(), key=lambda r: r.name)
+        full, left = (np.array([r[c] for r in queues], np.int64) for c in ("full", "left"))
+        tail = full.sum() * PACKET + np.cumsum(left) - left
+        known = docs.sparkSession.createDataFrame([(r.name, i, r.full, int(t)) for i, (r, t) in enumerate(zip(queues, tail))], "name string, queue int, full long, tail long")
+        rows = tokens.join(starts.select("uid", "_before"), "uid").join(F.broadcast(known), "name")
+        return rows.select("doc_id", "n", "ids", "_before", "queue", "full", "tail").mapInPandas(placed(full, np.array([r.weight for r in queues], np.int64)), PIECES)
+    every = totals.agg(F.sum("full")).first()[0] * PACKET
+    tails = before(totals, [], "_hex", "left", "tail").withColumn("tail", F.col("tail") + every)
+    rows = tokens.join(starts.select("uid", "_before"), "uid").join(tails.select("name", "full", "tail"), "name").join(ranked(starts, totals), "uid", "left")
+    return rows.select("doc_id", "n", "ids", "_before", F.lit(0).alias("queue"), "full", "tail", "ranks").mapInPandas(placed(None, None), PIECES)
+
+
+def turns(docs: DataFrame) -> DataFrame:
+    """(source, weight): TURNS taken in turn by the sources of docs, by code point, null last."""
+    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # a row for each source
+    return docs.select("source").distinct().select("source", F.element_at(F.array(*map(F.lit, TURNS)), (nth - 1) % len(TURNS) + 1).alias("weight"))
 
 
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), turns(docs))
