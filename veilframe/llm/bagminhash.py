@@ -5,14 +5,15 @@ A document is a multiset of 5-word shingles. For a shingle that occurs c times,
 unit of weight inside its interval and a slot of the signature, and counts if its unit is at most c. A slot keeps the
 earliest time. Two documents agree in a slot with probability sum(min)/sum(max) of their counts, without bias, and the
 cost of a shingle follows log c, not c. Slots are banded. In each band's bucket all members meet the one that meets most
-others; then, in buckets that still hold two classes, all members meet in blocks, on a sketch of a byte a slot. Pairs that
-the sketch does not rule out are verified on their multisets.
+others; then, in buckets that still hold two classes, all members meet in blocks, on a sketch of a byte a slot. Those that
+the sketch does not rule out meet once more with their multisets; a task verifies their pairs and gives only the links that
+join two of its classes, so its result grows with its members.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Candidates are sent to executors whole up to so many rows (24 bytes each), else joined by a shuffle.
 MOST_BROADCAST = 1_000_000
-#: Members of a bucket meet in blocks of about so many; so many pairs are verified at once; a bucket's members are dealt by a salt.
-BLOCK, MOST_PAIRS, SALTS = 4096, 20_000_000, 16
+#: Members of a bucket meet in blocks of about so many, with about so many bytes of multisets; a bucket's members meet its hub dealt by a salt.
+BLOCK, BLOCK_BYTES, SALTS = 4096, 32 << 20, 16
 SIGNATURE = "_k long, _h long, n_words long, s1 long, s2 long, bands array<long>, sketch binary"
 
 
@@ -116,14 +117,15 @@ def multisets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["uid", "items", "counts"])
 
 
-def meeting(key: np.ndarray, side: np.ndarray, cross: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with one key (neighbours have it) that have different roots, fitting sizes and agreeing sketches.
+def meeting(key: np.ndarray, side: np.ndarray, cross: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, band: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with one key (neighbours have it) that have different roots, fitting sizes, agreeing sketches, and meet in no band before this one.
 
     cross: the key's rows are of two blocks, and only rows of different sides meet.
     """
     end = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
     end = end[np.searchsorted(end, np.arange(len(key)), side="right")]
     rows, lag, left, right = np.arange(len(key)), 1, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    before = np.arange(bands.shape[1])
     while True:
         rows = rows[rows + lag < end[rows]]
         if not len(rows):
@@ -132,25 +134,22 @@ def meeting(key: np.ndarray, side: np.ndarray, cross: np.ndarray, root: np.ndarr
         low, high = np.minimum(size[rows], size[other]), np.maximum(size[rows], size[other])
         may = (root[rows] != root[other]) & (low >= SIMILAR * high) & (~cross[rows] | (side[rows] != side[other]))
         a, b = rows[may], other[may]
-        near = np.concatenate([(sketch[a[i : i + 20000]] == sketch[b[i : i + 20000]]).sum(axis=1) >= AGREE for i in range(0, len(a), 20000)]) if len(a) else may[:0]
-        left.append(a[near])
-        right.append(b[near])
+        for i in range(0, len(a), 20_000):
+            x, y = a[i : i + 20_000], b[i : i + 20_000]
+            near = (sketch[x] == sketch[y]).sum(axis=1) >= AGREE
+            x, y = x[near], y[near]
+            first = ~((bands[x] == bands[y]) & (before[None, :] < band[x, None])).any(axis=1)
+            left.append(x[first])
+            right.append(y[first])
         lag += 1
 
 
-def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of band, value, i and j -> pairs (a, b) of uids. A key has the rows of two blocks at most."""
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        key = part.groupby(["band", "value", "i", "j"], sort=False).ngroup().to_numpy()
-        uid, sketch = part["uid"].to_numpy(), np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), -1)
-        a, b = meeting(key, part["side"].to_numpy(), (part["i"] != part["j"]).to_numpy(), part["root"].to_numpy(), part["size"].to_numpy(), sketch)
-        return pd.DataFrame({"a": np.minimum(uid[a], uid[b]), "b": np.maximum(uid[a], uid[b])}).drop_duplicates()
-
+def keys_of(batches: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """work on the rows of whole keys band, value, i and j, in their order. A key has the rows of two blocks at most."""
     left = None
     for batch in batches:
         batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
-        last = (batch[["band", "value", "i", "j"]] == batch[["band", "value", "i", "j"]].iloc[-1]).all(axis=1).to_numpy() if len(batch) else np.zeros(0, bool)
+        last = (batch[PLACE] == batch[PLACE].iloc[-1]).all(axis=1).to_numpy() if len(batch) else np.zeros(0, bool)
         left, ready = batch[last], batch[~last]
         if len(ready):
             yield work(ready)
@@ -158,18 +157,68 @@ def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield work(left)
 
 
+PLACE = ["band", "value", "i", "j"]
+
+
+def _met(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    key = part.groupby(PLACE, sort=False).ngroup().to_numpy()
+    bytes_of = lambda c, kind: np.frombuffer(b"".join(part[c]), kind).reshape(len(part), -1)
+    return meeting(key, part["side"].to_numpy(), (part["i"] != part["j"]).to_numpy(), part["root"].to_numpy(), part["size"].to_numpy(), bytes_of("sketch", np.uint8), part["band"].to_numpy(), np.stack(part["bands"].to_list()))
+
+
+def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Uids of the rows that meet a row which the sketches do not rule out."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"uid": np.unique(part["uid"].to_numpy()[np.concatenate(_met(part))])})
+
+    return keys_of(batches, work)
+
+
+def overlaps(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Whether a multiset (items in order, counts) is similar to each of others: sum of smaller counts over sum of larger ones."""
+    items, counts = one
+    sizes = np.array([len(x) for x, _ in others])
+    its, cts = np.concatenate([x for x, _ in others]), np.concatenate([c for _, c in others])
+    at = np.searchsorted(items, its)
+    at[at == len(items)] = 0
+    begin = np.cumsum(sizes) - sizes
+    both = np.add.reduceat(np.where(items[at] == its, np.minimum(counts[at], cts), 0), begin)
+    return both >= SIMILAR * (counts.sum() + np.add.reduceat(cts, begin) - both)
+
+
+def _bags(items: pd.Series, counts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(i, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64)) for i, c in zip(items, counts)]
+
+
+def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) of rows with multisets: similar pairs, as many as join all rows that similar pairs join."""
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = _met(part)
+        uid, bags, out = part["uid"].to_numpy(), _bags(part["items"], part["counts"]), []
+        # classes of the task, the rows of one root together from the start
+        of = np.unique(part["root"].to_numpy(), return_inverse=True)[1]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        for part_of in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1) if len(a) else ():
+            x, ys = a[part_of[0]], b[part_of]
+            ys = ys[of[ys] != of[x]]
+            if not len(ys):
+                continue
+            for y in ys[overlaps(bags[x], [bags[y] for y in ys])]:
+                if of[y] != of[x]:
+                    out.append((uid[x], uid[y]))
+                    of[of == of[y]] = of[x]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return keys_of(batches, work)
+
+
 def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose multisets overlap enough: sum of smaller counts over sum of larger ones."""
+    """Pairs whose multisets overlap enough."""
     for batch in batches:
-        keep = []
-        for items_a, counts_a, items_b, counts_b in zip(batch["items_a"], batch["counts_a"], batch["items_b"], batch["counts_b"]):
-            ia, ib = np.frombuffer(items_a, np.uint64), np.frombuffer(items_b, np.uint64)
-            ca, cb = np.frombuffer(counts_a, np.uint32).astype(np.int64), np.frombuffer(counts_b, np.uint32).astype(np.int64)
-            at = np.searchsorted(ib, ia)
-            at[at == len(ib)] = 0
-            hit = ib[at] == ia
-            both = int(np.minimum(ca[hit], cb[at[hit]]).sum())
-            keep.append(both >= SIMILAR * (int(ca.sum()) + int(cb.sum()) - both))
+        keep = [bool(overlaps(a, [b])[0]) for a, b in zip(_bags(batch["items_a"], batch["counts_a"]), _bags(batch["items_b"], batch["counts_b"]))]
         yield batch.loc[keep, ["a", "b"]]
 
 
@@ -187,12 +236,16 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInPandas(multisets, "uid long, items binary, counts binary").dropDuplicates(["uid"])
 
 
+def _multisets(docs: DataFrame, keys: DataFrame, uids: DataFrame) -> DataFrame:
+    return settle(_fetch(docs, settle(keys.join(uids, "uid").select("uid", "_k", "_h"), "wanted")), "multisets")
+
+
 def _links(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs(a, b) that are similar enough."""
     pairs = settle(pairs, "pairs")
     old = pairs
     ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    sets = settle(_fetch(docs, settle(keys.join(ends, "uid").select("uid", "_k", "_h"), "wanted")), "multisets")
+    sets = _multisets(docs, keys, ends)
     for end in ("a", "b"):
         side = sets.select(F.col("uid").alias(end), F.col("items").alias(f"items_{end}"), F.col("counts").alias(f"counts_{end}"))
         pairs = pairs.join(side, end)
@@ -238,21 +291,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = settle(components(links), "roots")
 
     # members of buckets that still hold two classes meet in blocks; a block's members are copied to each pair of blocks that it is in
-    live = settle(rooted(members, roots, "uid", "root"), "live")
-    apart = live.groupBy(*bucket).agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low <> _high")
-    live = live.drop("met").join(apart.select(*bucket, F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), bucket)
-    live = live.withColumn("side", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    live = live.join(reps.select("uid", "sketch"), "uid").select(*bucket, F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "uid", "root", "size", "sketch")
-    order = [*bucket, "i", "j"]
-    near = settle(live.repartition(*order).sortWithinPartitions(*order).mapInPandas(compared, "a long, b long").distinct(), "near")
-    rounds = -(-near.count() // MOST_PAIRS)
-    for r in range(rounds):
-        part = near.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == r)
-        if r:
-            part = rooted(rooted(part, roots, "a", "_ra"), roots, "b", "_rb").where("_ra <> _rb").select("a", "b")
-        links = _links(d, keys, part).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots, old = settle(components(links), "roots"), roots
-        discard(old)
+    live = settle(rooted(members, roots, "uid", "root").drop("met"), "live")
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        apart = rows.groupBy(*bucket).agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.greatest(F.count("*") / BLOCK, F.sum(F.col("size") * 12) / BLOCK_BYTES).alias("_n")).where("_low <> _high")
+        out = rows.join(apart.select(*bucket, F.ceil("_n").cast("int").alias("blocks")), bucket)
+        out = out.withColumn("side", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        out = out.select(*bucket, F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "uid", "root", "size")
+        return out.join(reps.select("uid", "sketch", "bands"), "uid")
+
+    dealt = lambda rows: rows.repartition(*PLACE).sortWithinPartitions(*PLACE)
+    near = settle(dealt(in_blocks(live)).mapInPandas(compared, "uid long").distinct(), "near")
+    if near.take(1):
+        sets = _multisets(d, keys, near)
+        links = settle(dealt(in_blocks(live.join(near, "uid", "left_semi")).join(sets, "uid")).mapInPandas(joined, "a long, b long"), "links")
+        links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = settle(components(links), "roots")
 
     reps = rooted(reps.select(*same, "uid", F.col("_k").alias("rep_k")), roots, "uid", "root")
     least = reps.groupBy("root").agg(F.min("rep_k").alias("class_k"))
