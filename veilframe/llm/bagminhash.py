@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import discard, settle, table
+from veilframe.llm.common import discard, settle, small_batches, table
 from veilframe.llm.components import components
 from veilframe.llm.hashing import Powers, mix64, shingles, texts_in_groups, word_hashes
 
@@ -224,6 +224,7 @@ def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with _k, its id with null last, _t, its text with null as empty, and _h, a hash of the text."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_k"), F.xxhash64(text).alias("_h"), text.alias("_t"))
 

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to a Python worker at once: buffers on both sides follow it, whatever the rows' length.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that Spark sends to Python workers in this session. Results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share. Spark removes it when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import before, settle, table
+from veilframe.llm.common import before, settle, small_batches, table
 
 WINDOW, PACKET, END = 2048, 128, 1
 #: Up to so many queues every task gets all totals and counts places itself; beyond, packets are ranked by a range sort.
@@ -235,6 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, weights: DataFrame | None = None) -> D
     their own. Null ids are kept; repeated rows are packed as often as they come. Any number of sources keeps its
     weights. An empty table gives an empty result. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     named = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("t"))  # null last
     text = F.coalesce("text", F.lit(""))
     order = F.concat(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.md5(text))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import settle, table
+from veilframe.llm.common import settle, small_batches, table
 
 NEAREST, EVERY = 20, 20
 #: Candidates met at once, queries in a block, rows of a part; half-width of the error bound in standard deviations.
@@ -176,6 +176,7 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     result. Extra columns are ignored.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     # single-precision vectors are kept as they are; scores are computed in double precision
     single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
     kind, width = ("float", 4) if single else ("double", 8)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import settle, table
+from veilframe.llm.common import settle, small_batches, table
 
 #: A valid class stands on so many pages; to take texts from marked articles, on so many and such a share of the host's pages.
 LEAST_PAGES, LEAST_INSIDE, LEAST_SHARE = 3, 5, 0.8
@@ -278,6 +278,7 @@ def extract(pages: DataFrame) -> DataFrame:
     texts; its region follows from its own pages. Very long pages are read whole. An empty table gives an empty result.
     Extra columns are ignored.
     """
+    small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     source = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64(source).alias("page"), source.alias("html")).withColumn("uid", F.xxhash64("host", "page", "page_id", "url"))

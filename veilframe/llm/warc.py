@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import scratch, table
+from veilframe.llm.common import scratch, small_batches, table
 
 #: Equal payloads of fewer bytes all stay responses. Payloads of BIG bytes or more have a file each, of the others a file
 #: holds so many, half a gigabyte at most.
@@ -75,6 +75,7 @@ def write(pages: DataFrame, path: str, date: str | None = None) -> None:
     the first by url counts as the smallest page, the others revisit it. An empty table writes no record. Very long
     pages have a file each. Extra columns are ignored.
     """
+    small_batches(pages.sparkSession)
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = _keys(pages.select("page_id", "url", "html"))
     rows = rows.join(decide(pages), ["_k", "payload_digest"], "left")

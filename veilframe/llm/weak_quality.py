@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import WORD, table
+from veilframe.llm.common import WORD, small_batches, table
 from veilframe.llm.hashing import Powers, mix64, prefix_hash, texts_in_groups
 
 #: Training sample: about so many documents, of so many features in all at most.
@@ -331,6 +331,7 @@ def judge(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     do not matter. Columns poor and kept of docs are replaced, others stay. The result has each row of docs, of an
     empty table none.
     """
+    small_batches(docs.sparkSession)
     weights, _, _ = train(docs, labels)
     poor = F.pandas_udf(scored(weights), "double")
     out = docs.withColumn("poor", poor(F.coalesce("text", F.lit(""))))
