@@ -3,6 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
+from veilframe.plans.written import with_luhn
 from veilframe.functions.otp import STEP, Verifier, hotp
 from veilframe.sources import requests
 from veilframe.streaming import process
@@ -13,10 +14,23 @@ def one(spark, value, f, kind="string"):
 
 
 def test_checksums(spark):
-    assert one(spark, "7707083893", X.inn_valid) and not one(spark, "7707083894", X.inn_valid)
-    assert one(spark, "500100732259", X.inn_valid) and not one(spark, "", X.inn_valid)
-    assert one(spark, "11223344595", X.snils_valid) and not one(spark, "11223344596", X.snils_valid)
-    assert one(spark, "4111111111111111", X.luhn_valid) and not one(spark, "0", X.luhn_valid)
+    check = lambda d, weights: sum(int(x) * w for x, w in zip(d, weights)) % 11 % 10
+    ten = "362814095" + str(check("362814095", X.INN_10))
+    twelve = "3628140957" + str(check("3628140957", X.INN_11))
+    twelve += str(check(twelve, X.INN_12))
+    snils = "90811630" + "2"
+    snils += f"{sum(int(x) * w for x, w in zip(snils, range(9, 0, -1))) % 101 % 100:02}"
+    card = with_luhn("402960001234567")
+    for number, valid in ((ten, X.inn_valid), (twelve, X.inn_valid), (snils, X.snils_valid), (card, X.luhn_valid)):
+        assert one(spark, number, valid) and not one(spark, number[:-1] + str((int(number[-1]) + 1) % 10), valid)
+    assert not one(spark, "", X.inn_valid) and not one(spark, "0", X.luhn_valid)
+
+
+def test_codes_of_the_standard():
+    """RFC 6238, appendix B, SHA-256."""
+    secret = b"12345678901234567890123456789012"
+    for at, code in ((59, "46119246"), (1111111109, "68084774"), (1111111111, "67062674"), (1234567890, "91819424"), (2000000000, "90698825")):
+        assert hotp(secret, at // STEP) == code
 
 
 def test_forms(spark):
@@ -49,11 +63,17 @@ def test_code_is_used_once():
 
 
 def test_requests(spark):
-    bodies = [('{"payload":"a","payload_id":"1"}', ("a", "1")), ('{"payload":"a"}', None), ("x", None), (None, None), ('{"payload":"\\u0430","payload_id":"2","n":{"payload":"z"}}', ("а", "2"))]
+    bodies = [('{"payload":5,"payload_id":"x"}', None), ('{"payload":"a","payload":"b","payload_id":"x"}', ("b", "x")), ('{"payload":{"payload":"a"},"payload_id":"x"}', None), ('{"payload":"a","payload_id":"1"}', ("a", "1")), ('{"payload":"a"}', None), ("x", None), (None, None), ('{"payload":"\\u0430","payload_id":"2","n":{"payload":"z"}}', ("а", "2"))]
     df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)], "i int, b string").select("i", requests.parse_request(F.col("b")).alias("r"))
     assert {r.i: r.r and tuple(r.r) for r in df.collect()} == {i: want for i, (_, want) in enumerate(bodies)}
 
 
+def test_find_string(spark):
+    bodies = [('{"k":"a"}', "a"), ('{"k":5}', None), ('{"n":{"k":"a"}}', None), ("x", None), (None, None), ('{"k":"5","z":1}', "5")]
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)], "i int, b string").select("i", requests.find_string(F.col("b"), "k").alias("k"))
+    assert {r.i: r.k for r in df.collect()} == {i: want for i, (_, want) in enumerate(bodies)}
+
+
 def test_profiles(spark, tmp_path):
     (tmp_path / "p.yaml").write_text("systems:\n  crm:\n    enabled: true\n    mask_mode: token\n    pii_types: [fio, card, nonsense]\n    irreversible: [cvv]\nlimits:\n  ttl: 9\n")
     p = requests.load_profiles(spark, str(tmp_path / "p.yaml"))["crm"]
@@ -65,6 +85,8 @@ def test_replay(spark):
     rows = [("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 1, None)]
     got = process.replay(spark.createDataFrame(rows, "payload_id string, seq long, payload string")).orderBy("payload_id", "seq").collect()
     assert [(r.action, r.answer) for r in got] == [("mask", "x"), ("mask", "x"), ("restore", "x"), ("mask", None)]
+    kept = process.replay(spark.createDataFrame(rows, "payload_id string, seq long, payload string"), demask=False).orderBy("payload_id", "seq").collect()
+    assert [(r.action, r.answer) for r in kept] == [("mask", "x"), ("mask", "x"), ("echo", "y"), ("mask", None)]
 
 
 def test_stream_equals_replay(spark, tmp_path):

@@ -76,7 +76,7 @@ def unmask_df(df: DataFrame, key: bytes, now: Column, payload_id: Column | None
     start = F.struct(F.lit("").alias("out"), F.col("masked").alias("rest"), F.lit(None).cast("string").alias("error")).cast(state)
 
     def step(a: Column, r: Column) -> Column:
-        at = F.locate_at(a["rest"], r["label"]) if hasattr(F, "locate_at") else F.call_function("instr", a["rest"], r["label"])
+        at = F.call_function("instr", a["rest"], r["label"])
         error = F.coalesce(a["error"], F.when(r["value"].isNull(), "cannot open"), F.when(at == 0, "label not found"))
         out = F.concat(a["out"], F.substring(a["rest"], F.lit(1), at - 1), F.coalesce(r["value"], F.lit("")))
         rest = F.substring(a["rest"], at + F.length(r["label"]), F.length(a["rest"]))

@@ -18,13 +18,24 @@ def _of_kind(values: dict[str, int], default: int = 0) -> Column:
 
 
 def placed(cands: DataFrame, c: DataFrame, docs: DataFrame) -> DataFrame:
-    """Candidates with their text and what stands around them. Toll-free numbers are no one's phone and go."""
+    """Candidates with their value and what stands around them; doc_id is the document's again, part its segment's.
+
+    Values are cut where the text is: a text meets the places of its candidates once, however many they are. Toll-free
+    numbers are no one's phone and go.
+    """
     names = [n for n in c.columns if n.startswith(("left", "right", "c_"))]
-    lo = c.select(F.col("doc_id").alias("_d"), F.col("pos").alias("_p"), F.struct("flags", "sentence", *[n for n in names if not n.startswith("right")], *[n for n in names if n.startswith("right")], "kind").alias("L"))
+    lo = c.select(F.col("doc_id").alias("_d"), F.col("pos").alias("_p"), F.struct("flags", "sentence", *names, "kind").alias("L"))
     hi = c.select(F.col("doc_id").alias("_d2"), F.col("pos").alias("_p2"), F.struct("flags", *[n for n in names if not n.startswith("left")]).alias("H"))
     d = cands.join(lo, (F.col("doc_id") == F.col("_d")) & (F.col("lo") == F.col("_p"))).join(hi, (F.col("doc_id") == F.col("_d2")) & (F.col("hi") == F.col("_p2"))).drop("_d", "_p", "_d2", "_p2")
-    d = d.join(docs.select(F.col("doc_id").alias("_d"), F.coalesce("text", F.lit("")).alias("text")), F.col("doc_id") == F.col("_d")).drop("_d")
-    d = d.withColumn("value", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+    d = d.withColumn("part", F.col("doc_id")).withColumn("doc_id", F.col("part.id"))
+    places = cands.groupBy(F.col("doc_id.id").alias("_d")).agg(F.collect_set(F.struct("start", "end")).alias("places"))
+    text = docs.select("doc_id", "text").join(places, F.col("doc_id") == F.col("_d"))
+    cut = lambda p: F.struct(
+        p["start"].alias("_s"), p["end"].alias("_e"), F.substring("text", p["start"] + 1, p["end"] - p["start"]).alias("value"),
+        F.substring("text", F.greatest(p["start"] - 20, F.lit(0)) + 1, F.least(p["start"], F.lit(20))).alias("before"), F.substring("text", p["end"] + 1, F.lit(20)).alias("after"), F.length("text").alias("chars"),
+    )
+    text = text.select("_d", F.inline(F.transform("places", cut)))
+    d = d.join(text, (F.col("doc_id") == F.col("_d")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e"))).drop("_d", "_s", "_e")
     return d.where((F.col("ty") != "phone") | ~digits_of(F.col("value")).rlike("^[78]80[04]"))
 
 
@@ -45,10 +56,9 @@ def collect(d: DataFrame, offices: DataFrame | None = None, persons: DataFrame |
     words = inner("words") + (L("kind") == "word").cast("int")
     mask, window = _of_kind(KEYWORD_MASK).cast("long"), _of_kind(KEYWORD_WINDOW, 5)
     keyword = F.when(window == 12, near(mask, 12)).when(window == 10, near(mask, 10)).otherwise(near(mask, 5))
-    folded, left = fold(F.col("value")), F.substring("text", F.greatest(F.col("start") - 20, F.lit(0)) + 1, F.least(F.col("start"), F.lit(20)))
-    right = F.substring("text", F.col("end") + 1, F.lit(20))
+    folded, left, right = fold(F.col("value")), F.col("before"), F.col("after")
     digits = digits_of(F.col("value"))
-    plus = (F.col("start") > 0) & (F.substring("text", F.col("start"), F.lit(1)) == "+")
+    plus = left.endswith("+")
     form = (
         F.when(ty == "fio", (words >= 3) | some("patr") | (some("name") & (some("surn") | some("patr"))))
         .when(ty == "phone", ((F.length(digits) == 11) & digits.rlike("^[78]")) | plus)
@@ -62,7 +72,7 @@ def collect(d: DataFrame, offices: DataFrame | None = None, persons: DataFrame |
     else:
         d = d.withColumn("_public", F.lit(None).cast("boolean"))
     public = F.coalesce("_public", F.lit(False))
-    fio, person, short = ty == "fio", ty.isin(*PERSON_LIKE), F.length("text") < 64
+    fio, person, short = ty == "fio", ty.isin(*PERSON_LIKE), F.col("chars") < 64
     eponym, possess = has(L("left2"), "eponym_head"), has(L("left2"), "possess_head")
     quoted = left.rlike('["«][ \\t]*$')
     if offices is not None:
@@ -72,7 +82,7 @@ def collect(d: DataFrame, offices: DataFrame | None = None, persons: DataFrame |
     fired = {
         "E_CHECKSUM": ((ty == "card") & luhn_valid(digits)) | ((ty == "inn") & inn_valid(digits)),
         "E_KW_NEAR": (mask != 0) & keyword,
-        "E_WHOLE": short & (F.length("value") * 10 >= F.length("text") * 9) & ~public,
+        "E_WHOLE": short & (F.length("value") * 10 >= F.col("chars") * 9) & ~public,
         "E_POSSESS": fio & possess & ~eponym, "E_ROLE": near(flag("role"), 5), "E_FORM": form, "E_DOCCTX": near(flag("doc_ctx"), 8),
         "E_CAPS": starts_capital(F.col("value")) & (words >= 2), "E_ORGADDR": (ty == "address") & F.col("_office") & ~has_flat_number(folded),
         "E_PUBLIC_FULL": fio & public, "E_PUBLIC_SURN": fio & ~public & some("public_person"), "E_EPONYM": fio & eponym,
@@ -80,23 +90,42 @@ def collect(d: DataFrame, offices: DataFrame | None = None, persons: DataFrame |
         "E_TITLE": person & quoted & right.rlike('^[ \\t]*["»]'), "E_TITLE ": person & right.rlike('^[ \\t]*["«]'),
     }
     codes = F.filter(F.array(*[F.when(cond, F.lit(code.strip())) for code, cond in fired.items()]), lambda x: x.isNotNull())
-    return d.select("doc_id", "rule", "ty", "start", "end", "start_b", "end_b", "score", "value", F.col("L.sentence").alias("sentence"), codes.alias("codes"))
+    return d.select("doc_id", "part", "rule", "ty", "start", "end", "start_b", "end_b", "score", "value", F.col("L.sentence").alias("sentence"), codes.alias("codes"))
 
 
 from veilframe.functions.types import FLAG_NAMES as _FLAG_NAMES  # noqa: E402
 
 
-def office_match(d: DataFrame, offices: DataFrame) -> DataFrame:
-    """Adds _office: the value's key holds an office's key or lies in one, from 12 bytes on.
+#: Characters of the pieces by which containment is joined: keys of LEAST_KEY bytes have so many.
+PIECE = 6
+
+
+def _pieces(key: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - PIECE + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(PIECE))))
 
-    Offices are few: their keys go to every task as one array, of checked size.
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (inner, outer) of keys where outer holds inner; inner(key) and outer(key) are distinct, inner of LEAST_KEY bytes or more.
+
+    An inner key can lie only where all its pieces do: it is joined by the one that fewest outer keys have, then looked up.
     """
-    keys = [r["key"] for r in offices.where(F.octet_length("key") >= LEAST_KEY).limit(10_001).collect()]
-    if len(keys) > 10_000:
-        raise ValueError("more than 10,000 offices: use rules.office_join")
-    key = address_key(F.col("value"))
-    hit = F.exists(F.array(*map(F.lit, keys)).cast("array<string>"), lambda k: F.contains(key, k) | (F.contains(k, key) & (F.octet_length(key) >= LEAST_KEY)))
-    return d.withColumn("_office", (F.col("ty") == "address") & hit)
+    has = outer.select(F.col("key").alias("outer"), F.explode(_pieces(F.col("key"))).alias("piece"))
+    often = has.groupBy("piece").agg(F.count("*").alias("n"))
+    mine = inner.select(F.col("key").alias("inner"), F.explode(_pieces(F.col("key"))).alias("piece")).join(often, "piece", "left")
+    # a piece that no outer key has rules the inner key out
+    mine = mine.groupBy("inner").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    return mine.join(has, "piece").where(F.contains("outer", "inner")).select("inner", "outer")
+
+
+def office_match(d: DataFrame, offices: DataFrame) -> DataFrame:
+    """Adds _office: the value's key holds an office's key or lies in one, from LEAST_KEY bytes on. Any number of offices."""
+    d = d.withColumn("_key", address_key(F.col("value")))
+    long = F.octet_length("key") >= LEAST_KEY
+    keys = d.where("ty = 'address'").select(F.col("_key").alias("key")).distinct()
+    known = offices.select("key").distinct()
+    hits = contained(known.where(long), keys).select(F.col("outer").alias("_hit")).unionByName(contained(keys.where(long), known).select(F.col("inner").alias("_hit"))).distinct()
+    d = d.join(hits, F.col("_key") == F.col("_hit"), "left")
+    return d.withColumn("_office", (F.col("ty") == "address") & F.col("_hit").isNotNull()).drop("_key", "_hit")
 
 
 def weigh(codes: Column) -> Column:
@@ -122,7 +151,7 @@ def decide(d: DataFrame) -> DataFrame:
 def with_holes(d: DataFrame, t: DataFrame) -> DataFrame:
     """decided candidates -> with holes, the parts of addresses that stay visible."""
     found = address_holes(t).withColumnRenamed("doc_id", "_d")
-    d = d.join(found, (F.col("doc_id") == F.col("_d")) & (F.col("ty") == "address"), "left").drop("_d")
+    d = d.join(found, (F.col("part") == F.col("_d")) & (F.col("ty") == "address"), "left").drop("_d", "part")
     inside = F.filter("all_holes", lambda h: (h["start"] >= F.col("start")) & (h["end"] <= F.col("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return d.withColumn("holes", F.coalesce(F.when(F.col("rule") == "address", inside), none)).drop("all_holes")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from veilframe.functions.text import LETTERS, MAIL, SPACES, WORD_RE, fold
+from veilframe.functions.text import LETTERS, MAIL, SPACES
+from veilframe.functions.types import FLAG
 
 MARK = "\x01"
 #: Pieces tile the marked text: an e-mail's right side, a word, digits, white space or any one character.
 PIECES = rf"{MARK}@[{MAIL}]+|[{LETTERS}]+|[0-9]+|[{SPACES}]+|[\s\S]"
-#: The dictionary goes to executors whole up to so many entries, else it is joined by a shuffle.
+#: The dictionary goes to executors whole up to so many entries, about 100 MB, else it is joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
 
@@ -21,9 +28,11 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 
 def kind(piece):
+    """By the first code point: several regular expressions a piece would cost more than the rest."""
+    c = F.ascii(piece)
     return (
-        F.when(piece.startswith(MARK + "@"), "email").when(piece.rlike(WORD_RE), "word").when(piece.rlike("^[0-9]"), "digits")
-        .when(piece.rlike(f"^[{SPACES}]"), "space").when(piece.isin("-", "/", ".", ","), "sep").otherwise("other")
+        F.when(c.between(97, 122) | c.between(65, 90) | c.between(0x400, 0x47F), "word").when(c.between(48, 57), "digits").when((c == 32) | c.between(9, 13), "space")
+        .when(c.between(44, 47), "sep").when((c == 1) & (F.length(piece) > 1), "email").otherwise("other")
     )
 
 
@@ -31,52 +40,153 @@ def by_place() -> Window:
     return Window.partitionBy("doc_id").orderBy("pos")
 
 
-def tokens(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
+#: Categories of words that can begin or anchor a candidate; digits, e-mails and initials can too.
+ANCHORS = sum(FLAG[n] for n in "name surn patr geo country kw_addr addr_marker kw_org role kw_card kw_holder".split())
+#: Tokens are kept so many content tokens and bytes on either side of an anchor: rules reach 33 content tokens, their contexts 20 more.
+REACH, REACH_BYTES = 60, 256
+_MAIL = re.compile(f"([{MAIL}]+)@([{MAIL}]+)")
+_PIECES = re.compile(PIECES)
+_WORDS = re.compile(f"[{LETTERS}]+")
+_CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ")
+_KINDS = ("word", "digits", "space", "sep", "other", "email")
+TOKEN = "pos int, kind string, surface string, folded string, flags long, start int, end int, start_b int, end_b int, at int, n_c int, n_b int, content boolean, rank int, sentence int, stop boolean, seg int"
+
+
+def folded_word(w: str) -> str:
+    return w.lower().replace("ё", "е")
+
+
+def _kind_of(piece: str) -> int:
+    c = piece[0]
+    if "a" <= c <= "z" or "A" <= c <= "Z" or "Ѐ" <= c <= "ѿ":
+        return 0
+    if "0" <= c <= "9":
+        return 1
+    if c in " \t\n\x0b\f\r":
+        return 2
+    if c in "-/.,":
+        return 3
+    return 5 if c == MARK and len(piece) > 1 else 4
+
+
+def placed_tokens(text: str, flags_of: dict[str, int], around: bool) -> dict | None:
+    """Columns of a text's tokens (TOKEN, without kind names); around: those near anchors alone, in numbered segments."""
+    if around and not ("@" in text or _DIGIT.search(text) or _INITIALS.search(text)):
+        if not any(flags_of.get(folded_word(w), 0) & ANCHORS for w in set(_WORDS.findall(text))):
+            return None
+    pieces = _PIECES.findall(_MAIL.sub(rf"\1{MARK}@\2", text) if "@" in text else text)
+    if not pieces:
+        return None
+    kind = np.array([_kind_of(p) for p in pieces], np.int8)
+    for i in np.flatnonzero(kind == 5):
+        pieces[i] = pieces[i][1:]
+    n_c = np.array([len(p) for p in pieces], np.int64)
+    n_b = n_c if text.isascii() else np.array([len(p.encode()) for p in pieces], np.int64)
+    at, at_b = np.cumsum(n_c) - n_c, np.cumsum(n_b) - n_b
+    folded: list[str | None] = [None] * len(pieces)
+    flags = np.zeros(len(pieces), np.int64)
+    for i in np.flatnonzero(kind == 0).tolist():
+        folded[i] = w = folded_word(pieces[i])
+        flags[i] = flags_of.get(w, 0)
+    content = (kind < 2) | (kind == 5)
+    rank = np.cumsum(content)
+    dot = np.array([p == "." for p in pieces])
+    stop, line = np.zeros(len(pieces), bool), np.array([k == 2 and "\n" in p for k, p in zip(kind, pieces)])
+    stop[1:] = dot[1:] & (kind[:-1] == 0) & (n_c[:-1] >= 3)
+    ends = stop | line
+    start, start_b = at.copy(), at_b.copy()
+    for i in np.flatnonzero(kind == 5):
+        j = i
+        while j and (kind[j - 1] < 2 or pieces[j - 1] in (".", "-", "_", "+")):
+            j -= 1
+        start[i], start_b[i] = at[j], at_b[j]
+    seg, keep = np.zeros(len(pieces), np.int64), np.ones(len(pieces), bool)
+    if around:
+        anchor = (flags & ANCHORS != 0) | (kind == 1) | (kind == 5)
+        for i in np.flatnonzero((kind == 0) & (n_b == 2)).tolist():
+            anchor[i] |= i + 1 < len(pieces) and dot[i + 1] and pieces[i][0] in _CAPITALS
+        hit = np.flatnonzero(anchor)
+        if not len(hit):
+            return None
+        places = np.flatnonzero(content)
+        near = lambda to: places[np.clip(to, 0, len(places) - 1)]
+        lo = np.minimum(near(rank[hit] - 1 - REACH), np.searchsorted(at_b, at_b[hit] - REACH_BYTES))
+        hi = np.maximum(near(rank[hit] - 1 + REACH), np.searchsorted(at_b, at_b[hit] + n_b[hit] + REACH_BYTES) - 1)
+        # past the last content token the text's end belongs to the segment
+        lo, hi = np.where(rank[hit] - 1 <= REACH, 0, lo), np.where(rank[hit] - 1 + REACH >= len(places) - 1, len(pieces) - 1, hi)
+        change = np.zeros(len(pieces) + 1, np.int64)
+        np.add.at(change, lo, 1)
+        np.add.at(change, hi + 1, -1)
+        keep = np.cumsum(change[:-1]) > 0
+        first = keep.copy()
+        first[1:] &= ~keep[:-1]
+        seg = np.cumsum(first)
+    out = {
+        "pos": np.arange(len(pieces)), "kind": kind, "surface": np.array(pieces, object), "folded": np.array(folded, object), "flags": flags, "start": start, "end": at + n_c, "start_b": start_b, "end_b": at_b + n_b,
+        "at": at, "n_c": n_c, "n_b": n_b, "content": content, "rank": rank, "sentence": np.cumsum(ends) - ends, "stop": stop, "seg": seg,
+    }
+    return {c: v[keep] for c, v in out.items()}
+
+
+_DIGIT, _INITIALS = re.compile("[0-9]"), re.compile(rf"[A-ZА-ЯЁ][{LETTERS}]*[^{LETTERS}0-9]+(?:[А-ЯЁ]|[A-Z][A-Za-z])\.")
+
+
+def lexed(flags_of, around: bool):
+    """flags_of: a broadcast of the dictionary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = flags_of.value if flags_of is not None else {}
+        names = np.array(_KINDS, object)
+        for batch in batches:
+            held, size = [], 0
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                t = placed_tokens(text, known, around)
+                if t is not None:
+                    held.append((doc, t))
+                    size += len(t["pos"])
+                if size > 20_000:
+                    yield _frame(held, names)
+                    held, size = [], 0
+            if held:
+                yield _frame(held, names)
+
+    return run
+
+
+def _frame(held: list[tuple], names: np.ndarray) -> pd.DataFrame:
+    docs = np.empty(len(held), object)
+    docs[:] = [d for d, _ in held]
+    out = {"doc_id": docs[np.repeat(np.arange(len(held)), [len(t["pos"]) for _, t in held])]}
+    out |= {c: np.concatenate([t[c] for _, t in held]) for c in held[0][1]}
+    out["kind"] = names[out["kind"]]
+    return pd.DataFrame(out)
+
+
+def tokens(docs: DataFrame, dictionary: DataFrame, around: bool = False) -> DataFrame:
     """docs(doc_id, text), dictionary(folded, flags) -> a row a token.
 
     at: where its piece starts; start, end, start_b, end_b: place in characters and bytes, an e-mail's with its left
     side, whose words are tokens too; content: words, digits and e-mails; rank: number of content tokens up to here;
     sentence: boundaries before it (a dot after three letters or more, a line break).
 
-    Document ids are unique. Null text is empty and has no tokens.
+    around: only tokens near those that can begin or anchor a candidate, with doc_id as (id, seg): what is left of a
+    text in one piece is a segment. Rules see in a segment all that they would see in the whole text.
+
+    Document ids are unique. Null text is empty and has no tokens. The dictionary goes to executors whole up to
+    MOST_BROADCAST entries; a larger one is joined by a shuffle, and all tokens are kept.
     """
-    t = pieces(docs).withColumn("kind", kind(F.col("piece"))).withColumn("surface", F.regexp_replace("piece", f"^{MARK}@", "@"))
-    t = t.withColumn("folded", F.when(F.col("kind") == "word", fold(F.col("surface")))).drop("piece")
+    spark = docs.sparkSession
     if dictionary.limit(1).count() == 0:
         raise ValueError("an empty dictionary would leave all names unmasked")
-    words = dictionary.select(F.col("folded").alias("_w"), "flags")
-    t = t.join(F.broadcast(words) if words.count() <= MOST_BROADCAST else words, F.col("folded") == F.col("_w"), "left").drop("_w")
-    t = t.withColumn("flags", F.coalesce("flags", F.lit(0).cast("long"))).withColumns({"n_c": F.length("surface"), "n_b": F.octet_length("surface"), "content": F.col("kind").isin("word", "digits", "email")})
-    w = by_place()
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({"at": F.coalesce(F.sum("n_c").over(earlier), F.lit(0)), "at_b": F.coalesce(F.sum("n_b").over(earlier), F.lit(0)), "prev_kind": F.lag("kind").over(w), "prev_len": F.lag("n_c").over(w)})
-    t = t.withColumns({"end": F.col("at") + F.col("n_c"), "end_b": F.col("at_b") + F.col("n_b"), "rank": F.sum(F.col("content").cast("int")).over(upto)})
-    mail = F.col("kind").isin("word", "digits") | F.col("surface").isin(".", "-", "_", "+")
-    stop = (F.col("surface") == ".") & (F.col("prev_kind") == "word") & (F.col("prev_len") >= 3)
-    line = (F.col("kind") == "space") & F.col("surface").contains("\n")
-    t = t.withColumns({
-        "left": F.coalesce(F.max(F.when(~mail, F.struct("end", "end_b"))).over(earlier), F.struct(F.lit(0).alias("end"), F.lit(0).alias("end_b"))),
-        "stop": F.coalesce(stop, F.lit(False)), "sentence": F.coalesce(F.sum((F.coalesce(stop, F.lit(False)) | line).cast("int")).over(earlier), F.lit(0)),
-    })
-    is_mail = F.col("kind") == "email"
-    t = t.withColumns({"start": F.when(is_mail, F.col("left.end")).otherwise(F.col("at")), "start_b": F.when(is_mail, F.col("left.end_b")).otherwise(F.col("at_b"))})
-    return t.select("doc_id", "pos", "kind", "surface", "folded", "flags", "start", "end", "start_b", "end_b", "at", "n_c", "n_b", "content", "rank", "sentence", "stop")
-
-
-#: A capitalised word before an initial with its dot: what names outside the dictionary need at least.
-INITIALS = rf"[A-ZА-ЯЁ][{LETTERS}]*[^{LETTERS}0-9]+(?:[А-ЯЁ]|[A-Z][A-Za-z])\."
-
-
-def relevant(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Documents that can hold a candidate: with a digit, an @, a name with initials, or a dictionary word.
-
-    Tokens of the others are never shuffled. Dictionary words are looked for only where nothing else speaks for a text.
-    """
-    docs = docs.select("doc_id", "text").where("text is not null")
-    sure = F.col("text").rlike("[0-9@]") | F.col("text").rlike(INITIALS)
-    rest = docs.where(~sure)
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"[{LETTERS}]+"), F.lit(0)), fold))
-    known = dictionary.select(F.col("folded").alias("_w"))
-    found = rest.select("doc_id", F.explode(words).alias("_x")).join(F.broadcast(known) if known.count() <= MOST_BROADCAST else known, F.col("_x") == F.col("_w"), "left_semi").select("doc_id").distinct()
-    return docs.where(sure).unionByName(rest.join(found, "doc_id", "left_semi"))
+    small = dictionary.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    flags_of = spark.sparkContext.broadcast({r.folded: r.flags for r in dictionary.collect()}) if small else None
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *_parse(TOKEN)])
+    t = docs.select("doc_id", "text").where("text is not null").mapInPandas(lexed(flags_of, around and small), schema)
+    if not small:
+        words = dictionary.select(F.col("folded").alias("_w"), F.col("flags").alias("_f"))
+        t = t.join(words, F.col("folded") == F.col("_w"), "left").withColumn("flags", F.coalesce("_f", F.lit(0).cast("long"))).drop("_w", "_f")
+    return t.withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), "seg")).drop("seg") if around else t.drop("seg")
+
+
+def _parse(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)

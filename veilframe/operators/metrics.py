@@ -36,3 +36,10 @@ def exposition(df: DataFrame, name: str, labels: list[str], value: str) -> DataF
     """Text lines name{label="..."} value."""
     pairs = F.concat_ws(",", *[F.concat(F.lit(f'{x}="'), F.col(x).cast("string"), F.lit('"')) for x in labels])
     return df.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def mean_and_rate(df: DataFrame, value: str, ts: str, by: list[str]) -> DataFrame:
+    """Mean of value, number of rows, and rows a second of the time between the first and the last one."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    seconds = F.greatest(F.lit(1e-6), (F.max(micros) - F.min(micros)) / 1e6)
+    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.count("*").alias("n"), F.round(F.count("*") / seconds, 6).alias("per_second"))

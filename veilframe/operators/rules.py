@@ -219,14 +219,14 @@ def of_names(t: DataFrame, c: DataFrame) -> DataFrame:
     )
     gap = F.when(F.col("kind") == "space", " ").when(F.col("surface") == ".", ".").otherwise("-")
     cells = c.select("doc_id", "pos", letter.alias("cell")).unionByName(t.where("not content").select("doc_id", "pos", gap.alias("cell")))
-    tape = cells.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "cell"))), lambda x: x["cell"]), "").alias("tape"))
+    tape = cells.groupBy("doc_id").agg(F.min("pos").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "cell"))), lambda x: x["cell"]), "").alias("tape"))
     tape = tape.where(F.col("tape").rlike("[NKIVW]"))
     g, any_word = "[ .-]*", "[A-Zw]"
     more = "(?:[ .]*[NKMIWJ])*"
     grammar = f"[UVIW]{g}[IWJK](?:{g}[IWJK])*|[VW]{g}{any_word}{g}[UVIW]{g}[UVIW]|[UVIW] [NK]{more}|[NK]{more}"
-    found = tape.select("doc_id", F.posexplode(F.regexp_extract_all("tape", F.lit(rf"{grammar}|[\s\S]"), F.lit(0))).alias("nth", "piece"))
+    found = tape.select("doc_id", "first", F.posexplode(F.regexp_extract_all("tape", F.lit(rf"{grammar}|[\s\S]"), F.lit(0))).alias("nth", "piece"))
     w = Window.partitionBy("doc_id").orderBy("nth")
-    found = found.withColumns({"lo": F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"), "then": F.lead("piece").over(w)})
+    found = found.withColumns({"lo": (F.col("first") + F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int"), "then": F.lead("piece").over(w)})
     found = found.where("length(piece) > 1 or piece in ('N', 'K')")
     dot = F.col("piece").rlike("[IWJK]$") & F.coalesce(F.col("then").startswith("."), F.lit(False))
     found = found.select("doc_id", "lo", (F.col("lo") + F.length("piece") - 1).cast("int").alias("hi"), dot.cast("int").alias("dot"))

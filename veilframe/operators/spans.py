@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.text import SPACES
 from veilframe.functions.types import KINDS
 
+#: synthetic is a name for stars.
+MODES = ("stars", "token", "synthetic")
 ITEM = "struct<start:int,shorter:int,rank:int,weak:int,ty:string,end:int,start_b:int,holes:array<struct<start:int,end:int>>>"
 STATE = f"struct<until:int,kept:array<{ITEM}>>"
 
@@ -20,11 +22,18 @@ def _item() -> Column:
 def resolve(d: DataFrame) -> DataFrame:
     """Masked candidates -> (doc_id, spans): in order of start, then longer, of higher priority and score; one is
     picked if it starts at or after the end of all picked before it. Equal ones go by kind.
+
+    Candidates that no earlier one reaches begin a group of their own, so the fold is over groups, not over texts.
     """
-    spans = d.where("masked").groupBy("doc_id").agg(F.sort_array(F.collect_list(_item())).cast(f"array<{ITEM}>").alias("all"))
+    order = Window.partitionBy("doc_id").orderBy("item")
+    items = d.where("masked").select("doc_id", _item().cast(ITEM).alias("item"))
+    reach = F.max("item.end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    items = items.withColumn("_new", F.coalesce(F.col("item.start") >= reach, F.lit(True)).cast("int")).withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = items.groupBy("doc_id", "_group").agg(F.sort_array(F.collect_list("item")).alias("all"))
     state = F.struct(F.lit(-1).alias("until"), F.array().cast(f"array<{ITEM}>").alias("kept")).cast(STATE)
     step = lambda a, s: F.when(s["start"] >= a["until"], F.struct(s["end"].alias("until"), F.array_append(a["kept"], s).alias("kept")).cast(STATE)).otherwise(a)
-    return spans.select("doc_id", F.aggregate("all", state, step, lambda a: a["kept"]).alias("spans"))
+    kept = groups.select("doc_id", F.aggregate("all", state, step, lambda a: a["kept"]).alias("kept"))
+    return kept.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("kept"))).alias("spans"))
 
 
 def allowed(d: DataFrame, kinds: list[str] | None) -> DataFrame:
@@ -33,19 +42,17 @@ def allowed(d: DataFrame, kinds: list[str] | None) -> DataFrame:
 
 
 def glue(d: DataFrame) -> DataFrame:
-    """Addresses with exactly one byte (character) between become one span, with the holes of both."""
-    def step(a, s):
-        last = F.element_at(a, -1)
-        joined = F.struct(
-            last["start"].alias("start"), last["shorter"].alias("shorter"), last["rank"].alias("rank"), last["weak"].alias("weak"), last["ty"].alias("ty"), s["end"].alias("end"),
-            last["start_b"].alias("start_b"), F.concat(last["holes"], s["holes"]).alias("holes"),
-        )
-        fits = (F.size(a) > 0) & (s["ty"] == "address") & (F.try_element_at(a, F.lit(-1))["ty"] == "address") & (F.try_element_at(a, F.lit(-1))["end"] + 1 == s["start"])
-        return F.when(fits, F.array_append(F.slice(a, 1, F.size(a) - 1), joined)).otherwise(F.array_append(a, s))
-
-    start = F.array().cast(f"array<{ITEM}>")
+    """(doc_id, spans): addresses with exactly one character between become one span, with the holes of both."""
     some = F.exists("spans", lambda s: s["ty"] == "address")
-    return d.withColumn("spans", F.when(some, F.aggregate("spans", start, step)).otherwise(F.col("spans")))
+    order = Window.partitionBy("doc_id").orderBy("s.start")
+    one = d.where(some).select("doc_id", F.explode("spans").alias("s"))
+    last = F.lag("s").over(order)
+    follows = (F.col("s.ty") == "address") & (last["ty"] == "address") & (last["end"] + 1 == F.col("s.start"))
+    one = one.withColumn("_new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = one.groupBy("doc_id", "_group").agg(F.min("s").alias("head"), F.max("s.end").alias("end"), F.sort_array(F.flatten(F.collect_list("s.holes"))).alias("holes"))
+    item = F.struct(*[F.col(f"head.{c}").alias(c) for c in ("start", "shorter", "rank", "weak", "ty")], "end", F.col("head.start_b").alias("start_b"), "holes").cast(ITEM)
+    glued = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("spans"))
+    return d.where(~some).select("doc_id", "spans").unionByName(glued)
 
 
 def stars(c: Column) -> Column:
@@ -73,7 +80,9 @@ def masked_text(text: Column, spans: Column, mode: str) -> Column:
 
 
 def mask(docs: DataFrame, resolved: DataFrame, mode: str = "stars") -> DataFrame:
-    """docs(doc_id, text) with masked and spans; documents without spans are unchanged, null texts stay null."""
+    """docs(doc_id, text) with masked and spans; documents without spans are unchanged, null texts stay null. Ids are unique."""
     none = F.array().cast(f"array<{ITEM}>")
-    d = docs.join(resolved.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").drop("_d").withColumn("spans", F.coalesce("spans", none))
+    if mode not in MODES:
+        raise ValueError(f"mask mode {mode} is none of {', '.join(MODES)}")
+    d = docs.join(resolved.select(F.col("doc_id").alias("_d"), F.col("spans").alias("_spans")), F.col("doc_id") == F.col("_d"), "left").drop("_d").withColumn("spans", F.coalesce("_spans", none)).drop("_spans")
     return d.withColumn("masked", F.when(F.size("spans") == 0, F.col("text")).otherwise(masked_text(F.col("text"), F.col("spans"), mode)))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.operators import evidence, rules, spans
-from veilframe.operators.lexer import relevant, tokens
+from veilframe.operators.lexer import tokens
 
 
 @dataclass(frozen=True)
@@ -34,34 +33,77 @@ class Knowledge:
 
 
 def analysed(docs: DataFrame, known: Knowledge) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tokens in context, content tokens and placed candidates of docs(doc_id, text).
+    """Tokens in context, content tokens and placed candidates of docs(doc_id, text) with unique ids.
 
-    All rules read the first two, so these are kept (in memory, then on the executors' disks; lost parts are made
-    again). They stay dealt and sorted by document, so that no rule shuffles tokens again. Call unpersist() when done.
+    Only tokens near what can begin a candidate leave the task that reads a text. All rules read the first two tables,
+    so these are checkpointed, as the candidates are: plans stay small, lost executors cost nothing, and rows stay dealt
+    and sorted by segment, so that no rule shuffles tokens again. Checkpoints hold texts' words: they stand below
+    spark.checkpoint.dir until the application ends, and are removed then.
     """
+    spark = docs.sparkSession
     # rules are wide expressions; inferring filters from them takes the optimiser minutes and finds none
-    docs.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    t = rules.context(tokens(relevant(docs, known.dictionary), known.dictionary)).persist(StorageLevel.MEMORY_AND_DISK)
-    c = rules.content(t).persist(StorageLevel.MEMORY_AND_DISK)
-    return t, c, evidence.placed(rules.candidates(t, c), c, docs)
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    shared_folder(spark)
+    t = rules.context(tokens(docs, known.dictionary, around=True)).checkpoint()
+    c = rules.content(t).checkpoint()
+    return t, c, evidence.placed(rules.candidates(t, c).checkpoint(), c, docs)
+
+
+def shared_folder(spark: SparkSession) -> None:
+    """Have a checkpoint folder: the one the session names, or one of this machine's if Spark runs on it alone."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or "/tmp/checkpoints")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
 def decisions(docs: DataFrame, known: Knowledge) -> DataFrame:
-    """A row for each candidate: doc_id, rule, ty, places, codes, total, vetoed, masked, holes."""
+    """A row for each candidate of docs(doc_id, text) with unique ids: doc_id, rule, ty, places, codes, total, vetoed, masked, holes."""
     t, _, d = analysed(docs, known)
     return evidence.with_holes(evidence.decide(evidence.collect(d, known.offices, known.persons)), t)
 
 
+def text_key(text: Column) -> Column:
+    """What texts are analysed and joined by: equal texts have equal masks, whatever their rows' ids."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the different texts of docs, by their key."""
+    return docs.where("text is not null").select(text_key(F.col("text")).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+
+
 def mask_df(docs: DataFrame, known: Knowledge, profile: Profile = Profile()) -> DataFrame:
-    """docs with masked and spans under a profile; docs must have unique doc_id and text."""
-    found = spans.glue(spans.allowed(spans.resolve(decisions(docs, known)), None if profile.kinds is None else list(profile.kinds)))
-    return spans.mask(docs, found, profile.mask_mode)
+    """docs(text, ...) with masked and spans under a profile.
+
+    Rows are masked by their text alone: ids may be null, repeated or missing, and equal texts get equal masks. A null
+    text stays null, an empty one empty. Columns masked and spans of docs are replaced, all others are kept. An empty
+    table gives an empty result; an empty dictionary is refused.
+    """
+    found = spans.glue(spans.allowed(spans.resolve(decisions(texts(docs), known)), None if profile.kinds is None else list(profile.kinds)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("masked", "spans")])
+    out = spans.mask(docs.select(row.alias("_row"), text_key(F.col("text")).alias("doc_id"), "text"), found, profile.mask_mode)
+    return out.select("_row.*", "spans", "masked")
 
 
 def explain_df(docs: DataFrame, known: Knowledge) -> DataFrame:
-    """A row for each span that is masked after resolution or rejected: doc_id, status, ty, start_b, total, codes."""
-    d = decisions(docs, known).withColumn("_item", F.struct("start", "end", "ty"))
+    """A row for each span of each row of docs(doc_id, text) that is masked after resolution or rejected: doc_id, status, ty, start_b, total, codes, rule.
+
+    Rows with null or repeated ids are explained like others, each by its own text.
+    """
+    d = decisions(texts(docs), known).withColumn("_item", F.struct("start", "end", "ty"))
     kept = spans.resolve(d).select(F.col("doc_id").alias("_d"), F.explode("spans").alias("s")).select("_d", F.struct("s.start", "s.end", "s.ty").alias("_kept")).distinct()
     d = d.join(kept, (F.col("doc_id") == F.col("_d")) & (F.col("_item") == F.col("_kept")), "left")
     status = F.when(~F.col("masked"), "rejected").when(F.col("_d").isNotNull(), "masked").otherwise("overlapped")
-    return d.withColumn("status", status).where("status <> 'overlapped'").select("doc_id", "status", "ty", "start_b", "total", "codes", "rule")
+    d = d.withColumn("status", status).where("status <> 'overlapped'").withColumnRenamed("doc_id", "_key")
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"))
+    return rows.join(d, F.col("_text") == F.col("_key")).select("doc_id", "status", "ty", "start_b", "total", "codes", "rule")
+
+
+def detect_spans(docs: DataFrame, known: Knowledge, profile: Profile = Profile()) -> DataFrame:
+    """A row for each span that mask_df masks: doc_id, ty, start, end (characters), start_b."""
+    return mask_df(docs.select("doc_id", "text"), known, profile).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.ty", "s.start", "s.end", "s.start_b")

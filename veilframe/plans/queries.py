@@ -11,13 +11,24 @@ from veilframe.functions import text as X
 from veilframe.functions.types import FLAG, FLAG_NAMES, KINDS
 from veilframe.operators import envelope, evidence, metrics, rules, spans
 from veilframe.operators import lexer as lex
-from veilframe.plans.pipeline import Knowledge, Profile, analysed
+from veilframe.plans import written
+from veilframe.plans.pipeline import Knowledge, Profile, analysed, mask_df
+from veilframe.plans.pipeline import decisions as decisions_of
 from veilframe.sources import corpus, dictionaries, requests
 from veilframe.streaming import process
 
+#: The analysis that queries of one table look at; the one before is let go.
 _kept: dict[tuple, tuple] = {}
 
 
+def forget() -> None:
+    """Let go of the analysis kept for later queries."""
+    for frames in _kept.values():
+        for f in frames:
+            f.unpersist()
+    _kept.clear()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,6 +41,7 @@ def _engine(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Tokens, content tokens and decided candidates of documents; kept, as many queries look at them."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
+        forget()
         known = Knowledge(dictionaries.builtin(spark))
         t, c, d = analysed(documents(spark, sf_dir), known)
         _kept[key] = t, c, evidence.with_holes(evidence.decide(evidence.collect(d)), t).persist()
@@ -98,25 +110,25 @@ def _runs(spark, sf_dir):
 
 
 def digit_runs(spark, sf_dir):
-    return _runs(spark, sf_dir).select("doc_id", "digits", F.array_join("groups", "-").alias("shape"), F.col("sep"))
+    return _runs(spark, sf_dir).select("doc_id.id", "digits", F.array_join("groups", "-").alias("shape"), F.col("sep")).withColumnRenamed("id", "doc_id")
 
 
 def run_shapes(spark, sf_dir):
-    return _runs(spark, sf_dir).groupBy(F.array_join("groups", "-").alias("shape")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return _runs(spark, sf_dir).groupBy(F.array_join("groups", "-").alias("shape")).agg(F.count("*").alias("n"), F.count_distinct("doc_id.id").alias("docs"))
 
 
 def luhn_cards(spark, sf_dir):
     r = _runs(spark, sf_dir).where("total between 13 and 19")
-    return r.select("doc_id", "digits", X.luhn_valid(F.col("digits")).alias("valid"))
+    return r.select(F.col("doc_id.id").alias("doc_id"), "digits", X.luhn_valid(F.col("digits")).alias("valid"))
 
 
 def phone_candidates(spark, sf_dir):
-    return rules.of_phones(_engine(spark, sf_dir)[0]).select("doc_id", "start", "end")
+    return rules.of_phones(_engine(spark, sf_dir)[0]).select(F.col("doc_id.id").alias("doc_id"), "start", "end")
 
 
 def shape_candidates(spark, sf_dir):
     kinds = ("snils", "foreign_passport", "dept_code", "inn", "card")
-    return rules.of_runs(rules.digit_runs(_engine(spark, sf_dir)[1])).where(F.col("rule").isin(*kinds)).groupBy("doc_id", "ty").agg(F.count("*").alias("n"))
+    return rules.of_runs(rules.digit_runs(_engine(spark, sf_dir)[1])).where(F.col("rule").isin(*kinds)).groupBy(F.col("doc_id.id").alias("doc_id"), "ty").agg(F.count("*").alias("n"))
 
 
 def date_candidates(spark, sf_dir):
@@ -151,7 +163,7 @@ def dict_flags(spark, sf_dir):
 
 def env_windows(spark, sf_dir):
     c = _engine(spark, sf_dir)[1]
-    return c.where("flags <> 0 or kind = 'digits'").groupBy("doc_id").agg(*[F.bit_or(f"{side}{n}").alias(f"{side}{n}") for side in ("left", "right") for n in (5, 8, 12)])
+    return c.where("kind = 'digits'").groupBy(F.col("doc_id.id").alias("doc_id")).agg(*[F.bit_or(f"{side}{n}").alias(f"{side}{n}") for side in ("left", "right") for n in (5, 8, 12)])
 
 
 def decisions(spark, sf_dir):
@@ -238,19 +250,46 @@ def envelope_roundtrip(spark, sf_dir):
 
 
 def office_containment(spark, sf_dir):
-    """Part names whose key holds a brand-like office key or lies in one."""
+    """Part names whose key holds the key of another part's name and type, as an office's, or lies in one."""
     p = read(spark, sf_dir, "part")
-    offices = p.where("p_partkey % 50 = 0").select(X.address_key(F.concat_ws(" ", "p_name", "p_type")).alias("key")).distinct()
-    values = p.select("p_partkey", F.concat_ws(", ", "p_name", "p_type", "p_brand").alias("value"), F.lit("address").alias("ty"))
-    return evidence.office_match(values, offices).select("p_partkey", F.col("_office").alias("office"))
+    offices = p.select(X.address_key(F.concat_ws(" ", "p_name", "p_type")).alias("key")).distinct()
+    values = p.select("p_partkey", F.concat_ws(", ", "p_name", "p_brand", "p_type").alias("value"), F.lit("address").alias("ty"))
+    bare = p.select("p_partkey", F.col("p_name").alias("value"), F.lit("address").alias("ty"))
+    match = lambda v, name: evidence.office_match(v, offices).select("p_partkey", F.col("_office").alias(name))
+    return match(values, "branded").join(match(bare, "bare"), "p_partkey")
 
 
 def public_person_semi(spark, sf_dir):
-    known = read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(X.fold(F.regexp_replace("s_name", "Supplier", "Customer")).alias("form"))
+    known = read(spark, sf_dir, "supplier").select(X.fold(F.regexp_replace("s_name", "Supplier", "Customer")).alias("form"))
     c = read(spark, sf_dir, "customer").select("c_custkey", X.fold(F.col("c_name")).alias("form"))
     return c.join(known.distinct(), "form", "left_semi").select("c_custkey")
 
 
+def written_rules(spark, sf_dir):
+    """Order keys written into texts for every rule and kind of evidence: what the rules find and how it is weighed."""
+    docs = written.texts(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")))
+    d = decisions_of(docs.select("doc_id", "text"), Knowledge(dictionaries.builtin(spark)))
+    d = d.join(docs.select("doc_id", "rule"), ["doc_id", "rule"])
+    return d.select("doc_id", "rule", "ty", "start", "end", F.array_join(F.array_sort("codes"), ",").alias("codes"), "total").distinct()
+
+
+def written_masks(spark, sf_dir):
+    """The same texts masked by stars: whether each decided span is masked, by its characters."""
+    docs = written.texts(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")))
+    m = mask_df(docs, Knowledge(dictionaries.builtin(spark)))
+    return m.select("doc_id", F.length("masked").alias("chars"), (F.length("masked") - F.length(F.translate("masked", "*", ""))).alias("stars"))
+
+
+def pii_log(spark, sf_dir):
+    """What is masked in each document by kind, without values."""
+    d = _masked(spark, sf_dir, Profile()).select("doc_id", F.explode("spans").alias("s"))
+    return d.groupBy("doc_id", "s.ty").agg(F.count("*").alias("n"))
+
+
+def latency_rate(spark, sf_dir):
+    return metrics.mean_and_rate(read(spark, sf_dir, "events"), "value", "ts", ["event_type"])
+
+
 def parse_requests(spark, sf_dir):
     body = F.to_json(F.struct(F.col("text").alias("payload"), F.col("conv_id").cast("string").alias("payload_id"), F.struct(F.lit("x").alias("payload")).alias("nested")))
     d = read(spark, sf_dir, "conversations").select("conv_id", "turn", requests.parse_request(body).alias("r"))
@@ -258,8 +297,9 @@ def parse_requests(spark, sf_dir):
 
 
 def find_property(spark, sf_dir):
-    d = read(spark, sf_dir, "events").select("event_id", requests.find_string(F.col("props"), "k").alias("k"))
-    return d.groupBy("k").agg(F.count("*").alias("n"))
+    """Strings of JSON objects: one that is a string, and one that is a number in them and so is not found."""
+    body = F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(F.lit("inner").alias("kind")).alias("nested"), "value"))
+    return read(spark, sf_dir, "events").select("event_id", requests.find_string(body, "kind").alias("kind"), requests.find_string(F.col("props"), "k").alias("k"))
 
 
 def process_replay(spark, sf_dir):
@@ -303,7 +343,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lex_kinds, tokens_placed, email_tokens, folded_texts, address_keys, declined_words, inn_check, snils_check, luhn_check, digit_runs, run_shapes, luhn_cards, phone_candidates, shape_candidates,
         date_candidates, passport_candidates, all_candidates, dict_flags, env_windows, decisions, cooccur_types, counts_by_type, counts_by_evidence, explain, resolved_spans, profile_filter, glued_spans,
         masked_stars, masked_tokens, masked_mail, envelope_roundtrip, office_containment, public_person_semi, parse_requests, find_property, process_replay, latency_buckets, latency_percentiles,
-        latency_exact, exposition, base64_names, corpus_score,
+        latency_exact, exposition, base64_names, corpus_score, written_rules, written_masks, pii_log, latency_rate,
     )
 }
 
@@ -381,12 +421,15 @@ g AS (SELECT *, day - row_number() OVER (PARTITION BY doc_id ORDER BY day) AS is
 SELECT doc_id, (2 * min(day))::INT AS start, (2 * max(day) + 1)::INT AS "end" FROM g GROUP BY doc_id, island""",
     "masked_mail": rf"""SELECT doc_id, md5(CASE WHEN text IS NULL THEN NULL ELSE (WITH x AS (SELECT regexp_extract_all(text, '[{_M}]+@[{_M}]+') AS l, regexp_split_to_array(text, '[{_M}]+@[{_M}]+') AS s)
  SELECT array_to_string(list_transform(range(len(s)), lambda i: s[i + 1] || CASE WHEN i < len(l) THEN repeat('*', length(l[i + 1])) ELSE '' END), '') FROM x) END) AS masked_md5 FROM documents""",
-    "office_containment": """WITH v AS (SELECT p_partkey, regexp_replace(lower(p_name || ', ' || p_type || ', ' || p_brand), '[^0-9a-zа-ѿ]', '', 'g') AS k FROM part),
-o AS (SELECT DISTINCT regexp_replace(lower(p_name || ' ' || p_type), '[^0-9a-zа-ѿ]', '', 'g') AS key FROM part WHERE p_partkey % 50 = 0)
-SELECT p_partkey, EXISTS (SELECT 1 FROM o WHERE strlen(key) >= 12 AND (contains(k, key) OR (contains(key, k) AND strlen(k) >= 12))) AS office FROM v""",
-    "public_person_semi": "SELECT c_custkey FROM customer WHERE lower(c_name) IN (SELECT lower(replace(s_name, 'Supplier', 'Customer')) FROM supplier WHERE s_suppkey % 3 = 0)",
+    "office_containment": """WITH k AS (SELECT p_partkey, regexp_replace(lower(p_name || ', ' || p_brand || ', ' || p_type), '[^0-9a-zа-ѿ]', '', 'g') AS k, regexp_replace(lower(p_name), '[^0-9a-zа-ѿ]', '', 'g') AS b FROM part),
+o AS (SELECT DISTINCT regexp_replace(lower(p_name || ' ' || p_type), '[^0-9a-zа-ѿ]', '', 'g') AS key FROM part),
+h AS (SELECT v, bool_or(contains(v, key) OR (strlen(v) >= 12 AND contains(key, v))) AS hit FROM (SELECT DISTINCT k AS v FROM k UNION SELECT b FROM k) JOIN o ON strlen(key) >= 12 OR strlen(v) >= 12 GROUP BY v)
+SELECT p_partkey, coalesce(x.hit, false) AS branded, coalesce(y.hit, false) AS bare FROM k LEFT JOIN h x ON x.v = k LEFT JOIN h y ON y.v = b""",
+    "public_person_semi": "SELECT c_custkey FROM customer WHERE lower(c_name) IN (SELECT lower(replace(s_name, 'Supplier', 'Customer')) FROM supplier)",
+    "written_rules": written.expected_sql("orders", "o_orderkey"),
+    "latency_rate": "SELECT event_type, round(avg(value), 6) AS mean, count(*) AS n, round(count(*) / greatest(1e-6, epoch(max(ts)) - epoch(min(ts))), 6) AS per_second FROM events GROUP BY event_type",
     "parse_requests": "SELECT conv_id, turn, conv_id::VARCHAR AS payload_id, md5(text) AS payload_md5 FROM conversations",
-    "find_property": "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1",
+    "find_property": "SELECT event_id, event_type AS kind, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') END AS k FROM events",
     "process_replay": """SELECT conv_id AS payload_id, turn AS seq, CASE WHEN text IS NOT DISTINCT FROM f THEN 'mask' ELSE 'restore' END AS action, md5(f) AS answer_md5
 FROM (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations)""",
     "latency_buckets": f"WITH {_HIST} SELECT * FROM h",

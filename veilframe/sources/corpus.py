@@ -51,3 +51,9 @@ def over_masked(df: DataFrame) -> DataFrame:
 def summary(scored: DataFrame) -> DataFrame:
     """Recall by kind; kinds that begin with x_ are neutral."""
     return scored.where("not startswith(ty, 'x_')").groupBy("ty").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).withColumn("recall", F.round(F.col("hit") / F.greatest("n", F.lit(1)), 6))
+
+
+def summary_by_size(df: DataFrame) -> DataFrame:
+    """Mean recall of the cases df(id, size, text, spans, masked) by size: a case's recall is over all its characters to mask."""
+    by_case = score(df).where("not startswith(ty, 'x_')").groupBy("id").agg((F.sum("hit") / F.greatest(F.sum("n"), F.lit(1))).alias("recall"))
+    return df.select("id", "size").join(by_case, "id").groupBy("size").agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("cases"))

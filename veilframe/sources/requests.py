@@ -9,16 +9,26 @@ from veilframe.functions.types import KINDS
 from veilframe.plans.pipeline import Profile
 
 
+def _strings(body: Column, *keys: str) -> tuple[Column, Column]:
+    """The object's properties of these names, the last of repeated ones, and whether all are strings."""
+    parsed = F.from_json(body, F.lit(", ".join(f"`{k}` VARIANT" for k in keys)))
+    text = [F.schema_of_variant(parsed[k]) == "STRING" for k in keys]
+    ok = text[0]
+    for t in text[1:]:
+        ok = ok & t
+    return F.struct(*[F.try_variant_get(parsed[k], "$", "string").alias(k) for k in keys]), F.coalesce(ok, F.lit(False))
+
+
 def parse_request(body: Column) -> Column:
-    """{payload, payload_id} of a JSON object; null unless both are strings."""
-    parsed = F.from_json(body, "payload STRING, payload_id STRING")
-    text = lambda k: F.call_function("get_json_object", body, F.lit(f"$.{k}"))
-    return F.when(text("payload").isNotNull() & text("payload_id").isNotNull(), parsed)
+    """{payload, payload_id} of a JSON object; null unless both are strings. Of repeated properties the last counts."""
+    values, ok = _strings(body, "payload", "payload_id")
+    return F.when(ok, values)
 
 
 def find_string(body: Column, key: str) -> Column:
-    """The value of a top-level key."""
-    return F.from_json(body, F.lit(f"`{key}` STRING"))[key]
+    """The value of a top-level property if it is a string, else null. Of repeated ones the first counts."""
+    _, ok = _strings(body, key)
+    return F.when(ok, F.get_json_object(body, f"$.{key}"))
 
 
 def result_json(masked: Column) -> Column:

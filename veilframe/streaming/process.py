@@ -1,7 +1,7 @@
 """Mask, remember and restore: a keyed state machine as a stream, and its replay as a batch.
 
 The first payload of an id is masked and remembered; the same payload again is masked again; any other payload gets the
-original back. Originals stand in the state store and in checkpoints: keep those encrypted.
+original back, or itself where the profile does not allow restoring. Originals stand in the state store and in checkpoints: keep those encrypted.
 """
 
 from __future__ import annotations
@@ -18,17 +18,18 @@ TTL_SECONDS = 900
 OUT, STATE = "payload_id string, seq long, action string, payload string", "original string"
 
 
-def replay(requests: DataFrame) -> DataFrame:
-    """requests(payload_id, seq, payload) -> with action (mask or restore) and answer, the text to mask or the original.
+def replay(requests: DataFrame, demask: bool = True) -> DataFrame:
+    """requests(payload_id, seq, payload) -> with action (mask, restore or echo) and answer: the text to mask, the original or the payload.
 
-    One window over each id: no time to live.
+    demask: what the profile says; without it nothing is restored. One window over each id: no time to live.
     """
     first = F.first("payload").over(Window.partitionBy("payload_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    action = F.when(F.col("payload").eqNullSafe(first), "mask").otherwise("restore")
-    return requests.select("payload_id", "seq", "payload", action.alias("action"), first.alias("answer"))
+    again = F.col("payload").eqNullSafe(first)
+    action = F.when(again, "mask").otherwise("restore" if demask else "echo")
+    return requests.select("payload_id", "seq", "payload", action.alias("action"), (first if demask else F.when(again, first).otherwise(F.col("payload"))).alias("answer"))
 
 
-def machine(ttl_seconds: int) -> Callable:
+def machine(ttl_seconds: int, demask: bool = True) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -39,7 +40,7 @@ def machine(ttl_seconds: int) -> Callable:
             if not state.exists:
                 state.update((payload,))
             original = state.get[0]
-            out.append((key[0], seq, "mask" if payload == original else "restore", original))
+            out.append((key[0], seq, "mask", original) if payload == original else (key[0], seq, "restore", original) if demask else (key[0], seq, "echo", payload))
         state.update(state.get)  # reading refreshes the time to live
         state.setTimeoutDuration(ttl_seconds * 1000)
         yield pd.DataFrame(out, columns=["payload_id", "seq", "action", "payload"])
@@ -47,20 +48,22 @@ def machine(ttl_seconds: int) -> Callable:
     return step
 
 
-def process_stream(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+def process_stream(requests: DataFrame, ttl_seconds: int = TTL_SECONDS, demask: bool = True) -> DataFrame:
     """The streaming twin of replay(): payload is the text to mask or the original. An id is forgotten ttl_seconds after its last use."""
-    return requests.groupBy("payload_id").applyInPandasWithState(machine(ttl_seconds), OUT, STATE, "append", "ProcessingTimeTimeout")
+    return requests.groupBy("payload_id").applyInPandasWithState(machine(ttl_seconds, demask), OUT, STATE, "append", "ProcessingTimeTimeout")
 
 
 def answer_batch(known: Knowledge, profile: Profile, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: masks what is to be masked and writes payload_id, seq, action, result."""
+    """For foreachBatch: masks what is to be masked and writes payload_id, seq, action, result.
+
+    Each batch has a folder of its own by its number, which a repeated batch writes anew.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        docs = batch.where("action = 'mask'").select(F.struct("payload_id", "seq").cast("string").alias("doc_id"), F.col("payload").alias("text"), "payload_id", "seq")
-        masked = mask_df(docs.select("doc_id", "text").distinct(), known, profile).select(F.col("doc_id").alias("_d"), "masked")
-        done = docs.join(masked, F.col("doc_id") == F.col("_d")).select("payload_id", "seq", F.lit("mask").alias("action"), F.col("masked").alias("result"))
-        rest = batch.where("action = 'restore'").select("payload_id", "seq", "action", F.col("payload").alias("result"))
-        done.unionByName(rest).write.mode("append").parquet(path)
+        masked = mask_df(batch.where("action = 'mask'").withColumnRenamed("payload", "text"), known, profile)
+        done = masked.select("payload_id", "seq", "action", F.col("masked").alias("result"))
+        rest = batch.where("action <> 'mask'").select("payload_id", "seq", "action", F.col("payload").alias("result"))
+        done.unionByName(rest).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
 
