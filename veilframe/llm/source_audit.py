@@ -27,14 +27,14 @@ TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Parts of a frequency, terms in so many documents at least stay, and ranks of the report on terms.
 SCALE, LEAST_DOCS, MOST_RANKS = 1_000_000_000, 3, 200
 #: A task sends on what it has counted once it holds so many terms of its sources.
-MOST_HELD = 300_000
+MOST_HELD = 800_000
 #: Texts are read in pieces of about so many bytes.
 PIECE = 1 << 20
 #: Languages' and sources' totals go to all tasks up to so many pairs of them, a few megabytes; beyond, they are joined.
 MOST_TOTALS = 50_000
 #: Each source's terms are ranked in so many parts first.
 PARTS = 64
-PARTIAL = "lang string, source string, term string, n long, docs long"
+PARTIAL = "lang string, source string, term string, n long, docs long, first boolean"
 
 
 def found(text: bytes, term: re.Pattern = re.compile(TERM)) -> Iterator[list[bytes]]:
@@ -49,16 +49,22 @@ def found(text: bytes, term: re.Pattern = re.compile(TERM)) -> Iterator[list[byt
 
 
 def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) -> PARTIAL rows: occurrences and documents of each term among the rows that a task holds together."""
+    """(lang, source, text) -> PARTIAL rows: occurrences and documents of each term among the rows that a task holds together.
+
+    first marks one row of each term among them, whatever its source.
+    """
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def sent() -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for (lang, source), (n, docs) in held.items():
             terms = list(n)
+            new = set(terms).difference(seen)
+            seen |= new
             for i in range(0, len(terms), 50_000):
                 some = terms[i : i + 50_000]
                 columns = [pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([docs[t] for t in some], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([t in new for t in some], pa.bool_())], ["lang", "source", "term", "n", "docs", "first"])
         held.clear()
 
     for batch in batches:
@@ -169,10 +175,11 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, most_ranks: int = MOST_
     partials = settle(d.mapInArrow(partial_counts, PARTIAL).withColumn("digest", digest(F.col("term"), bits)), "partials")
     groups = d.select("lang", "source").distinct()
 
-    words = settle(partials.groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most")), "words")
+    words = settle(partials.where("first").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("most")), "words")
     split, names = split_collisions(partials, words)
     key = ["lang", "digest", "split"]
-    counts = split.select("lang", "source", "digest", "split", "n", "docs").groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt by term once: rows of a term are few a task already, so nothing would be combined before the shuffle
+    counts = split.select("lang", "source", "digest", "split", "n", "docs").repartition(*key).groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = counts.groupBy(*key).agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("has")).where(F.col("docs") >= least_docs)
     terms = settle(of_term.select(*key, "lang_n", "has"), "terms")
 
