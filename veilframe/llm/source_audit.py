@@ -179,7 +179,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, most_ranks: int = MOST_
     split, names = split_collisions(partials, words)
     key = ["lang", "digest", "split"]
     # dealt by term once: rows of a term are few a task already, so nothing would be combined before the shuffle
-    counts = split.select("lang", "source", "digest", "split", "n", "docs").repartition(*key).groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = split.select("lang", "source", "digest", "split", "n", "docs").repartition("lang", "digest").groupBy("lang", "source", "digest", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = counts.groupBy(*key).agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("has")).where(F.col("docs") >= least_docs)
     terms = settle(of_term.select(*key, "lang_n", "has"), "terms")
 
