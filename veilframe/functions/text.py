@@ -44,6 +44,17 @@ def starts_capital(c: Column) -> Column:
     return c.rlike(CAPITAL_RE)
 
 
+def code_points(b: Column) -> Column:
+    """Code points that begin in a binary column: bytes that are no continuation. For short values."""
+    starts = F.filter(F.sequence(F.lit(1), F.octet_length(b)), lambda i: ~F.hex(F.substring(b, i, F.lit(1))).between("80", "BF"))
+    return F.when(F.octet_length(b) == 0, 0).otherwise(F.size(starts))
+
+
+def valid_utf8(b: Column) -> Column:
+    """Whether each lead byte of a binary column has the continuations it announces and there are no others."""
+    return F.regexp_replace(F.hex(b), r"\G(?:[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F[0-7][89AB].[89AB].[89AB].)", "") == ""
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

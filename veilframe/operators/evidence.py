@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from veilframe.functions.text import address_key, digits_of, fold, has_flat_number, inn_valid, luhn_valid, starts_capital
+from veilframe.functions.text import address_key, code_points, digits_of, fold, has_flat_number, inn_valid, luhn_valid, starts_capital
 from veilframe.functions.types import ANCHORED, EVIDENCE, KEYWORD_MASK, KEYWORD_WINDOW, KINDS, PERSON_LIKE, THRESHOLD
 from veilframe.operators.rules import address_holes, has
 
+#: Texts of fewer characters may consist of one value.
+SHORT = 64
 #: An office's key, or a part of it, speaks for an office from so many bytes on.
 LEAST_KEY = 12
 
@@ -20,6 +23,8 @@ def _of_kind(values: dict[str, int], default: int = 0) -> Column:
 def placed(cands: DataFrame, c: DataFrame, docs: DataFrame) -> DataFrame:
     """Candidates with their value and what stands around them; doc_id is the document's again, part its segment's.
 
+    Of a binary text, values and their surroundings are shown with a sign for what is not UTF-8.
+
     Values are cut where the text is: a text meets the places of its candidates once, however many they are. Toll-free
     numbers are no one's phone and go.
     """
@@ -30,9 +35,13 @@ def placed(cands: DataFrame, c: DataFrame, docs: DataFrame) -> DataFrame:
     d = d.withColumn("part", F.col("doc_id")).withColumn("doc_id", F.col("part.id"))
     places = cands.groupBy(F.col("doc_id.id").alias("_d")).agg(F.collect_set(F.struct("start", "end")).alias("places"))
     text = docs.select("doc_id", "text").join(places, F.col("doc_id") == F.col("_d"))
+    binary = isinstance(docs.schema["text"].dataType, BinaryType)
+    shown = (lambda c: F.make_valid_utf8(c.cast("string"))) if binary else (lambda c: c)
+    length = (lambda c: F.when(F.octet_length(c) < 4 * SHORT, code_points(c)).otherwise(SHORT)) if binary else F.length
+    value = lambda p: F.substring("text", p["start"] + 1, p["end"] - p["start"])
     cut = lambda p: F.struct(
-        p["start"].alias("_s"), p["end"].alias("_e"), F.substring("text", p["start"] + 1, p["end"] - p["start"]).alias("value"),
-        F.substring("text", F.greatest(p["start"] - 20, F.lit(0)) + 1, F.least(p["start"], F.lit(20))).alias("before"), F.substring("text", p["end"] + 1, F.lit(20)).alias("after"), F.length("text").alias("chars"),
+        p["start"].alias("_s"), p["end"].alias("_e"), shown(value(p)).alias("value"), shown(F.substring("text", F.greatest(p["start"] - 20, F.lit(0)) + 1, F.least(p["start"], F.lit(20)))).alias("before"),
+        shown(F.substring("text", p["end"] + 1, F.lit(20))).alias("after"), length(F.col("text")).alias("chars"), length(value(p)).alias("own_chars"),
     )
     text = text.select("_d", F.inline(F.transform("places", cut)))
     d = d.join(text, (F.col("doc_id") == F.col("_d")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e"))).drop("_d", "_s", "_e")
@@ -72,7 +81,7 @@ def collect(d: DataFrame, offices: DataFrame | None = None, persons: DataFrame |
     else:
         d = d.withColumn("_public", F.lit(None).cast("boolean"))
     public = F.coalesce("_public", F.lit(False))
-    fio, person, short = ty == "fio", ty.isin(*PERSON_LIKE), F.col("chars") < 64
+    fio, person, short = ty == "fio", ty.isin(*PERSON_LIKE), F.col("chars") < SHORT
     eponym, possess = has(L("left2"), "eponym_head"), has(L("left2"), "possess_head")
     quoted = left.rlike('["«][ \\t]*$')
     if offices is not None:
@@ -82,7 +91,7 @@ def collect(d: DataFrame, offices: DataFrame | None = None, persons: DataFrame |
     fired = {
         "E_CHECKSUM": ((ty == "card") & luhn_valid(digits)) | ((ty == "inn") & inn_valid(digits)),
         "E_KW_NEAR": (mask != 0) & keyword,
-        "E_WHOLE": short & (F.length("value") * 10 >= F.col("chars") * 9) & ~public,
+        "E_WHOLE": short & (F.col("own_chars") * 10 >= F.col("chars") * 9) & ~public,
         "E_POSSESS": fio & possess & ~eponym, "E_ROLE": near(flag("role"), 5), "E_FORM": form, "E_DOCCTX": near(flag("doc_ctx"), 8),
         "E_CAPS": starts_capital(F.col("value")) & (words >= 2), "E_ORGADDR": (ty == "address") & F.col("_office") & ~has_flat_number(folded),
         "E_PUBLIC_FULL": fio & public, "E_PUBLIC_SURN": fio & ~public & some("public_person"), "E_EPONYM": fio & eponym,

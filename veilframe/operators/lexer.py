@@ -2,40 +2,23 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from veilframe.functions.text import LETTERS, MAIL, SPACES
 from veilframe.functions.types import FLAG
+from veilframe.operators import scanner
+from veilframe.operators.scanner import DIGITS, EMAIL, SPACE, WORD, Scan
 
-MARK = "\x01"
-#: Pieces tile the marked text: an e-mail's right side, a word, digits, white space or any one character.
-PIECES = rf"{MARK}@[{MAIL}]+|[{LETTERS}]+|[0-9]+|[{SPACES}]+|[\s\S]"
 #: The dictionary goes to executors whole up to so many entries, about 100 MB, else it is joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, pos, piece). The right side of each e-mail address is marked first."""
-    marked = F.regexp_replace(F.coalesce("text", F.lit("")), f"([{MAIL}]+)@([{MAIL}]+)", f"$1{MARK}@$2")
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all(marked, F.lit(PIECES), F.lit(0))).alias("pos", "piece"))
-
-
-def kind(piece):
-    """By the first code point: several regular expressions a piece would cost more than the rest."""
-    c = F.ascii(piece)
-    return (
-        F.when(c.between(97, 122) | c.between(65, 90) | c.between(0x400, 0x47F), "word").when(c.between(48, 57), "digits").when((c == 32) | c.between(9, 13), "space")
-        .when(c.between(44, 47), "sep").when((c == 1) & (F.length(piece) > 1), "email").otherwise("other")
-    )
-
-
 def by_place() -> Window:
     return Window.partitionBy("doc_id").orderBy("pos")
 
@@ -44,122 +27,124 @@ def by_place() -> Window:
 ANCHORS = sum(FLAG[n] for n in "name surn patr geo country kw_addr addr_marker kw_org role kw_card kw_holder".split())
 #: Tokens are kept so many content tokens and bytes on either side of an anchor: rules reach 33 content tokens, their contexts 20 more.
 REACH, REACH_BYTES = 60, 256
-_MAIL = re.compile(f"([{MAIL}]+)@([{MAIL}]+)")
-_PIECES = re.compile(PIECES)
-_WORDS = re.compile(f"[{LETTERS}]+")
-_CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ")
-_KINDS = ("word", "digits", "space", "sep", "other", "email")
 TOKEN = "pos int, kind string, surface string, folded string, flags long, start int, end int, start_b int, end_b int, at int, n_c int, n_b int, content boolean, rank int, sentence int, stop boolean, seg int"
-
-
-def folded_word(w: str) -> str:
-    return w.lower().replace("ё", "е")
-
-
-def _kind_of(piece: str) -> int:
-    c = piece[0]
-    if "a" <= c <= "z" or "A" <= c <= "Z" or "Ѐ" <= c <= "ѿ":
-        return 0
-    if "0" <= c <= "9":
-        return 1
-    if c in " \t\n\x0b\f\r":
-        return 2
-    if c in "-/.,":
-        return 3
-    return 5 if c == MARK and len(piece) > 1 else 4
-
-
-def placed_tokens(text: str, flags_of: dict[str, int], around: bool) -> dict | None:
-    """Columns of a text's tokens (TOKEN, without kind names); around: those near anchors alone, in numbered segments."""
-    if around and not ("@" in text or _DIGIT.search(text) or _INITIALS.search(text)):
-        if not any(flags_of.get(folded_word(w), 0) & ANCHORS for w in set(_WORDS.findall(text))):
-            return None
-    pieces = _PIECES.findall(_MAIL.sub(rf"\1{MARK}@\2", text) if "@" in text else text)
-    if not pieces:
-        return None
-    kind = np.array([_kind_of(p) for p in pieces], np.int8)
-    for i in np.flatnonzero(kind == 5):
-        pieces[i] = pieces[i][1:]
-    n_c = np.array([len(p) for p in pieces], np.int64)
-    n_b = n_c if text.isascii() else np.array([len(p.encode()) for p in pieces], np.int64)
-    at, at_b = np.cumsum(n_c) - n_c, np.cumsum(n_b) - n_b
-    folded: list[str | None] = [None] * len(pieces)
-    flags = np.zeros(len(pieces), np.int64)
-    for i in np.flatnonzero(kind == 0).tolist():
-        folded[i] = w = folded_word(pieces[i])
-        flags[i] = flags_of.get(w, 0)
-    content = (kind < 2) | (kind == 5)
-    rank = np.cumsum(content)
-    dot = np.array([p == "." for p in pieces])
-    stop, line = np.zeros(len(pieces), bool), np.array([k == 2 and "\n" in p for k, p in zip(kind, pieces)])
-    stop[1:] = dot[1:] & (kind[:-1] == 0) & (n_c[:-1] >= 3)
-    ends = stop | line
-    start, start_b = at.copy(), at_b.copy()
-    for i in np.flatnonzero(kind == 5):
-        j = i
-        while j and (kind[j - 1] < 2 or pieces[j - 1] in (".", "-", "_", "+")):
-            j -= 1
-        start[i], start_b[i] = at[j], at_b[j]
-    seg, keep = np.zeros(len(pieces), np.int64), np.ones(len(pieces), bool)
+COUNTS = "kind string, n long, chars long, bytes long"
+
+
+def flags_in(s: Scan, flags_of: dict[bytes, int]) -> np.ndarray:
+    """Category bits of each token: words are looked up folded."""
+    flags = np.zeros(len(s.kind), np.int64)
+    words = np.flatnonzero(s.kind == WORD)
+    low, get = s.low.tobytes(), flags_of.get
+    flags[words] = [get(low[a:b], 0) for a, b in zip(s.at_b[words].tolist(), (s.at_b + s.n_b)[words].tolist())]
+    return flags
+
+
+def anchors(s: Scan, flags: np.ndarray) -> np.ndarray:
+    """Tokens that can begin or anchor a candidate: words of some categories, digits, e-mails and initials."""
+    found = (flags & ANCHORS != 0) | (s.kind == DIGITS) | (s.kind == EMAIL)
+    two = np.flatnonzero((s.kind[:-1] == WORD) & (s.n_b[:-1] == 2) & (s.data[s.at_b[1:]] == 46) & (s.doc[1:] == s.doc[:-1]))
+    first, second = s.data[s.at_b[two]], s.data[s.at_b[two] + 1]
+    found[two[((first >= 65) & (first <= 90)) | ((first == 0xD0) & ((second == 0x81) | ((second >= 0x90) & (second <= 0xAF))))]] = True
+    return found
+
+
+def near_anchors(anchor: np.ndarray, content: np.ndarray, at_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one text's tokens those to keep, and the number of the segment that each lies in."""
+    hit, size = np.flatnonzero(anchor), len(anchor)
+    places, rank = np.flatnonzero(content), np.cumsum(content)
+    near = lambda to: places[np.clip(to, 0, len(places) - 1)]
+    lo = np.minimum(near(rank[hit] - 1 - REACH), np.searchsorted(at_b, at_b[hit] - REACH_BYTES))
+    hi = np.maximum(near(rank[hit] - 1 + REACH), np.searchsorted(at_b, at_b[hit] + n_b[hit] + REACH_BYTES) - 1)
+    # past the last content token the text's end belongs to the segment
+    lo, hi = np.where(rank[hit] - 1 <= REACH, 0, lo), np.where(rank[hit] - 1 + REACH >= len(places) - 1, size - 1, hi)
+    change = np.zeros(size + 1, np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, hi + 1, -1)
+    keep = np.cumsum(change[:-1]) > 0
+    first = keep.copy()
+    first[1:] &= ~keep[:-1]
+    return keep, np.cumsum(first)
+
+
+def columns(s: Scan, flags: np.ndarray, in_bytes: bool, around: bool) -> tuple[np.ndarray, list[pa.Array]]:
+    """Each kept token's text, and its columns (TOKEN)."""
+    size, doc = len(s.kind), s.doc
+    content = (s.kind < SPACE) | (s.kind == EMAIL)
+    heads = np.searchsorted(doc, np.arange(len(s.bounds) - 1))  # the first token of each text
+    of_doc = lambda run: run - np.append(0, run)[heads][doc]  # a running count within each text
+    dot = (s.n_b == 1) & (s.data[s.at_b] == 46)
+    stop = np.zeros(size, bool)
+    stop[1:] = dot[1:] & (s.kind[:-1] == WORD) & (s.n[:-1] >= 3) & (doc[1:] == doc[:-1])
+    lines = np.append(0, np.cumsum(s.data == 10))
+    ends = stop | ((s.kind == SPACE) & (lines[s.at_b + s.n_b] > lines[s.at_b]))
+    rank, sentence = of_doc(np.cumsum(content)), of_doc(np.cumsum(ends)) - ends
+    at, at_b, start, start_b = s.at - s.first_unit[doc], s.at_b - s.bounds[doc], s.start - s.first_unit[doc], s.start_b - s.bounds[doc]
+    seg, keep = np.zeros(size, np.int64), np.ones(size, bool)
     if around:
-        anchor = (flags & ANCHORS != 0) | (kind == 1) | (kind == 5)
-        for i in np.flatnonzero((kind == 0) & (n_b == 2)).tolist():
-            anchor[i] |= i + 1 < len(pieces) and dot[i + 1] and pieces[i][0] in _CAPITALS
-        hit = np.flatnonzero(anchor)
-        if not len(hit):
-            return None
-        places = np.flatnonzero(content)
-        near = lambda to: places[np.clip(to, 0, len(places) - 1)]
-        lo = np.minimum(near(rank[hit] - 1 - REACH), np.searchsorted(at_b, at_b[hit] - REACH_BYTES))
-        hi = np.maximum(near(rank[hit] - 1 + REACH), np.searchsorted(at_b, at_b[hit] + n_b[hit] + REACH_BYTES) - 1)
-        # past the last content token the text's end belongs to the segment
-        lo, hi = np.where(rank[hit] - 1 <= REACH, 0, lo), np.where(rank[hit] - 1 + REACH >= len(places) - 1, len(pieces) - 1, hi)
-        change = np.zeros(len(pieces) + 1, np.int64)
-        np.add.at(change, lo, 1)
-        np.add.at(change, hi + 1, -1)
-        keep = np.cumsum(change[:-1]) > 0
-        first = keep.copy()
-        first[1:] &= ~keep[:-1]
-        seg = np.cumsum(first)
-    out = {
-        "pos": np.arange(len(pieces)), "kind": kind, "surface": np.array(pieces, object), "folded": np.array(folded, object), "flags": flags, "start": start, "end": at + n_c, "start_b": start_b, "end_b": at_b + n_b,
-        "at": at, "n_c": n_c, "n_b": n_b, "content": content, "rank": rank, "sentence": np.cumsum(ends) - ends, "stop": stop, "seg": seg,
-    }
-    return {c: v[keep] for c, v in out.items()}
-
-
-_DIGIT, _INITIALS = re.compile("[0-9]"), re.compile(rf"[A-ZА-ЯЁ][{LETTERS}]*[^{LETTERS}0-9]+(?:[А-ЯЁ]|[A-Z][A-Za-z])\.")
-
-
-def lexed(flags_of, around: bool):
-    """flags_of: a broadcast of the dictionary."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        anchor = anchors(s, flags)
+        keep[:] = False
+        for d in np.unique(doc[anchor]).tolist():
+            lo, hi = heads[d], heads[d + 1] if d + 1 < len(heads) else size
+            keep[lo:hi], seg[lo:hi] = near_anchors(anchor[lo:hi], content[lo:hi], at_b[lo:hi], s.n_b[lo:hi])
+    kept = np.flatnonzero(keep)
+    place, place_start, place_size = (at_b, start_b, s.n_b) if in_bytes else (at, start, s.n)
+    names = pa.DictionaryArray.from_arrays(pa.array(s.kind[kept]), pa.array(scanner.KINDS)).cast(pa.string())
+    whole = lambda x, t=pa.int32(): pa.array(x[kept], t)
+    return doc[kept], [
+        whole(np.arange(size) - heads[doc]), names, s.strings(s.data, kept), s.strings(s.low, kept, s.kind[kept] == WORD), whole(flags, pa.int64()), whole(place_start), whole(place + place_size), whole(start_b), whole(at_b + s.n_b),
+        whole(place), whole(s.n), whole(s.n_b), whole(content, pa.bool_()), whole(rank), whole(sentence), whole(stop, pa.bool_()), whole(seg),
+    ]
+
+
+def lexed(flags_of, around: bool, in_bytes: bool, names: list[str]) -> Callable:
+    """Batches of (doc_id, text as binary) to TOKEN rows. flags_of: a broadcast of the dictionary, or None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = flags_of.value if flags_of is not None else {}
-        names = np.array(_KINDS, object)
         for batch in batches:
-            held, size = [], 0
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                t = placed_tokens(text, known, around)
-                if t is not None:
-                    held.append((doc, t))
-                    size += len(t["pos"])
-                if size > 20_000:
-                    yield _frame(held, names)
-                    held, size = [], 0
-            if held:
-                yield _frame(held, names)
+            for some in _slices(batch):
+                s = scanner.scan(some.column(1))
+                if len(s.kind):
+                    doc, out = columns(s, flags_in(s, known) if known else np.zeros(len(s.kind), np.int64), in_bytes, around)
+                    for lo in range(0, len(doc), 20_000):
+                        ids = some.column(0).take(pa.array(doc[lo : lo + 20_000]))
+                        yield pa.RecordBatch.from_arrays([ids, *[c[lo : lo + 20_000] for c in out]], names)
 
     return run
 
 
-def _frame(held: list[tuple], names: np.ndarray) -> pd.DataFrame:
-    docs = np.empty(len(held), object)
-    docs[:] = [d for d, _ in held]
-    out = {"doc_id": docs[np.repeat(np.arange(len(held)), [len(t["pos"]) for _, t in held])]}
-    out |= {c: np.concatenate([t[c] for _, t in held]) for c in held[0][1]}
-    out["kind"] = names[out["kind"]]
-    return pd.DataFrame(out)
+def _slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of about a megabyte of text at a time."""
+    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield batch.slice(lo, hi - lo)
+
+
+def counted(names: list[str]) -> Callable:
+    """Batches of (doc_id, text as binary) to COUNTS rows, one for each text and kind in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = scanner.scan(batch.column(1))
+            cell, many = s.doc * len(scanner.KINDS) + s.kind, batch.num_rows * len(scanner.KINDS)
+            n, chars, size = (np.bincount(cell, w, many).astype(np.int64) for w in (None, s.n, s.n_b))
+            some = np.flatnonzero(n)
+            kinds = pa.array(scanner.KINDS).take(pa.array(some % len(scanner.KINDS)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some // len(scanner.KINDS))), kinds, *[pa.array(x[some]) for x in (n, chars, size)]], names)
+
+    return run
+
+
+def _rows(docs: DataFrame, function: Callable, ddl: str, *args) -> DataFrame:
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *StructType.fromDDL(ddl)])
+    return docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(function(*args, schema.names), schema)
+
+
+def kind_counts(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, kind, n, chars, bytes): tokens of each kind in each text. Null and empty texts have none."""
+    return _rows(docs, counted, COUNTS)
 
 
 def tokens(docs: DataFrame, dictionary: DataFrame, around: bool = False) -> DataFrame:
@@ -169,6 +154,9 @@ def tokens(docs: DataFrame, dictionary: DataFrame, around: bool = False) -> Data
     side, whose words are tokens too; content: words, digits and e-mails; rank: number of content tokens up to here;
     sentence: boundaries before it (a dot after three letters or more, a line break).
 
+    text may be a string or any bytes: bytes that are not UTF-8 are tokens of kind other, or letters where D0 or D1 begins
+    them, of as many bytes as their first announces. Of a binary text all places are in bytes.
+
     around: only tokens near those that can begin or anchor a candidate, with doc_id as (id, seg): what is left of a
     text in one piece is a segment. Rules see in a segment all that they would see in the whole text.
 
@@ -179,14 +167,9 @@ def tokens(docs: DataFrame, dictionary: DataFrame, around: bool = False) -> Data
     if dictionary.limit(1).count() == 0:
         raise ValueError("an empty dictionary would leave all names unmasked")
     small = dictionary.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    flags_of = spark.sparkContext.broadcast({r.folded: r.flags for r in dictionary.collect()}) if small else None
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *_parse(TOKEN)])
-    t = docs.select("doc_id", "text").where("text is not null").mapInPandas(lexed(flags_of, around and small), schema)
+    flags_of = spark.sparkContext.broadcast({r.folded.encode(): r.flags for r in dictionary.collect()}) if small else None
+    t = _rows(docs, lexed, TOKEN, flags_of, around and small, isinstance(docs.schema["text"].dataType, BinaryType))
     if not small:
         words = dictionary.select(F.col("folded").alias("_w"), F.col("flags").alias("_f"))
         t = t.join(words, F.col("folded") == F.col("_w"), "left").withColumn("flags", F.coalesce("_f", F.lit(0).cast("long"))).drop("_w", "_f")
     return t.withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), "seg")).drop("seg") if around else t.drop("seg")
-
-
-def _parse(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from veilframe.functions.text import SPACES
 from veilframe.functions.types import KINDS
@@ -79,10 +81,44 @@ def masked_text(text: Column, spans: Column, mode: str) -> Column:
     return F.concat(F.array_join(pieces, ""), tail)
 
 
+def masked_bytes(mode: str):
+    """Arrow function of binary texts and their spans, which are in bytes, to masked texts: a star for each byte that is no
+    continuation, white space and holes staying, or labels. Bytes outside spans are copied."""
+    star = bytes(b if b in b" \t\n\x0b\f\r" else 42 for b in range(256))
+    within = bytes(range(0x80, 0xC0))
+
+    def run(text: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for raw, some in zip(text.to_pylist(), spans.to_pylist()):
+            parts, at = [], 0
+            for s in some:
+                parts.append(raw[at : s["start"]])
+                at = s["start"]
+                if mode == "token":
+                    parts.append(f"[{s['ty']}_{at}]".encode())
+                else:
+                    for h in sorted((h["start"], h["end"]) for h in s["holes"]):
+                        parts += [raw[at : h[0]].translate(star, within), raw[max(at, h[0]) : h[1]]]
+                        at = max(at, h[1])
+                    parts.append(raw[at : s["end"]].translate(star, within))
+                at = s["end"]
+            out.append(b"".join([*parts, raw[at:]]))
+        return pa.array(out, pa.binary())
+
+    return run
+
+
 def mask(docs: DataFrame, resolved: DataFrame, mode: str = "stars") -> DataFrame:
-    """docs(doc_id, text) with masked and spans; documents without spans are unchanged, null texts stay null. Ids are unique."""
+    """docs(doc_id, text) with masked and spans; documents without spans are unchanged, null texts stay null. Ids are unique.
+
+    Binary texts, of which spans are in bytes, give binary masks, also where they are not UTF-8.
+    """
     none = F.array().cast(f"array<{ITEM}>")
     if mode not in MODES:
         raise ValueError(f"mask mode {mode} is none of {', '.join(MODES)}")
     d = docs.join(resolved.select(F.col("doc_id").alias("_d"), F.col("spans").alias("_spans")), F.col("doc_id") == F.col("_d"), "left").drop("_d").withColumn("spans", F.coalesce("_spans", none)).drop("_spans")
+    if isinstance(docs.schema["text"].dataType, BinaryType):
+        touched = F.when(F.size("spans") > 0, F.col("text"))
+        cut = F.arrow_udf(masked_bytes(mode), "binary")(F.coalesce(touched, F.lit(bytearray())), "spans")
+        return d.withColumn("masked", F.when(touched.isNull(), F.col("text")).otherwise(cut))
     return d.withColumn("masked", F.when(F.size("spans") == 0, F.col("text")).otherwise(masked_text(F.col("text"), F.col("spans"), mode)))

@@ -40,13 +40,18 @@ def analysed(docs: DataFrame, known: Knowledge) -> tuple[DataFrame, DataFrame, D
     and sorted by segment, so that no rule shuffles tokens again. Checkpoints hold texts' words: they stand below
     spark.checkpoint.dir until the application ends, and are removed then.
     """
+    t = tokens_of(docs, known)
+    c = rules.content(t).checkpoint()
+    return t, c, evidence.placed(rules.candidates(t, c).checkpoint(), c, docs)
+
+
+def tokens_of(docs: DataFrame, known: Knowledge) -> DataFrame:
+    """Tokens in context of docs(doc_id, text), checkpointed."""
     spark = docs.sparkSession
     # rules are wide expressions; inferring filters from them takes the optimiser minutes and finds none
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     shared_folder(spark)
-    t = rules.context(tokens(docs, known.dictionary, around=True)).checkpoint()
-    c = rules.content(t).checkpoint()
-    return t, c, evidence.placed(rules.candidates(t, c).checkpoint(), c, docs)
+    return rules.context(tokens(docs, known.dictionary, around=True)).checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -81,27 +86,45 @@ def mask_df(docs: DataFrame, known: Knowledge, profile: Profile = Profile()) ->
     """docs(text, ...) with masked and spans under a profile.
 
     Rows are masked by their text alone: ids may be null, repeated or missing, and equal texts get equal masks. A null
-    text stays null, an empty one empty. Columns masked and spans of docs are replaced, all others are kept. An empty
-    table gives an empty result; an empty dictionary is refused.
+    text stays null, an empty one empty. A binary text may hold any bytes: its mask is binary, its spans are in bytes.
+    Columns masked and spans of docs are replaced, all others are kept. An empty table gives an empty result; an empty
+    dictionary is refused. The analysis runs when this is called (its tables are checkpointed), the masks when the result
+    is used; the session keeps constraint propagation off.
     """
-    found = spans.glue(spans.allowed(spans.resolve(decisions(texts(docs), known)), None if profile.kinds is None else list(profile.kinds)))
+    return masked_by(docs, decisions(texts(docs), known), profile)
+
+
+def masked_by(docs: DataFrame, decided: DataFrame, profile: Profile = Profile(), glued: bool = True) -> DataFrame:
+    """mask_df() of docs by the decisions on their texts(). All masks are made here."""
+    found = spans.allowed(spans.resolve(decided), None if profile.kinds is None else list(profile.kinds))
+    found = spans.glue(found) if glued else found
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("masked", "spans")])
     out = spans.mask(docs.select(row.alias("_row"), text_key(F.col("text")).alias("doc_id"), "text"), found, profile.mask_mode)
     return out.select("_row.*", "spans", "masked")
 
 
+def by_row(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """found, whose doc_id is the key of a text, with the doc_id of each row of docs(doc_id, text) that has the text."""
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"))
+    return rows.join(found.withColumnRenamed("doc_id", "_key"), F.col("_text") == F.col("_key")).drop("_text", "_key")
+
+
 def explain_df(docs: DataFrame, known: Knowledge) -> DataFrame:
-    """A row for each span of each row of docs(doc_id, text) that is masked after resolution or rejected: doc_id, status, ty, start_b, total, codes, rule.
+    """A row for each span of each row of docs(doc_id, text) that is masked after resolution or rejected: doc_id, status, ty, start_b, end_b, total, codes, rule.
 
     Rows with null or repeated ids are explained like others, each by its own text.
     """
-    d = decisions(texts(docs), known).withColumn("_item", F.struct("start", "end", "ty"))
+    return explained(docs, decisions(texts(docs), known))
+
+
+def explained(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """explain_df() of docs by the decisions on their texts(), with end_b."""
+    d = decided.withColumn("_item", F.struct("start", "end", "ty"))
     kept = spans.resolve(d).select(F.col("doc_id").alias("_d"), F.explode("spans").alias("s")).select("_d", F.struct("s.start", "s.end", "s.ty").alias("_kept")).distinct()
     d = d.join(kept, (F.col("doc_id") == F.col("_d")) & (F.col("_item") == F.col("_kept")), "left")
     status = F.when(~F.col("masked"), "rejected").when(F.col("_d").isNotNull(), "masked").otherwise("overlapped")
-    d = d.withColumn("status", status).where("status <> 'overlapped'").withColumnRenamed("doc_id", "_key")
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("_text"))
-    return rows.join(d, F.col("_text") == F.col("_key")).select("doc_id", "status", "ty", "start_b", "total", "codes", "rule")
+    d = d.withColumn("status", status).where("status <> 'overlapped'")
+    return by_row(docs, d).select("doc_id", "status", "ty", "start_b", "end_b", "total", "codes", "rule")
 
 
 def detect_spans(docs: DataFrame, known: Knowledge, profile: Profile = Profile()) -> DataFrame:

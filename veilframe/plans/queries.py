@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +13,41 @@ from veilframe.functions.types import FLAG, FLAG_NAMES, KINDS
 from veilframe.operators import envelope, evidence, metrics, rules, spans
 from veilframe.operators import lexer as lex
 from veilframe.plans import written
-from veilframe.plans.pipeline import Knowledge, Profile, analysed, mask_df
+from veilframe.plans.pipeline import Knowledge, Profile, by_row, explained, mask_df, masked_by, texts, tokens_of
 from veilframe.plans.pipeline import decisions as decisions_of
 from veilframe.sources import corpus, dictionaries, requests
 from veilframe.streaming import process
 
+class Analysis:
+    """What is found in the texts of a table's documents, by need: tokens, content tokens, decided candidates. doc_id is the text's key."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.known = Knowledge(dictionaries.builtin(docs.sparkSession))
+        self.docs = texts(docs)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return tokens_of(self.docs, self.known)
+
+    @cached_property
+    def content(self) -> DataFrame:
+        return rules.content(self.tokens).checkpoint()
+
+    @cached_property
+    def decided(self) -> DataFrame:
+        found = evidence.placed(rules.candidates(self.tokens, self.content).checkpoint(), self.content, self.docs)
+        return evidence.with_holes(evidence.decide(evidence.collect(found)), self.tokens).persist()
+
+
 #: The analysis that queries of one table look at; the one before is let go.
-_kept: dict[tuple, tuple] = {}
+_kept: dict[tuple, Analysis] = {}
 
 
 def forget() -> None:
     """Let go of the analysis kept for later queries."""
-    for frames in _kept.values():
-        for f in frames:
-            f.unpersist()
+    for kept in _kept.values():
+        if "decided" in vars(kept):
+            kept.decided.unpersist()
     _kept.clear()
 
 
@@ -37,29 +59,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def _engine(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tokens, content tokens and decided candidates of documents; kept, as many queries look at them."""
+def _engine(spark: SparkSession, sf_dir: str) -> Analysis:
+    """The analysis of documents; kept, as many queries look at it."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
         forget()
-        known = Knowledge(dictionaries.builtin(spark))
-        t, c, d = analysed(documents(spark, sf_dir), known)
-        _kept[key] = t, c, evidence.with_holes(evidence.decide(evidence.collect(d)), t).persist()
+        _kept[key] = Analysis(documents(spark, sf_dir))
     return _kept[key]
 
 
 def _masked(spark: SparkSession, sf_dir: str, profile: Profile, glued: bool = True) -> DataFrame:
-    _, _, d = _engine(spark, sf_dir)
-    found = spans.allowed(spans.resolve(d), None if profile.kinds is None else list(profile.kinds))
-    return spans.mask(documents(spark, sf_dir), spans.glue(found) if glued else found, profile.mask_mode)
+    """What mask_df() gives for documents."""
+    return masked_by(documents(spark, sf_dir), _engine(spark, sf_dir).decided, profile, glued)
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_row(documents(spark, sf_dir), _engine(spark, sf_dir).decided)
+
+
+def _of_tokens(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Rows found among tokens, with the ids of the documents that have them."""
+    return by_row(documents(spark, sf_dir), found.withColumn("doc_id", F.col("doc_id.id")))
 
 
 # --- texts and tokens
 
 
 def lex_kinds(spark, sf_dir):
-    p = lex.pieces(documents(spark, sf_dir)).withColumn("kind", lex.kind(F.col("piece")))
-    return p.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length(F.regexp_replace("piece", "^\x01@", "@"))).alias("chars"))
+    return lex.kind_counts(documents(spark, sf_dir)).select("doc_id", "kind", "n", "chars")
 
 
 def tokens_placed(spark, sf_dir):
@@ -106,29 +133,30 @@ def luhn_check(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    return rules.digit_runs(_engine(spark, sf_dir)[1])
+    return _of_tokens(spark, sf_dir, rules.digit_runs(_engine(spark, sf_dir).content))
 
 
 def digit_runs(spark, sf_dir):
-    return _runs(spark, sf_dir).select("doc_id.id", "digits", F.array_join("groups", "-").alias("shape"), F.col("sep")).withColumnRenamed("id", "doc_id")
+    return _runs(spark, sf_dir).select("doc_id", "digits", F.array_join("groups", "-").alias("shape"), "sep")
 
 
 def run_shapes(spark, sf_dir):
-    return _runs(spark, sf_dir).groupBy(F.array_join("groups", "-").alias("shape")).agg(F.count("*").alias("n"), F.count_distinct("doc_id.id").alias("docs"))
+    return _runs(spark, sf_dir).groupBy(F.array_join("groups", "-").alias("shape")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 def luhn_cards(spark, sf_dir):
     r = _runs(spark, sf_dir).where("total between 13 and 19")
-    return r.select(F.col("doc_id.id").alias("doc_id"), "digits", X.luhn_valid(F.col("digits")).alias("valid"))
+    return r.select("doc_id", "digits", X.luhn_valid(F.col("digits")).alias("valid"))
 
 
 def phone_candidates(spark, sf_dir):
-    return rules.of_phones(_engine(spark, sf_dir)[0]).select(F.col("doc_id.id").alias("doc_id"), "start", "end")
+    return _of_tokens(spark, sf_dir, rules.of_phones(_engine(spark, sf_dir).tokens)).select("doc_id", "start", "end")
 
 
 def shape_candidates(spark, sf_dir):
     kinds = ("snils", "foreign_passport", "dept_code", "inn", "card")
-    return rules.of_runs(rules.digit_runs(_engine(spark, sf_dir)[1])).where(F.col("rule").isin(*kinds)).groupBy(F.col("doc_id.id").alias("doc_id"), "ty").agg(F.count("*").alias("n"))
+    found = rules.of_runs(rules.digit_runs(_engine(spark, sf_dir).content)).where(F.col("rule").isin(*kinds))
+    return _of_tokens(spark, sf_dir, found).groupBy("doc_id", "ty").agg(F.count("*").alias("n"))
 
 
 def date_candidates(spark, sf_dir):
@@ -142,13 +170,13 @@ def date_candidates(spark, sf_dir):
 def passport_candidates(spark, sf_dir):
     """Order keys written as document numbers after their keyword."""
     key = F.lpad(F.col("o_orderkey").cast("string"), 6, "0")
-    d = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "passport ").otherwise("driver license "), F.lit("4509 "), key).alias("text"))
+    d = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "passport ").otherwise("driver license "), F.lit("6318 "), key).alias("text"))
     c = rules.content(rules.context(lex.tokens(d, dictionaries.builtin(spark))))
     return rules.of_runs(rules.digit_runs(c)).where("rule = 'passport'").groupBy("ty").agg(F.count("*").alias("n"), F.max("score").alias("score"))
 
 
 def all_candidates(spark, sf_dir):
-    return _engine(spark, sf_dir)[2].select("doc_id", "rule", "ty", "start", "end", "start_b", "end_b", "score")
+    return _decided(spark, sf_dir).select("doc_id", "rule", "ty", "start", "end", "start_b", "end_b", "score")
 
 
 # --- dictionary, windows, evidence, decision
@@ -162,33 +190,30 @@ def dict_flags(spark, sf_dir):
 
 
 def env_windows(spark, sf_dir):
-    c = _engine(spark, sf_dir)[1]
-    return c.where("kind = 'digits'").groupBy(F.col("doc_id.id").alias("doc_id")).agg(*[F.bit_or(f"{side}{n}").alias(f"{side}{n}") for side in ("left", "right") for n in (5, 8, 12)])
+    c = _of_tokens(spark, sf_dir, _engine(spark, sf_dir).content.where("kind = 'digits'"))
+    return c.groupBy("doc_id").agg(*[F.bit_or(f"{side}{n}").alias(f"{side}{n}") for side in ("left", "right") for n in (5, 8, 12)])
 
 
 def decisions(spark, sf_dir):
-    return _engine(spark, sf_dir)[2].select("doc_id", "rule", "ty", "start_b", "end_b", "total", "vetoed", "masked", F.array_join("codes", ",").alias("codes"))
+    return _decided(spark, sf_dir).select("doc_id", "rule", "ty", "start_b", "end_b", "total", "vetoed", "masked", F.array_join("codes", ",").alias("codes"))
 
 
 def cooccur_types(spark, sf_dir):
-    d = _engine(spark, sf_dir)[2]
+    d = _decided(spark, sf_dir)
     return d.groupBy("doc_id", "sentence").agg(F.array_join(F.array_sort(F.collect_set("ty")), ",").alias("kinds"), F.sum(F.array_contains("codes", "E_COOCCUR").cast("int")).alias("together"))
 
 
 def counts_by_type(spark, sf_dir):
-    return _engine(spark, sf_dir)[2].groupBy("ty").agg(F.count("*").alias("n"), F.sum(F.col("masked").cast("int")).alias("masked"))
+    return _decided(spark, sf_dir).groupBy("ty").agg(F.count("*").alias("n"), F.sum(F.col("masked").cast("int")).alias("masked"))
 
 
 def counts_by_evidence(spark, sf_dir):
-    return _engine(spark, sf_dir)[2].select("masked", F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"), F.sum(F.col("masked").cast("int")).alias("masked"))
+    return _decided(spark, sf_dir).select("masked", F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"), F.sum(F.col("masked").cast("int")).alias("masked"))
 
 
 def explain(spark, sf_dir):
-    _, _, d = _engine(spark, sf_dir)
-    kept = spans.resolve(d).select(F.col("doc_id").alias("_d"), F.explode("spans").alias("s")).select("_d", F.struct("s.start", "s.end", "s.ty").alias("_kept")).distinct()
-    d = d.withColumn("_item", F.struct("start", "end", "ty")).join(kept, (F.col("doc_id") == F.col("_d")) & (F.col("_item") == F.col("_kept")), "left")
-    d = d.where("not masked or _d is not null")
-    item = F.struct(F.when(F.col("masked"), "masked").otherwise("rejected").alias("status"), "ty", F.col("start_b").alias("at"), (F.col("end_b") - F.col("start_b")).alias("len"), F.col("total").alias("score"), "codes")
+    d = explained(documents(spark, sf_dir), _engine(spark, sf_dir).decided)
+    item = F.struct("status", "ty", F.col("start_b").alias("at"), (F.col("end_b") - F.col("start_b")).alias("len"), F.col("total").alias("score"), "codes")
     return d.groupBy("doc_id").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("explained"))
 
 
@@ -238,7 +263,7 @@ def masked_mail(spark, sf_dir):
 
 def envelope_roundtrip(spark, sf_dir):
     m = _masked(spark, sf_dir, Profile(mask_mode="token"), glued=False).where(F.size("spans") > 0)
-    m = m.withColumns({"salt": F.unhex(F.sha2(F.col("doc_id").cast("string"), 256)), "now": F.lit(1_700_000_000).cast("long")})
+    m = m.withColumns({"salt": F.unhex(F.sha2(F.concat_ws("|", "doc_id", "text"), 256)), "now": F.lit(1_700_000_000).cast("long")})
     key = envelope.system_key(b"0" * 32, "demo")
     sealed = envelope.seal_df(m, key)
     back = envelope.unmask_df(sealed, key, F.lit(1_700_000_100))
@@ -410,7 +435,7 @@ c AS (SELECT doc_id, unnest(list_filter([CASE WHEN shape = '3-3-3-2' OR (shape =
  CASE WHEN shape = '3-3' THEN 'dept_code' END, CASE WHEN shape IN ('10', '12') THEN 'inn' END, CASE WHEN length(digits) BETWEEN 13 AND 19 THEN 'card' END], lambda x: x IS NOT NULL)) AS ty FROM runs)
 SELECT doc_id, ty, count(*) AS n FROM c GROUP BY ALL""",
     "date_candidates": "SELECT l_orderkey AS doc_id, 'birth_date' AS ty, 12 AS start, 22 AS \"end\", strftime(min(l_shipdate), '%d%m%Y') AS digits FROM lineitem GROUP BY l_orderkey",
-    "passport_candidates": f"SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'passport' ELSE 'driver_license' END AS ty, count(*) AS n, 60 AS score FROM (SELECT *, '4509' || lpad(o_orderkey::VARCHAR, 6, '0') AS d FROM orders) WHERE o_orderkey % 2 = 0 OR NOT ({_inn('d', 10)}) GROUP BY 1",
+    "passport_candidates": f"SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'passport' ELSE 'driver_license' END AS ty, count(*) AS n, 60 AS score FROM (SELECT *, '6318' || lpad(o_orderkey::VARCHAR, 6, '0') AS d FROM orders) WHERE o_orderkey % 2 = 0 OR NOT ({_inn('d', 10)}) GROUP BY 1",
     "dict_flags": f"""WITH d(w, category) AS (VALUES {", ".join(f"('{w}', '{c}')" for w, c in dict.fromkeys(_WORDS))}),
 t AS (SELECT doc_id, replace(lower(unnest(regexp_extract_all(coalesce(text, ''), '[{_L}]+'))), 'ё', 'е') AS w FROM documents)
 SELECT category, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t JOIN d USING (w) GROUP BY category""",
