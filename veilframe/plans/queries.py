@@ -94,6 +94,28 @@ def tokens_placed(spark, sf_dir):
     return t.groupBy("doc_id").agg(F.max("end").alias("chars"), F.max("end_b").alias("bytes"), F.max("rank").alias("content"), F.max("sentence").alias("sentences"), F.count("*").alias("n"))
 
 
+#: What stands in damaged texts in the place of a byte: nothing, beginnings without their ends, and an end without its beginning.
+DAMAGE = ("", "D0", "E2", "80", "F0")
+
+
+def _damaged(spark, sf_dir):
+    """Documents as bytes, one of which is replaced; most of them are no UTF-8 then."""
+    b, k = F.col("text").cast("binary"), F.pmod(F.col("doc_id") * 7919, F.octet_length("text") + 1).cast("int")
+    other = F.element_at(F.array(*[F.unhex(F.lit(x)) for x in DAMAGE]), F.pmod("doc_id", F.lit(len(DAMAGE))).cast("int") + 1)
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.substring(b, F.lit(1), k), other, F.substring(b, k + 2, F.octet_length("text"))).alias("text"))
+
+
+def byte_tokens(spark, sf_dir):
+    """Tokens of damaged texts by kind."""
+    return lex.kind_counts(_damaged(spark, sf_dir))
+
+
+def masked_bytes(spark, sf_dir):
+    """E-mail addresses in damaged texts as stars, and whether what comes in and goes out is UTF-8."""
+    m = mask_df(_damaged(spark, sf_dir), Knowledge(dictionaries.builtin(spark)), Profile(kinds=("email",)))
+    return m.select("doc_id", F.md5(F.hex("masked")).alias("masked_md5"), X.valid_utf8(F.col("text")).alias("valid_in"), X.valid_utf8(F.col("masked")).alias("valid_out"))
+
+
 def email_tokens(spark, sf_dir):
     d = documents(spark, sf_dir)
     mail = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[{X.MAIL}]+@[{X.MAIL}]+"), F.lit(0))
@@ -365,7 +387,7 @@ def corpus_score(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        lex_kinds, tokens_placed, email_tokens, folded_texts, address_keys, declined_words, inn_check, snils_check, luhn_check, digit_runs, run_shapes, luhn_cards, phone_candidates, shape_candidates,
+        lex_kinds, tokens_placed, byte_tokens, masked_bytes, email_tokens, folded_texts, address_keys, declined_words, inn_check, snils_check, luhn_check, digit_runs, run_shapes, luhn_cards, phone_candidates, shape_candidates,
         date_candidates, passport_candidates, all_candidates, dict_flags, env_windows, decisions, cooccur_types, counts_by_type, counts_by_evidence, explain, resolved_spans, profile_filter, glued_spans,
         masked_stars, masked_tokens, masked_mail, envelope_roundtrip, office_containment, public_person_semi, parse_requests, find_property, process_replay, latency_buckets, latency_percentiles,
         latency_exact, exposition, base64_names, corpus_score, written_rules, written_masks, pii_log, latency_rate,
@@ -382,6 +404,15 @@ p AS (SELECT doc_id, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM (SELE
 k AS (SELECT doc_id, pos, replace(piece, chr(1) || '@', '@') AS surface, CASE WHEN starts_with(piece, chr(1) || '@') THEN 'email' WHEN regexp_matches(piece, '^[{_L}]') THEN 'word'
   WHEN regexp_matches(piece, '^[0-9]') THEN 'digits' WHEN regexp_matches(piece, '^[{_S}]') THEN 'space' WHEN piece IN ('-', '/', '.', ',') THEN 'sep' ELSE 'other' END AS kind FROM p),
 tok AS (SELECT *, sum(length(surface)) OVER w - length(surface) AS off, lag(kind) OVER w AS k1, lag(kind, 2) OVER w AS k2, lag(surface) OVER w AS s1 FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
+# the same over hexadecimal bytes: units, each after a blank
+_LETTER_HEX = "4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A]|D[01](?:..)?"
+_MAIL_HEX = f"(?: (?:{_LETTER_HEX}|3[0-9]|2[BDE]|5F))+"
+_UTF8_HEX = "(?:[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F[0-7][89AB].[89AB].[89AB].)*"
+_BYTES = f"""
+h0 AS (SELECT doc_id, hex(text) AS h, ((doc_id * 7919) % (strlen(text) + 1))::INT AS k, [{", ".join(f"'{x}'" for x in DAMAGE)}][(doc_id % {len(DAMAGE)} + 1)::INT] AS x FROM documents WHERE text IS NOT NULL),
+h1 AS (SELECT doc_id, substr(h, 1, 2 * k) || x || substr(h, 2 * k + 3) AS h FROM h0),
+h2 AS (SELECT doc_id, h, array_to_string(list_transform(regexp_extract_all(h, '[CD].(?:..)?|E.(?:..)?(?:..)?|F[0-7](?:..)?(?:..)?(?:..)?|..'), lambda u: ' ' || u), '') AS u FROM h1),
+h3 AS (SELECT doc_id, h, regexp_replace(u, '({_MAIL_HEX}) 40({_MAIL_HEX})', '\\1 !40\\2', 'g') AS u FROM h2)"""
 _RUNS = f"""{_TOKENS},
 d AS (SELECT *, sum(CASE WHEN k1 IN ('sep', 'space') AND strlen(s1) = 1 AND k2 = 'digits' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM tok WHERE kind = 'digits'),
 runs AS (SELECT doc_id, run, string_agg(surface, '' ORDER BY pos) AS digits, string_agg(length(surface)::VARCHAR, '-' ORDER BY pos) AS shape, list(s1 ORDER BY pos)[2] AS sep FROM d GROUP BY doc_id, run)"""
@@ -416,6 +447,16 @@ ORACLES: dict[str, str] = {
     "tokens_placed": rf"""WITH {_TOKENS},
 b AS (SELECT *, (surface = '.' AND k1 = 'word' AND length(s1) >= 3) OR (kind = 'space' AND contains(surface, chr(10))) AS b, max(pos) OVER (PARTITION BY doc_id) AS last FROM tok)
 SELECT doc_id, sum(length(surface))::BIGINT AS chars, sum(strlen(surface))::BIGINT AS bytes, count(*) FILTER (kind IN ('word', 'digits', 'email')) AS content, count(*) FILTER (b AND pos < last) AS sentences, count(*) AS n FROM b GROUP BY doc_id""",
+    "byte_tokens": f"""WITH {_BYTES},
+p AS (SELECT doc_id, unnest(regexp_extract_all(u, ' !40{_MAIL_HEX}|(?: (?:{_LETTER_HEX}))+|(?: 3[0-9])+|(?: (?:20|09|0[A-D]))+| [0-9A-F]+')) AS p FROM h3)
+SELECT doc_id, CASE WHEN p[2] = '!' THEN 'email' WHEN regexp_matches(p, '^ (?:{_LETTER_HEX})') THEN 'word' WHEN regexp_matches(p, '^ 3[0-9]') THEN 'digits' WHEN regexp_matches(p, '^ (?:20|09|0[A-D])') THEN 'space'
+  WHEN regexp_matches(p, '^ 2[C-F]') THEN 'sep' ELSE 'other' END AS kind, count(*) AS n, sum(length(p) - length(replace(p, ' ', '')))::BIGINT AS chars, sum(length(translate(p, ' !', '')) // 2)::BIGINT AS bytes FROM p GROUP BY ALL""",
+    "masked_bytes": f"""WITH {_BYTES},
+m AS (SELECT doc_id, h, regexp_extract_all(u, '{_MAIL_HEX} !40{_MAIL_HEX}') AS l, regexp_split_to_array(u, '{_MAIL_HEX} !40{_MAIL_HEX}') AS s FROM h3),
+o AS (SELECT doc_id, h, replace(array_to_string(list_transform(range(len(s)), lambda i: s[i + 1] || CASE WHEN i < len(l)
+  THEN repeat('2A', len(list_filter(regexp_extract_all(translate(l[i + 1], ' !', ''), '..'), lambda b: b < '80' OR b >= 'C0'))::INT) ELSE '' END), ''), ' ', '') AS out FROM m)
+SELECT doc_id, md5(out) AS masked_md5, regexp_full_match(h, '{_UTF8_HEX}') AS valid_in, regexp_full_match(out, '{_UTF8_HEX}') AS valid_out FROM o
+UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL""",
     "email_tokens": f"SELECT doc_id, unnest(range(len(l)))::INT AS nth, unnest(l) AS email FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[{_M}]+@[{_M}]+') AS l FROM documents)",
     "folded_texts": "SELECT doc_id, md5(replace(lower(text), 'ё', 'е')) AS folded_md5, length(text) AS chars, strlen(text) AS bytes FROM documents",
     "address_keys": "SELECT c_custkey, regexp_replace(lower(c_name || ', ' || c_mktsegment), '[^0-9a-zа-ѿ]', '', 'g') AS key FROM customer",
