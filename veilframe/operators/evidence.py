@@ -8,6 +8,7 @@ from pyspark.sql.types import BinaryType
 
 from veilframe.functions.text import address_key, code_points, digits_of, fold, has_flat_number, inn_valid, luhn_valid, starts_capital
 from veilframe.functions.types import ANCHORED, EVIDENCE, KEYWORD_MASK, KEYWORD_WINDOW, KINDS, PERSON_LIKE, THRESHOLD
+from veilframe.operators import automata
 from veilframe.operators.rules import address_holes, has
 
 #: Texts of fewer characters may consist of one value.
@@ -127,11 +128,22 @@ def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 
 def office_match(d: DataFrame, offices: DataFrame) -> DataFrame:
-    """Adds _office: the value's key holds an office's key or lies in one, from LEAST_KEY bytes on. Any number of offices."""
+    """Adds _office: the value's key holds an office's key or lies in one, from LEAST_KEY bytes on. Any number of offices.
+
+    Up to automata.MOST_KEY_BYTES of keys are looked for by automata where the values are; more are joined by pieces.
+    """
     d = d.withColumn("_key", address_key(F.col("value")))
+    known = offices.select("key").where("key is not null").distinct()
+    if (known.agg(F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()[0]) <= automata.MOST_KEY_BYTES:
+        keys = sorted(r.key for r in known.collect())
+        match = automata.contains_or_lies_in(d.sparkSession, F.when(F.col("ty") == "address", F.col("_key")), keys, LEAST_KEY)
+        return d.withColumn("_office", F.coalesce(match, F.lit(False))).drop("_key")
+    return _office_join(d, known)
+
+
+def _office_join(d: DataFrame, known: DataFrame) -> DataFrame:
     long = F.octet_length("key") >= LEAST_KEY
     keys = d.where("ty = 'address'").select(F.col("_key").alias("key")).distinct()
-    known = offices.select("key").distinct()
     hits = contained(known.where(long), keys).select(F.col("outer").alias("_hit")).unionByName(contained(keys.where(long), known).select(F.col("inner").alias("_hit"))).distinct()
     d = d.join(hits, F.col("_key") == F.col("_hit"), "left")
     return d.withColumn("_office", (F.col("ty") == "address") & F.col("_hit").isNotNull()).drop("_key", "_hit")

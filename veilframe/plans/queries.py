@@ -16,7 +16,7 @@ from veilframe.plans import written
 from veilframe.plans.pipeline import Knowledge, Profile, by_row, explained, mask_df, masked_by, texts, tokens_of
 from veilframe.plans.pipeline import decisions as decisions_of
 from veilframe.sources import corpus, dictionaries, requests
-from veilframe.streaming import process
+from veilframe.streaming import process, steps
 
 class Analysis:
     """What is found in the texts of a table's documents, by need: tokens, content tokens, decided candidates. doc_id is the text's key."""
@@ -354,6 +354,24 @@ def process_replay(spark, sf_dir):
     return process.replay(c).select("payload_id", "seq", "action", F.md5("answer").alias("answer_md5"))
 
 
+def process_expiry(spark, sf_dir):
+    """Requests a minute apart or more, forgotten after two minutes without use."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("payload_id"), F.col("turn").alias("seq"), F.col("text").alias("payload"))
+    c = c.withColumn("at", F.timestamp_seconds(F.col("payload_id") + 60 * F.col("seq") * F.col("seq")))
+    return process.replay(c, ttl_seconds=200).select("payload_id", "seq", "action", F.md5("answer").alias("answer_md5"))
+
+
+#: Of the registered query; a caller brings its own.
+SECRET = b"registered query"
+
+
+def one_time_steps(spark, sf_dir):
+    """Events as codes that their users claim: of the step, of those next to it, or of one that is too far."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("caller"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
+    meant = F.floor(F.unix_seconds("at") / steps.STEP) + F.pmod("seq", F.lit(5)) - 2
+    return steps.replay(e.withColumn("code", steps.code(SECRET, meant)), SECRET).select("caller", "seq", "step", "accepted")
+
+
 def latency_buckets(spark, sf_dir):
     return metrics.histogram(read(spark, sf_dir, "events"), F.col("value") * 1000, ["event_type"])
 
@@ -389,7 +407,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         lex_kinds, tokens_placed, byte_tokens, masked_bytes, email_tokens, folded_texts, address_keys, declined_words, inn_check, snils_check, luhn_check, digit_runs, run_shapes, luhn_cards, phone_candidates, shape_candidates,
         date_candidates, passport_candidates, all_candidates, dict_flags, env_windows, decisions, cooccur_types, counts_by_type, counts_by_evidence, explain, resolved_spans, profile_filter, glued_spans,
-        masked_stars, masked_tokens, masked_mail, envelope_roundtrip, office_containment, public_person_semi, parse_requests, find_property, process_replay, latency_buckets, latency_percentiles,
+        masked_stars, masked_tokens, masked_mail, envelope_roundtrip, office_containment, public_person_semi, parse_requests, find_property, process_replay, process_expiry, one_time_steps, latency_buckets, latency_percentiles,
         latency_exact, exposition, base64_names, corpus_score, written_rules, written_masks, pii_log, latency_rate,
     )
 }
@@ -498,6 +516,14 @@ SELECT p_partkey, coalesce(x.hit, false) AS branded, coalesce(y.hit, false) AS b
     "find_property": "SELECT event_id, event_type AS kind, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') END AS k FROM events",
     "process_replay": """SELECT conv_id AS payload_id, turn AS seq, CASE WHEN text IS NOT DISTINCT FROM f THEN 'mask' ELSE 'restore' END AS action, md5(f) AS answer_md5
 FROM (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations)""",
+    "process_expiry": """WITH c AS (SELECT conv_id AS payload_id, turn AS seq, text, conv_id + 60 * turn * turn AS t FROM conversations),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY payload_id ORDER BY seq) > 200 THEN 1 ELSE 0 END AS new FROM c),
+s AS (SELECT *, sum(new) OVER (PARTITION BY payload_id ORDER BY seq) AS spell FROM g),
+f AS (SELECT *, first_value(text) OVER (PARTITION BY payload_id, spell ORDER BY seq) AS f FROM s)
+SELECT payload_id, seq, CASE WHEN text IS NOT DISTINCT FROM f THEN 'mask' ELSE 'restore' END AS action, md5(f) AS answer_md5 FROM f""",
+    "one_time_steps": """WITH e AS (SELECT user_id::VARCHAR AS caller, event_id AS seq, floor(epoch(ts) / 30)::BIGINT AS now, event_id % 5 - 2 AS off FROM events),
+c AS (SELECT caller, seq, CASE WHEN abs(off) <= 1 THEN now + off END AS step FROM e)
+SELECT caller, seq, step, coalesce(step > coalesce(max(step) OVER (PARTITION BY caller ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), false) AS accepted FROM c""",
     "latency_buckets": f"WITH {_HIST} SELECT * FROM h",
     "latency_percentiles": f"""WITH {_HIST}, c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM h)
 SELECT event_type, max(total)::BIGINT AS total, min(bucket) FILTER (upto > floor(total * 50 / 100)) AS p50, min(bucket) FILTER (upto > floor(total * 95 / 100)) AS p95, min(bucket) FILTER (upto > floor(total * 99 / 100)) AS p99 FROM c GROUP BY event_type""",
