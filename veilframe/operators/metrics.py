@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions.folders import shared_folder
+
 
 def bucket_of(us: Column) -> Column:
     """Half-octave bucket of a count of microseconds: 2 * log2, plus 1 in the upper half."""
@@ -27,9 +31,25 @@ def percentiles(hist: DataFrame, by: list[str], shares: tuple[int, ...] = (50, 9
 
 
 def exact_percentile(df: DataFrame, value: str, by: list[str], p: int) -> DataFrame:
-    """Nearest rank floor(p * (n - 1) / 100), counted from 0."""
-    d = df.withColumns({"_r": F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
-    return d.where(F.col("_r") == F.floor(F.lit(p) * (F.col("_n") - 1) / 100)).select(*by, F.col(value).alias(f"p{p}"))
+    """Nearest rank floor(p * (n - 1) / 100), counted from 0, of the values of each group; null values do not count.
+
+    By selection: rows are counted by value first, so repeated values and hot groups shrink where they are; values are
+    dealt by range, the totals of the ranges tell in which one a group's rank lies, and only there values are ranked. No
+    group is sorted in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    shared_folder(df.sparkSession)
+    dealt = counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()).checkpoint()  # ranges are drawn once
+    same = lambda a, b, names: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
+    ranges = Window.partitionBy(*by).orderBy("_range")
+    totals = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
+    totals = totals.withColumns({"_before": F.sum("_size").over(ranges) - F.col("_size"), "_all": F.sum("_size").over(Window.partitionBy(*by))})
+    rank = F.floor(F.lit(p) * (F.col("_all") - 1) / 100)
+    one = totals.withColumn("_rank", rank - F.col("_before")).where("_rank >= 0 and _rank < _size")
+    there = dealt.alias("d").join(one.alias("o"), same("d", "o", [*by, "_range"])).select(*[F.col(f"d.{c}").alias(c) for c in (*by, value, "_n")], "_rank")
+    along = Window.partitionBy(*by).orderBy(value)
+    found = there.withColumn("_upto", F.sum("_n").over(along)).where("_rank >= _upto - _n and _rank < _upto")
+    return found.select(*by, F.col(value).alias(f"p{p}"))
 
 
 def exposition(df: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.folders import shared_folder
 from veilframe.operators import evidence, rules, spans
 from veilframe.operators.lexer import tokens
 
@@ -54,18 +55,6 @@ def tokens_of(docs: DataFrame, known: Knowledge) -> DataFrame:
     return rules.context(tokens(docs, known.dictionary, around=True)).checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Have a checkpoint folder: the one the session names, or one of this machine's if Spark runs on it alone."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(base or "/tmp/checkpoints")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-
-
 def decisions(docs: DataFrame, known: Knowledge) -> DataFrame:
     """A row for each candidate of docs(doc_id, text) with unique ids: doc_id, rule, ty, places, codes, total, vetoed, masked, holes."""
     t, _, d = analysed(docs, known)

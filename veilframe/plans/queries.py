@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
 from veilframe.functions.types import FLAG, FLAG_NAMES, KINDS
-from veilframe.operators import envelope, evidence, metrics, rules, spans
+from veilframe.operators import envelope, evidence, metrics, places, rules, spans
 from veilframe.operators import lexer as lex
 from veilframe.plans import written
 from veilframe.plans.pipeline import Knowledge, Profile, by_row, explained, mask_df, masked_by, texts, tokens_of
@@ -116,6 +116,30 @@ def masked_bytes(spark, sf_dir):
     return m.select("doc_id", F.md5(F.hex("masked")).alias("masked_md5"), X.valid_utf8(F.col("text")).alias("valid_in"), X.valid_utf8(F.col("masked")).alias("valid_out"))
 
 
+def _offsets():
+    """Five byte offsets of a document, by its id: inside the text, at its end and past it."""
+    return F.array(*[((F.col("doc_id") * 131 + i * i * i * 977) % (F.octet_length(F.coalesce("text", F.lit(""))) + 3)).cast("int") for i in range(5)])
+
+
+def tokens_at(spark, sf_dir):
+    """Tokens and sentences in which given byte offsets fall."""
+    d = documents(spark, sf_dir)
+    return places.look_up(d, d.select("doc_id", F.explode(_offsets()).alias("offset")))
+
+
+def markup_roundtrip(spark, sf_dir):
+    """E-mail addresses as annotations, written as markup and read back, with their places in bytes."""
+    d = documents(spark, sf_dir).where("text is not null")
+    mail, rest = F.regexp_extract_all("text", F.lit(f"[{X.MAIL}]+@[{X.MAIL}]+"), F.lit(0)), F.split("text", f"[{X.MAIL}]+@[{X.MAIL}]+")
+    till = lambda i: F.aggregate(F.slice(F.col("rest"), 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(F.col("mail"), 1, i), F.lit(0), lambda a, x: a + F.length(x))
+    d = d.select("doc_id", "text", mail.alias("mail"), rest.alias("rest"))
+    spans_of = F.transform("mail", lambda x, i: F.struct(till(i).alias("start"), (till(i) + F.length(x)).alias("end"), F.lit("email").alias("ty")))
+    c = d.select("doc_id", "text", corpus.add_markup(F.col("text"), spans_of).alias("c"))
+    back = corpus.strip_markup(F.col("c.marked"))
+    first = F.get("c.spans", F.lit(0))
+    return c.select("doc_id", F.md5("c.marked").alias("marked_md5"), F.md5(back["text"]).alias("text_md5"), F.size(back["spans"]).alias("n"), first["start_b"].alias("first_b"), first["end_b"].alias("first_end_b"))
+
+
 def email_tokens(spark, sf_dir):
     d = documents(spark, sf_dir)
     mail = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[{X.MAIL}]+@[{X.MAIL}]+"), F.lit(0))
@@ -405,7 +429,7 @@ def corpus_score(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        lex_kinds, tokens_placed, byte_tokens, masked_bytes, email_tokens, folded_texts, address_keys, declined_words, inn_check, snils_check, luhn_check, digit_runs, run_shapes, luhn_cards, phone_candidates, shape_candidates,
+        lex_kinds, tokens_placed, tokens_at, byte_tokens, masked_bytes, markup_roundtrip, email_tokens, folded_texts, address_keys, declined_words, inn_check, snils_check, luhn_check, digit_runs, run_shapes, luhn_cards, phone_candidates, shape_candidates,
         date_candidates, passport_candidates, all_candidates, dict_flags, env_windows, decisions, cooccur_types, counts_by_type, counts_by_evidence, explain, resolved_spans, profile_filter, glued_spans,
         masked_stars, masked_tokens, masked_mail, envelope_roundtrip, office_containment, public_person_semi, parse_requests, find_property, process_replay, process_expiry, one_time_steps, latency_buckets, latency_percentiles,
         latency_exact, exposition, base64_names, corpus_score, written_rules, written_masks, pii_log, latency_rate,
@@ -465,6 +489,17 @@ ORACLES: dict[str, str] = {
     "tokens_placed": rf"""WITH {_TOKENS},
 b AS (SELECT *, (surface = '.' AND k1 = 'word' AND length(s1) >= 3) OR (kind = 'space' AND contains(surface, chr(10))) AS b, max(pos) OVER (PARTITION BY doc_id) AS last FROM tok)
 SELECT doc_id, sum(length(surface))::BIGINT AS chars, sum(strlen(surface))::BIGINT AS bytes, count(*) FILTER (kind IN ('word', 'digits', 'email')) AS content, count(*) FILTER (b AND pos < last) AS sentences, count(*) AS n FROM b GROUP BY doc_id""",
+    "tokens_at": f"""WITH {_TOKENS},
+b AS (SELECT *, sum(strlen(surface)) OVER (PARTITION BY doc_id ORDER BY pos) - strlen(surface) AS off_b FROM tok),
+o AS (SELECT DISTINCT doc_id, ((doc_id * 131 + i * i * i * 977) % (strlen(coalesce(text, '')) + 3))::INT AS "offset" FROM documents, range(5) r(i)),
+e AS (SELECT doc_id, off_b AS place FROM b WHERE surface = '.' AND k1 = 'word' AND length(s1) >= 3
+  UNION ALL SELECT doc_id, off_b + i FROM b, range(100) r(i) WHERE kind = 'space' AND i < length(surface) AND substr(surface, i::INT + 1, 1) = chr(10)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS nth FROM e),
+t AS (SELECT o.doc_id, o."offset", b.pos, b.kind, b.off_b, b.surface FROM o ASOF LEFT JOIN b ON o.doc_id = b.doc_id AND o."offset" >= b.off_b)
+SELECT t.doc_id, t."offset", t.pos::INT AS pos, t.kind, t.off_b::INT AS start_b, (t.off_b + strlen(t.surface))::INT AS end_b, coalesce(n.nth, 0)::INT AS sentence
+FROM t ASOF LEFT JOIN n ON t.doc_id = n.doc_id AND t."offset" > n.place""",
+    "markup_roundtrip": rf"""WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '[{_M}]+@[{_M}]+') AS l, regexp_split_to_array(text, '[{_M}]+@[{_M}]+') AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(regexp_replace(text, '([{_M}]+@[{_M}]+)', '{{{{email|\1}}}}', 'g')) AS marked_md5, md5(text) AS text_md5, len(l)::INT AS n, CASE WHEN len(l) > 0 THEN strlen(s[1])::INT END AS first_b, CASE WHEN len(l) > 0 THEN (strlen(s[1]) + strlen(l[1]))::INT END AS first_end_b FROM x""",
     "byte_tokens": f"""WITH {_BYTES},
 p AS (SELECT doc_id, unnest(regexp_extract_all(u, ' !40{_MAIL_HEX}|(?: (?:{_LETTER_HEX}))+|(?: 3[0-9])+|(?: (?:20|09|0[A-D]))+| [0-9A-F]+')) AS p FROM h3)
 SELECT doc_id, CASE WHEN p[2] = '!' THEN 'email' WHEN regexp_matches(p, '^ (?:{_LETTER_HEX})') THEN 'word' WHEN regexp_matches(p, '^ 3[0-9]') THEN 'digits' WHEN regexp_matches(p, '^ (?:20|09|0[A-D])') THEN 'space'
