@@ -112,6 +112,27 @@ def test_offices_and_public_persons(spark, known):
     assert "E_PUBLIC_FULL" in by[2, "fio"].codes and by[2, "fio"].status == "rejected" and by[3, "fio"].status == "masked"
 
 
+def test_surnames_of_public_persons_and_mailboxes_of_duties(spark, known):
+    from veilframe.functions.types import FLAG
+
+    words = known.dictionary.withColumn("flags", F.when(F.col("folded") == "кузнецова", F.col("flags").bitwiseOR(FLAG["public_person"])).otherwise(F.col("flags")))
+    texts = ["звонила Анна Кузнецова тут", "звонила Анна Петрова тут", "на info@q.org и Sales@q.org", "на info.box@q.org тут"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {(r.doc_id, r.ty): r for r in explain_df(d, Knowledge(words, skip_role_mailboxes=True)).collect()}
+    assert "E_PUBLIC_SURN" in by[0, "fio"].codes and by[0, "fio"].total == by[1, "fio"].total - 20 and "E_PUBLIC_SURN" not in by[1, "fio"].codes
+    assert (2, "email") not in by and by[3, "email"].status == "masked"
+    assert explain_df(d, known).where("doc_id = 2 and ty = 'email' and status = 'masked'").count() == 2
+
+
+def test_counts_by_window(spark):
+    import datetime as dt
+
+    at = lambda minute: dt.datetime(2024, 1, 1, 10, minute, tzinfo=dt.timezone.utc)
+    d = spark.createDataFrame([(at(0), "fio"), (at(4), "fio"), (at(4), "card"), (at(5), "fio")], "ts timestamp, ty string")
+    got = process.counts_by_window(d).select(F.minute("window.start").alias("m"), "ty", "count").collect()
+    assert sorted(map(tuple, got)) == [(0, "card", 1), (0, "fio", 2), (5, "fio", 1)]
+
+
 def test_containment_equals_naive(spark):
     import random
 

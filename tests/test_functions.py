@@ -69,7 +69,7 @@ def test_requests(spark):
 
 
 def test_find_string(spark):
-    bodies = [('{"k":"a"}', "a"), ('{"k":5}', None), ('{"n":{"k":"a"}}', None), ("x", None), (None, None), ('{"k":"5","z":1}', "5")]
+    bodies = [('{"k":"a"}', "a"), ('{"k":5}', None), ('{"n":{"k":"a"}}', None), ("x", None), (None, None), ('{"k":"5","z":1}', "5"), ('{"k":5,"k":"a"}', "a"), ('{"k":"a","k":"b"}', "a"), ('{"k":{"k":"x"},"j":"y","k":"z"}', "z"), ("[1]", None), ('{"k":null}', None)]
     df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)], "i int, b string").select("i", requests.find_string(F.col("b"), "k").alias("k"))
     assert {r.i: r.k for r in df.collect()} == {i: want for i, (_, want) in enumerate(bodies)}
 

@@ -17,13 +17,9 @@ SECRET = b"twelve plus bytes"
 
 
 @pytest.fixture(scope="module", autouse=True)
-def provider(spark):
-    for k, v in process.PROVIDER.items():
-        spark.conf.set(k, v)
+def few_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield
-    for k in process.PROVIDER:
-        spark.conf.unset(k)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
@@ -59,6 +55,17 @@ def test_expiry_by_event_time_equals_replay(spark, tmp_path):
     assert ("a", 3, "mask", "first") in rows and ("a", 4, "mask", "other") in rows and ("b", 2, "mask", "two") in rows and ("d", 3, "mask", "d2") in rows
 
 
+def test_time_to_live_by_the_clock(spark, tmp_path):
+    """More than a second passes between two runs of the query."""
+    schema = "payload_id string, seq long, payload string"
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        rows = stream(spark, tmp_path, [[("a", 1, "one")], [("a", 2, "two")]], schema, lambda s: process.process_stream(s, 1)).orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert [(r.seq, r.action, r.payload) for r in rows] == [(1, "mask", "one"), (2, "mask", "two")]
+
+
 class FakeState:
     """A value state in memory, with its time to live and the writes that refresh it."""
 

@@ -49,6 +49,15 @@ def placed(cands: DataFrame, c: DataFrame, docs: DataFrame) -> DataFrame:
     return d.where((F.col("ty") != "phone") | ~digits_of(F.col("value")).rlike("^[78]80[04]"))
 
 
+#: Mailboxes of offices and duties, before the sign of an address.
+ROLE_MAILBOXES = "info support sales admin office help contact noreply no-reply mail hello team hr press billing orders order service feedback shop reception secretary buh job jobs".split()
+
+
+def without_role_mailboxes(d: DataFrame) -> DataFrame:
+    """placed() candidates without e-mail addresses of duties instead of persons."""
+    return d.where((F.col("ty") != "email") | ~F.lower(F.substring_index("value", "@", 1)).isin(*ROLE_MAILBOXES))
+
+
 def collect(d: DataFrame, offices: DataFrame | None = None, persons: DataFrame | None = None) -> DataFrame:
     """placed() candidates -> with codes, the names of their evidence (all but E_COOCCUR)."""
     ty, L, H = F.col("ty"), (lambda n: F.col(f"L.{n}")), (lambda n: F.col(f"H.{n}"))  # noqa: E741

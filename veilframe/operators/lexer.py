@@ -15,8 +15,9 @@ from veilframe.functions.types import FLAG
 from veilframe.operators import scanner
 from veilframe.operators.scanner import DIGITS, EMAIL, SPACE, WORD, Scan
 
-#: The dictionary goes to executors whole up to so many entries, about 100 MB, else it is joined by a shuffle.
-MOST_BROADCAST = 2_000_000
+#: The dictionary goes to executors whole up to so many bytes of words and flags, some 700,000 entries of which Python makes
+#: about 100 MB; a larger one is joined by a shuffle.
+MOST_BROADCAST = 16 << 20
 
 
 def by_place() -> Window:
@@ -161,12 +162,13 @@ def tokens(docs: DataFrame, dictionary: DataFrame, around: bool = False) -> Data
     text in one piece is a segment. Rules see in a segment all that they would see in the whole text.
 
     Document ids are unique. Null text is empty and has no tokens. The dictionary goes to executors whole up to
-    MOST_BROADCAST entries; a larger one is joined by a shuffle, and all tokens are kept.
+    MOST_BROADCAST bytes; a larger one is joined by a shuffle, and all tokens are kept.
     """
     spark = docs.sparkSession
-    if dictionary.limit(1).count() == 0:
+    size = dictionary.agg(F.sum(F.octet_length("folded") + 8)).first()[0]
+    if size is None:
         raise ValueError("an empty dictionary would leave all names unmasked")
-    small = dictionary.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    small = size <= MOST_BROADCAST
     flags_of = spark.sparkContext.broadcast({r.folded.encode(): r.flags for r in dictionary.collect()}) if small else None
     t = _rows(docs, lexed, TOKEN, flags_of, around and small, isinstance(docs.schema["text"].dataType, BinaryType))
     if not small:

@@ -26,11 +26,12 @@ class Profile:
 
 @dataclass(frozen=True)
 class Knowledge:
-    """dictionary(folded, flags); offices(key) and persons(surname, form) if known."""
+    """dictionary(folded, flags); offices(key) and persons(surname, form) if known; whether mailboxes of duties (info@) are let through."""
 
     dictionary: DataFrame
     offices: DataFrame | None = None
     persons: DataFrame | None = None
+    skip_role_mailboxes: bool = False
 
 
 def analysed(docs: DataFrame, known: Knowledge) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -58,6 +59,7 @@ def tokens_of(docs: DataFrame, known: Knowledge) -> DataFrame:
 def decisions(docs: DataFrame, known: Knowledge) -> DataFrame:
     """A row for each candidate of docs(doc_id, text) with unique ids: doc_id, rule, ty, places, codes, total, vetoed, masked, holes."""
     t, _, d = analysed(docs, known)
+    d = evidence.without_role_mailboxes(d) if known.skip_role_mailboxes else d
     return evidence.with_holes(evidence.decide(evidence.collect(d, known.offices, known.persons)), t)
 
 

@@ -155,8 +155,15 @@ def address_keys(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", X.address_key(F.concat_ws(", ", "c_name", "c_mktsegment")).alias("key"))
 
 
+#: Endings of words of each way to decline names, the last two without an ending of their own.
+ENDINGS = ("ова", "ов", "ий", "ый", "ой", "ия", "я", "а", "ь", "й", "ж", "м")
+
+
 def declined_words(spark, sf_dir):
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(X.name_forms(F.concat(F.lit("пример"), F.translate(F.col("s_suppkey").cast("string"), "0123456789", "абвгдежзик"), F.lit("ов"))), " ").alias("forms"))
+    """Made-up words of every ending, declined."""
+    stem = F.concat(F.lit("пример"), F.translate(F.col("s_suppkey").cast("string"), "0123456789", "бвгджзклмн"))
+    word = F.concat(stem, F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("s_suppkey") % len(ENDINGS)).cast("int") + 1))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(X.name_forms(word), " ").alias("forms"))
 
 
 def inn_check(spark, sf_dir):
@@ -370,7 +377,9 @@ def parse_requests(spark, sf_dir):
 def find_property(spark, sf_dir):
     """Strings of JSON objects: one that is a string, and one that is a number in them and so is not found."""
     body = F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(F.lit("inner").alias("kind")).alias("nested"), "value"))
-    return read(spark, sf_dir, "events").select("event_id", requests.find_string(body, "kind").alias("kind"), requests.find_string(F.col("props"), "k").alias("k"))
+    again = F.concat(F.lit('{"kind":'), F.col("event_id").cast("string"), F.lit(',"kind":"'), F.col("event_type"), F.lit('","kind":"last","a.b":"'), F.col("user_id").cast("string"), F.lit('"}'))
+    found = [requests.find_string(body, "kind").alias("kind"), requests.find_string(F.col("props"), "k").alias("k"), requests.find_string(again, "kind").alias("repeated"), requests.find_string(again, "a.b").alias("dotted")]
+    return read(spark, sf_dir, "events").select("event_id", *found)
 
 
 def process_replay(spark, sf_dir):
@@ -513,7 +522,10 @@ UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL""",
     "email_tokens": f"SELECT doc_id, unnest(range(len(l)))::INT AS nth, unnest(l) AS email FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[{_M}]+@[{_M}]+') AS l FROM documents)",
     "folded_texts": "SELECT doc_id, md5(replace(lower(text), 'ё', 'е')) AS folded_md5, length(text) AS chars, strlen(text) AS bytes FROM documents",
     "address_keys": "SELECT c_custkey, regexp_replace(lower(c_name || ', ' || c_mktsegment), '[^0-9a-zа-ѿ]', '', 'g') AS key FROM customer",
-    "declined_words": "SELECT s_suppkey, array_to_string(list_transform(['а', 'у', 'ым', 'е', 'ой', 'ы', 'ых', 'ыми'], lambda t: 'пример' || translate(s_suppkey::VARCHAR, '0123456789', 'абвгдежзик') || 'ов' || t), ' ') AS forms FROM supplier",
+    "declined_words": f"""WITH w AS (SELECT s_suppkey, (s_suppkey % {len(ENDINGS)})::INT AS k, 'пример' || translate(s_suppkey::VARCHAR, '0123456789', 'бвгджзклмн') || [{", ".join(f"'{e}'" for e in ENDINGS)}][(s_suppkey % {len(ENDINGS)} + 1)::INT] AS w FROM supplier),
+t(k, cut, tails) AS (VALUES (0, 1, 'ой у ы ых'), (1, 0, 'а у ым е ой ы ых ыми'), (2, 2, 'ого ому им ом ая ой ую ие их ими'), (3, 2, 'ого ому ым ом ая ой ую ые ых ыми'), (4, 2, 'ого ому ым ом ая ой ую ые ых ыми'), (5, 1, 'и ю ей'),
+ (6, 1, 'и е ю ей'), (7, 1, 'ы е у ой'), (8, 1, 'я ю ем е'), (9, 1, 'я ю ем е'), (10, 0, 'а у ем е'), (11, 0, 'а у ом е'))
+SELECT s_suppkey, array_to_string(list_transform(string_split(tails, ' '), lambda x: left(w, length(w) - cut) || x), ' ') AS forms FROM w JOIN t USING (k)""",
     "inn_check": f"SELECT o_orderkey, {_inn('ten', 10)} AS ten_valid, {_inn('twelve', 12)} AS twelve_valid FROM (SELECT o_orderkey, lpad((o_orderkey * 7919 % 1000000007)::VARCHAR, 10, '0') AS ten, '77' || ten AS twelve FROM orders)",
     "snils_check": f"SELECT {_SNILS} AS valid, count(*) AS n FROM (SELECT lpad((l_orderkey * 104729 + l_linenumber * 1299709)::VARCHAR, 11, '0') AS d FROM lineitem) GROUP BY 1",
     "luhn_check": f"SELECT {_LUHN.format(d='d')} AS valid, count(*) AS n, min(o_orderkey) AS least FROM (SELECT o_orderkey, '4000' || lpad(o_orderkey::VARCHAR, 12, '0') AS d FROM orders) GROUP BY 1",
@@ -548,7 +560,7 @@ SELECT p_partkey, coalesce(x.hit, false) AS branded, coalesce(y.hit, false) AS b
     "written_rules": written.expected_sql("orders", "o_orderkey"),
     "latency_rate": "SELECT event_type, round(avg(value), 6) AS mean, count(*) AS n, round(count(*) / greatest(1e-6, epoch(max(ts)) - epoch(min(ts))), 6) AS per_second FROM events GROUP BY event_type",
     "parse_requests": "SELECT conv_id, turn, conv_id::VARCHAR AS payload_id, md5(text) AS payload_md5 FROM conversations",
-    "find_property": "SELECT event_id, event_type AS kind, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') END AS k FROM events",
+    "find_property": "SELECT event_id, event_type AS kind, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') END AS k, event_type AS repeated, user_id::VARCHAR AS dotted FROM events",
     "process_replay": """SELECT conv_id AS payload_id, turn AS seq, CASE WHEN text IS NOT DISTINCT FROM f THEN 'mask' ELSE 'restore' END AS action, md5(f) AS answer_md5
 FROM (SELECT *, first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations)""",
     "process_expiry": """WITH c AS (SELECT conv_id AS payload_id, turn AS seq, text, conv_id + 60 * turn * turn AS t FROM conversations),

@@ -26,9 +26,11 @@ def parse_request(body: Column) -> Column:
 
 
 def find_string(body: Column, key: str) -> Column:
-    """The value of a top-level property if it is a string, else null. Of repeated ones the first counts."""
-    _, ok = _strings(body, key)
-    return F.when(ok, F.get_json_object(body, f"$.{key}"))
+    """The value of a top-level property if it is a string, else null. Of repeated ones the first string counts; key is taken as
+    it is, dots and all. A body that is no object, or in which an object inside repeats a property, has none."""
+    pairs = F.map_entries(F.from_json(body, "map<string,variant>"))
+    text = F.filter(pairs, lambda e: (e["key"] == key) & (F.schema_of_variant(e["value"]) == "STRING"))
+    return F.try_variant_get(F.get(text, F.lit(0))["value"], "$", "string")
 
 
 def result_json(masked: Column) -> Column:

@@ -17,8 +17,8 @@ from veilframe.plans.pipeline import Knowledge, Profile, mask_df
 
 TTL_SECONDS = 900
 OUT, MEMORY = "payload_id string, seq long, action string, payload string", "original string, used long, timer long"
-#: transformWithState keeps its variables in this store.
-PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: transformWithState keeps its variables in this store alone.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def replay(requests: DataFrame, demask: bool = True, ttl_seconds: int | None = None) -> DataFrame:
@@ -90,8 +90,11 @@ def process_stream(requests: DataFrame, ttl_seconds: int = TTL_SECONDS, demask:
     """The streaming twin of replay(): requests(payload_id, seq, payload) -> (payload_id, seq, action, payload), the text to mask or the original.
 
     An id is forgotten ttl_seconds after its last use: by the clock, or by the timestamps of event_time, a column with a
-    watermark, as replay() does it. Rows of an id that come in one batch are taken in order of seq.
+    watermark, as replay() does it. Rows of an id that come in one batch are taken in order of seq. The session's state
+    store becomes RocksDB. By the clock, batches without data go on for ever; for availableNow switch those off
+    (spark.sql.streaming.noDataMicroBatches.enabled).
     """
+    requests.sparkSession.conf.set(*PROVIDER)
     if event_time is None:
         return requests.groupBy("payload_id").transformWithState(Memory(ttl_seconds, demask), OUT, "Append", "ProcessingTime")
     return requests.groupBy("payload_id").transformWithState(Memory(ttl_seconds, demask, event_time), OUT, "Append", "EventTime")

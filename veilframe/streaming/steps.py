@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from veilframe.functions.otp import DIGITS, STEP
 from veilframe.functions.text import hmac_sha256
+from veilframe.streaming.process import PROVIDER
 
 OUT = "caller string, seq long, step long, accepted boolean"
 
@@ -65,7 +66,8 @@ class LastStep(StatefulProcessor):
 def verify_stream(codes: DataFrame, secret: bytes) -> DataFrame:
     """The streaming twin of replay(): a code that comes again, in the same batch or a later one, is not accepted.
 
-    Codes are compared before the state is met, so the state sees steps alone.
+    Codes are compared before the state is met, so the state sees steps alone. The session's state store becomes RocksDB.
     """
+    codes.sparkSession.conf.set(*PROVIDER)
     rows = claimed(codes, secret).select("caller", "seq", "step")
     return rows.groupBy("caller").transformWithState(LastStep(), OUT, "Append", "None")
