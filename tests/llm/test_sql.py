@@ -173,13 +173,14 @@ def test_records_are_gzip_members_of_their_own(spark, tmp_path):
 
 
 def test_search(spark):
-    rows = [(i, [float(i % 7), float(i % 3), 1.0], "e") for i in range(60)] + [(100, None, "e"), (120, [0.0, 0.0, 0.0], "e"), (140, [float("nan"), 1.0, 1.0], "e"), (160, [None, 1.0, 2.0], "e"), (None, [1.0, 1.0, 1.0], "e"), (180, [1.0, 2.0], "e"), (20, [6.0, 2.0, 1.0], "e")]
+    rows = [(i, [float(i % 7), float(i % 3), 1.0], "e") for i in range(60)] + [(100, None, "e"), (120, [0.0, 0.0, 0.0], "e"), (140, [float("nan"), 1.0, 1.0], "e"), (160, [None, 1.0, 2.0], "e"), (None, [1.0, 1.0, 1.0], "e"), (180, [1.0, 2.0], "e"), (5, [9.0, 9.0, 9.0], "e"), (7, [8.0, 0.0, 1.0], "e"), (20, [6.0, 2.0, 1.0], "e")]
     got = rabitq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")).collect()
     vectors = {}
-    for i, v, _ in rows[:60] + rows[-1:]:
+    whole = rows[:60] + rows[-3:]
+    for i, v, _ in whole:
         vectors[i] = min(vectors.get(i, v), v)
     for q in (0, 20, 40):
-        want = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q))[:20]
+        want = sorted(((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v, _ in whole if i != q))[:20]
         assert [(r["rank"], r.vec_id, -r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(n, i, s) for n, (s, i) in enumerate(want, 1)]
     assert {r.query_id for r in got} == {0, 20, 40}
 

@@ -170,8 +170,9 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     """(query_id, rank, vec_id, score) of vectors(vec_id, embedding, ...): the k nearest of each row whose id is divisible by every.
 
     Nearest is the largest inner product, ties to the smaller id. Vectors that are null, empty, zero or hold a null
-    or a non-finite component take no part, nor do rows without an id. Vectors of different lengths never meet. Rows that
-    repeat an id and its vector count once; of different vectors with one id, the one that sorts first counts. Work grows
+    or a non-finite component take no part, nor do rows without an id. Vectors of different lengths never meet. Every other
+    row is a candidate, also those that repeat an id; a query meets no row of its own id, and of different query vectors
+    with one id the one that sorts first asks. Work grows
     with queries times candidates; each candidate is read once for each block of queries. An empty table gives an empty
     result. Extra columns are ignored.
     """
@@ -183,21 +184,22 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     vector = F.transform("embedding", lambda x: x.cast(kind))
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).where(fine)
-    if rows.groupBy("vec_id").count().where("count > 1").take(1):
-        rows = rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asking = rows.where(F.col("vec_id") % every == 0)
+    repeated = bool(asking.groupBy("vec_id").count().where("count > 1").take(1))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"vec_id": batch["vec_id"], "vector": [np.asarray(v, f"f{width}").tobytes() for v in batch["vector"]], "width": width})
 
-    coded = rows.mapInPandas(lambda batches: encoded(packed(batches)), "vec_id long, dim int, vector binary, code binary, scalar double, length double")
-    base = settle(coded, "codes")
+    coded = lambda r: r.mapInPandas(lambda batches: encoded(packed(batches)), "vec_id long, dim int, vector binary, code binary, scalar double, length double")
+    base = settle(coded(rows), "codes")
+    asked = settle(coded(asking.groupBy("vec_id").agg(F.min("vector").alias("vector"))), "asked") if repeated else base.where(F.col("vec_id") % every == 0)
     counts = base.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     # parts are a whole number of times the default parallelism up to PART rows, then as many as it takes
     parts, blocks = max(2 * spark.sparkContext.defaultParallelism, -(-counts[0] // PART)), max(1, -(-counts[1] // QUERIES))
     split = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = base.where(F.col("vec_id") % every == 0).select("*", split(blocks).alias("ask"), each(parts).alias("part"), F.lit(0).alias("role"))
+    queries = asked.select("*", split(blocks).alias("ask"), each(parts).alias("part"), F.lit(0).alias("role"))
     meeting = base.select("*", each(blocks).alias("ask"), split(parts).alias("part"), F.lit(1).alias("role")).unionByName(queries)
     meeting = meeting.repartition("ask", "part").sortWithinPartitions("ask", "part", "dim", "role")
     found = meeting.mapInPandas(searched(k, width), "query_id long, vec_id long, score double")
