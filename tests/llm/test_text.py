@@ -156,6 +156,51 @@ def test_all_slots_of_an_unmarked_region(spark):
     assert got == {i: f"t {i}\n{story(i, 20)}\n{story(i + 20, 14)}\nsee {story(i + 90, 2)}" for i in range(8)}
 
 
+def texts_of(spark, page, n=12):
+    return {r.page_id: r.text for r in template_extract.extract(pages_of(spark, [page(i) for i in range(n)])).collect()}
+
+
+def test_names_never_empty_an_article(spark):
+    """Names inside articles drop neither paragraphs nor varying sections; those of adverts and comments leave the text."""
+    alone = lambda page: template_extract.main_text(page, frozenset(), frozenset(), None)
+    page = lambda i: f"<body><article><h1>t</h1><p class='side'>{story(i)}</p><div class='print'>{story(i + 30)}</div><div class='ads-box'>buy {story(i + 60, 5)}</div></article></body>"
+    want = {i: f"t\n{story(i)}\n{story(i + 30)}" for i in range(4)}
+    assert {i: alone(page(i)) for i in range(4)} == want
+    got = texts_of(spark, page)
+    assert all(got[i].endswith(f"{story(i)}\n{story(i + 30)}") for i in range(12))
+    assert alone("<article><h1>t</h1><div class='comments'><p>all there is</p></div></article>") == "t\nall there is"
+    assert alone("<article><p>x <span class='search'>y</span> z</p></article>") == "x y z"
+
+
+def test_named_slots_go_if_they_behave_so(spark):
+    """Under a doubtful name a text goes that a fifth of the pages share, and a slot of links; others stay."""
+    page = lambda i: f"<body><article><p>{story(i)}</p><div class=notice>{'we are closed' if i % 2 else story(i + 9, 6)}</div><div class=widget><a href=x>{story(i + 50, 5)}</a></div><p class=n{i % 2}>own</p></article></body>"
+    got = texts_of(spark, page)
+    for i in range(12):
+        assert "we are closed" not in got[i] and story(i + 50, 5) not in got[i] and story(i) in got[i]
+        assert i % 2 or story(i + 9, 6) in got[i]
+
+
+def test_leads_and_intros_stay(spark):
+    """A short lead beside a long body, and a heading and an intro beside the article of a main part."""
+    lead = lambda i: f"<body><div class=top>Our site</div><div class=lead>{story(i + 40, 8)}</div><div class=body><p>{story(i, 400)}</p></div></body>"
+    assert texts_of(spark, lead) == {i: f"{story(i + 40, 8)}\n{story(i, 400)}" for i in range(12)}
+    intro = lambda i: f"<body><div>{story(i + 70, 6)}</div><main><h2>head {i}</h2><div class=intro>{story(i + 40, 8)}</div><article><p>{story(i, 200)}</p></article></main></body>"
+    assert texts_of(spark, intro) == {i: f"head {i}\n{story(i + 40, 8)}\n{story(i, 200)}" for i in range(12)}
+
+
+def test_notices_of_sections(spark):
+    """Each of two sections has its notice in all its articles; a heading that half of the articles share stays."""
+    page = lambda i: f"<body><article class={'ab'[i % 2]}><h1>t {i}</h1><p>{story(i)}</p>{'<h2>Sources</h2>' if i % 4 < 2 else ''}<p>{['Sport every day', 'News at nine'][i % 2]}</p></article></body>"
+    assert texts_of(spark, page, 16) == {i: f"t {i}\n{story(i)}" + "\nSources" * (i % 4 < 2) for i in range(16)}
+
+
+def test_links_beside_text_stay(spark):
+    """A list of sources in the text's container stays; a menu of links in its own goes."""
+    page = lambda i: f"<body><div class=top><ul><li><a href=a>{story(i + 80, 3)}</a></ul></div><div class=c><p>{story(i)}</p><ul><li><a href=x>{story(i + 20, 4)}</a><li><a href=y>{story(i + 33, 4)}</a></ul></div></body>"
+    assert texts_of(spark, page) == {i: f"{story(i)}\n{story(i + 20, 4)}\n{story(i + 33, 4)}" for i in range(12)}
+
+
 def test_copies_of_a_page_are_no_template(spark):
     pages = [f"<article><h1>one</h1><p>{story(1)}</p></article>"] * 9 + [f"<article><h1>two</h1><p>{story(2)}</p></article>"]
     got = template_extract.extract(pages_of(spark, pages)).collect()
