@@ -224,7 +224,7 @@ def test_classes_equal_brute_force(spark):
     want = {t for g in groups.values() if not all(kinds[t] for t in g) for t in g if kinds[t]}
     assert {t.split("\x1f")[1] for t in want} == {"menu", "end"}
     rows = pages_of(spark, pages).selectExpr("xxhash64(html) AS uid", "'h' AS host", "xxhash64(html) AS page", "html")
-    assert sorted(template_extract.templates(rows).first().texts) == sorted(template_extract._hash(sorted(want)).tolist())
+    assert sorted(template_extract.templates(rows).first().texts) == sorted(template_extract._hash(sorted(want)))
 
 
 def test_awkward_pages(spark):

@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -172,8 +173,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
     return out, paths
 
 
-def _hash(values: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(values, object)).view(np.int64)
+def _hash(values: list[str]) -> list[int]:
+    return [int.from_bytes(blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for v in values]
+
+
+def _hash_column(values: pd.Series) -> pd.Series:
+    different = values.unique().tolist()
+    return values.map(dict(zip(different, _hash(different)))).astype("int64")
 
 
 def regions(path: str) -> list[str]:
@@ -219,7 +225,7 @@ def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if rows:
                 out = pd.DataFrame(rows, columns=["host", "page", "token", "kind", "slot", "n", "plain", "linked"])
                 for c in ("token", "slot"):
-                    out[c] = _hash(out[c].tolist())
+                    out[c] = _hash_column(out[c])
                 yield out
 
 
@@ -239,7 +245,7 @@ def covers_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows += [(host, p, p.count("/")) for p in common]
         out = pd.DataFrame(rows, columns=["host", "token", "depth"])
         if rows:
-            out["token"] = _hash(out["token"].tolist())
+            out["token"] = _hash_column(out["token"])
             yield out
 
 
@@ -284,7 +290,7 @@ def main_blocks(source: str, texts: frozenset[int], links: frozenset[int]) -> tu
     against them. Names never take all of an article but its headings.
     """
     blocks, _ = blocks_of(source)
-    known = _hash([f"{b[0]}\x1f{b[1]}" for b in blocks]).tolist() if blocks else []
+    known = _hash([f"{b[0]}\x1f{b[1]}" for b in blocks])
     blocks = [b for b, h in zip(blocks, known) if h not in texts and b[2] != APART_BY_MARKUP]
     rest = [b for b in blocks if b[2] != BESIDE_TEXT]
     if len(rest) < len(blocks) and any(not _is_heading(b[0]) for b in rest if b[3]):
@@ -292,7 +298,7 @@ def main_blocks(source: str, texts: frozenset[int], links: frozenset[int]) -> tu
     sums: dict[str, int] = {}
     for path, text, _, _, linked in blocks:
         sums[path] = sums.get(path, 0) + len(text) - 2 * linked
-    of = dict(zip(sums, _hash(list(sums)).tolist())) if sums else {}
+    of = dict(zip(sums, _hash(list(sums))))
     linking = {p for p in sums if sums[p] < 0 or of[p] in links}
     open_ones = [b for b in blocks if b[0] not in linking]
     marked = sum(len(b[1]) - b[4] for b in open_ones if b[3])
@@ -308,7 +314,7 @@ def main_text(source: str, texts: frozenset[int], links: frozenset[int], region:
     blocks, open_ones = main_blocks(source, texts, links)
     paths = {b[0]: regions(b[0]) for b in blocks}
     names = sorted({p for ps in paths.values() for p in ps})
-    of = dict(zip(names, _hash(names).tolist())) if names else {}
+    of = dict(zip(names, _hash(names)))
     inside = [b for b in blocks if any(of[p] == region for p in paths[b[0]])]
     if not inside and open_ones:
         own = max(set(paths[open_ones[0][0]]).intersection(*(paths[b[0]] for b in open_ones)), key=lambda p: (p.count("/"), p))
