@@ -249,9 +249,16 @@ def covers_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out
 
 
-def once_each(rows: DataFrame) -> DataFrame:
-    """A uid for each different page of a host."""
-    return settle(rows.groupBy("host", "page").agg(F.any_value("uid").alias("uid")).select("uid"), "different")
+def different_pages(rows: DataFrame) -> DataFrame:
+    """Of rows(host, page, uid, ...) of a host with equal pages those of one uid.
+
+    Only keys of repeated pages are looked up, so that html stays where it is: a group of copies is one key.
+    """
+    repeated = rows.groupBy(F.col("host").alias("_h"), F.col("page").alias("_p")).agg(F.max("uid").alias("_uid"), F.count("*").alias("_n"))
+    repeated = settle(repeated.where("_n > 1").drop("_n"), "repeated")
+    size = repeated.agg(F.sum(F.length("_h") + 48)).first()[0] or 0
+    found = rows.join(F.broadcast(repeated) if size <= MOST_BYTES else repeated, (F.col("host") == F.col("_h")) & (F.col("page") == F.col("_p")), "left")
+    return found.where("_uid IS NULL OR _uid = uid").drop("_h", "_p", "_uid")
 
 
 def templates(rows: DataFrame) -> DataFrame:
@@ -355,7 +362,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html is empty and has no text. Pages without a host in their url share one template. Pages of a host with equal
     html count once for its template and give equal rows; null ids are kept. A host of one or two pages has no template
-    texts; its region follows from its own pages. Text in an open slot that stands outside the region on fewer than one
+    texts; its region follows from its own pages. Rows equal in all columns count apart for it. Text in an open slot that stands outside the region on fewer than one
     page in twenty is left out. Very long pages are read whole. An empty table gives an empty result.
     Extra columns are ignored.
     """
@@ -363,7 +370,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
     source = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64(source).alias("page"), source.alias("html")).withColumn("uid", F.xxhash64("host", "page", "page_id", "url"))
-    different = rows.join(once_each(rows), "uid", "left_semi")
+    different = different_pages(rows)
     known = settle(templates(different.select("host", "page", "html")), "templates")
     size = known.agg(F.sum(8 * (F.size("texts") + F.size("links")) + F.length("host") + 64)).first()[0] or 0
 
