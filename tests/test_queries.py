@@ -5,7 +5,8 @@ from veilframe.plans import queries
 
 QUICK = [
     "lex_kinds", "tokens_placed", "email_tokens", "folded_texts", "address_keys", "declined_words", "inn_check", "snils_check", "luhn_check", "digit_runs", "luhn_cards", "phone_candidates", "shape_candidates",
-    "dict_flags", "resolved_spans", "profile_filter", "glued_spans", "masked_mail", "office_containment", "public_person_semi", "parse_requests", "process_replay", "latency_percentiles", "latency_rate", "find_property", "written_rules", "date_candidates", "base64_names",
+    "dict_flags", "resolved_spans", "profile_filter", "glued_spans", "masked_mail", "office_containment", "public_person_semi", "parse_requests", "process_replay", "latency_percentiles", "latency_rate", "find_property", "date_candidates", "base64_names", "env_windows",
+    "written_rules", "written_decisions", "written_counts", "written_together", "written_masks", "written_tokens", "written_explained", "written_envelopes", "written_log", "written_score", "written_sizes", "written_over",
 ]
 
 

@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
-from veilframe.functions.types import FLAG, FLAG_NAMES, KINDS
+from veilframe.functions.types import FLAG, FLAG_NAMES, KINDS, THRESHOLD
 from veilframe.operators import envelope, evidence, metrics, places, rules, spans
 from veilframe.operators import lexer as lex
 from veilframe.plans import written
 from veilframe.plans.pipeline import Knowledge, Profile, by_row, explained, mask_df, masked_by, texts, tokens_of
-from veilframe.plans.pipeline import decisions as decisions_of
 from veilframe.sources import corpus, dictionaries, requests
 from veilframe.streaming import process, steps
 
@@ -61,10 +60,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _engine(spark: SparkSession, sf_dir: str) -> Analysis:
     """The analysis of documents; kept, as many queries look at it."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    return _analysis(documents(spark, sf_dir), sf_dir, "documents")
+
+
+def _analysis(docs: DataFrame, sf_dir: str, name: str) -> Analysis:
+    key = (id(docs.sparkSession), docs.sparkSession.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
         forget()
-        _kept[key] = Analysis(documents(spark, sf_dir))
+        _kept[key] = Analysis(docs)
     return _kept[key]
 
 
@@ -345,17 +348,71 @@ def public_person_semi(spark, sf_dir):
 
 def written_rules(spark, sf_dir):
     """Order keys written into texts for every rule and kind of evidence: what the rules find and how it is weighed."""
-    docs = written.texts(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")))
-    d = decisions_of(docs.select("doc_id", "text"), Knowledge(dictionaries.builtin(spark)))
-    d = d.join(docs.select("doc_id", "rule"), ["doc_id", "rule"])
+    docs, decided = _written(spark, sf_dir)
+    d = by_row(docs, decided).join(docs.select("doc_id", "rule"), ["doc_id", "rule"])
     return d.select("doc_id", "rule", "ty", "start", "end", F.array_join(F.array_sort("codes"), ",").alias("codes"), "total").distinct()
 
 
-def written_masks(spark, sf_dir):
-    """The same texts masked by stars: whether each decided span is masked, by its characters."""
+def _written(spark, sf_dir):
+    """The written texts and the decisions on them, by their ids; kept like those of documents."""
     docs = written.texts(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")))
-    m = mask_df(docs, Knowledge(dictionaries.builtin(spark)))
-    return m.select("doc_id", F.length("masked").alias("chars"), (F.length("masked") - F.length(F.translate("masked", "*", ""))).alias("stars"))
+    return docs, _analysis(docs, sf_dir, "written").decided
+
+
+def written_decisions(spark, sf_dir):
+    """What any rule finds in the written texts, how it is weighed and decided: each place once."""
+    docs, decided = _written(spark, sf_dir)
+    return by_row(docs, decided).select("doc_id", "rule", "ty", "start", "end", F.array_join(F.array_sort("codes"), ",").alias("codes"), "total", "vetoed", "masked").distinct()
+
+
+def written_counts(spark, sf_dir):
+    """Candidates of the written texts by kind and evidence, and how many of them are masked."""
+    d = written_decisions(spark, sf_dir).select("ty", F.explode(F.split("codes", ",")).alias("code"), "masked")
+    return d.groupBy("ty", "code").agg(F.count("*").alias("n"), F.count_if("masked").alias("masked"))
+
+
+def written_together(spark, sf_dir):
+    """Kinds that meet in the sentences of the written texts."""
+    docs, decided = _written(spark, sf_dir)
+    return by_row(docs, decided).groupBy("doc_id", "sentence").agg(F.array_join(F.array_sort(F.collect_set("ty")), ",").alias("kinds")).groupBy("kinds").agg(F.count("*").alias("n"))
+
+
+def written_masks(spark, sf_dir):
+    """The written texts masked by stars."""
+    docs, decided = _written(spark, sf_dir)
+    return masked_by(docs, decided).select("doc_id", "masked", F.length("masked").alias("chars"), (F.length("masked") - F.length(F.translate("masked", "*", ""))).alias("stars"))
+
+
+def written_tokens(spark, sf_dir):
+    """The written texts masked by labels."""
+    docs, decided = _written(spark, sf_dir)
+    return masked_by(docs, decided, Profile(mask_mode="token")).select("doc_id", "masked", F.size("spans").alias("n_spans"))
+
+
+def written_explained(spark, sf_dir):
+    """Why spans of the written texts are masked or rejected: each place once."""
+    docs, decided = _written(spark, sf_dir)
+    return explained(docs, decided).withColumn("codes", F.array_join(F.array_sort("codes"), ",")).distinct()
+
+
+def written_envelopes(spark, sf_dir):
+    """The written texts sealed and opened: by their system, by another one, too late, and after a label was lost."""
+    docs, decided = _written(spark, sf_dir)
+    m = masked_by(docs, decided, Profile(mask_mode="token"), glued=False).where(F.size("spans") > 0)
+    m = m.withColumns({"salt": F.unhex(F.sha2("text", 256)), "now": F.lit(1_700_000_000).cast("long")})
+    key, other, soon = envelope.system_key(b"0" * 32, "demo"), envelope.system_key(b"0" * 32, "other"), F.lit(1_700_000_100)
+    d = envelope.unmask_df(envelope.seal_df(m, key), key, soon).select("doc_id", "masked", "envelope", F.md5("restored").alias("restored_md5"))
+    masked = F.col("masked")
+    for name, by, now, text in (("other_system", other, soon, masked), ("too_late", key, F.lit(1_700_000_301), masked), ("label_lost", key, soon, F.translate(masked, "[]", "()"))):
+        d = envelope.unmask_df(d.withColumns({"_whole": masked, "masked": text}), by, now)
+        d = d.withColumns({"masked": F.col("_whole"), name: F.col("error")}).drop("_whole", "error", "restored")
+    return d.select("doc_id", "restored_md5", F.length("envelope").alias("envelope_chars"), "other_system", "too_late", "label_lost")
+
+
+def written_log(spark, sf_dir):
+    """What is masked in each written text by kind, without values."""
+    docs, decided = _written(spark, sf_dir)
+    return masked_by(docs, decided).select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id", "s.ty").agg(F.count("*").alias("n"))
 
 
 def pii_log(spark, sf_dir):
@@ -435,13 +492,37 @@ def corpus_score(spark, sf_dir):
     return corpus.summary(corpus.score(cases.join(masked, "id")))
 
 
+def _scored(spark, sf_dir):
+    """The written texts as annotated cases, a size for every remainder by three, with the engine's masks."""
+    docs, decided = _written(spark, sf_dir)
+    size = F.element_at(F.array(*map(F.lit, ("phrase", "sentence", "page"))), (F.col("doc_id") % 3).cast("int") + 1)
+    cases = written.annotations(docs).select(F.col("doc_id").alias("id"), size.alias("size"), "text", "spans")
+    return cases.join(masked_by(docs, decided).select(F.col("doc_id").alias("id"), "masked"), "id")
+
+
+def written_score(spark, sf_dir):
+    """Recall on the written texts by kind."""
+    return corpus.summary(corpus.score(_scored(spark, sf_dir)))
+
+
+def written_sizes(spark, sf_dir):
+    """Mean recall on the written texts by size."""
+    return corpus.summary_by_size(_scored(spark, sf_dir))
+
+
+def written_over(spark, sf_dir):
+    """Characters masked outside the annotations of the written texts."""
+    return corpus.over_masked(_scored(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lex_kinds, tokens_placed, tokens_at, byte_tokens, masked_bytes, markup_roundtrip, email_tokens, folded_texts, address_keys, declined_words, inn_check, snils_check, luhn_check, digit_runs, run_shapes, luhn_cards, phone_candidates, shape_candidates,
         date_candidates, passport_candidates, all_candidates, dict_flags, env_windows, decisions, cooccur_types, counts_by_type, counts_by_evidence, explain, resolved_spans, profile_filter, glued_spans,
         masked_stars, masked_tokens, masked_mail, envelope_roundtrip, office_containment, public_person_semi, parse_requests, find_property, process_replay, process_expiry, one_time_steps, latency_buckets, latency_percentiles,
-        latency_exact, exposition, base64_names, corpus_score, written_rules, written_masks, pii_log, latency_rate,
+        latency_exact, exposition, base64_names, corpus_score, pii_log, latency_rate,
+        written_rules, written_decisions, written_counts, written_together, written_masks, written_tokens, written_explained, written_envelopes, written_log, written_score, written_sizes, written_over,
     )
 }
 
@@ -490,9 +571,21 @@ i2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DE
 r AS (SELECT doc_id, n, start, "end", ty, true AS kept, "end" AS until FROM i2 WHERE n = 1
   UNION ALL SELECT i.doc_id, i.n, i.start, i."end", i.ty, i.start >= r.until, CASE WHEN i.start >= r.until THEN i."end" ELSE r.until END FROM r JOIN i2 i ON i.doc_id = r.doc_id AND i.n = r.n + 1)"""
 _WORDS = [(w, c) for c, words in dictionaries.BUILTIN.items() if c not in dictionaries.DECLINED for w in words.split()]
+# flags of words: those of the lists, and of the declined ones' forms, by the ending of the word
+_FLAGS = f"""
+b0(w, bits, declined) AS (VALUES {", ".join(f"('{w}', {FLAG[c]}, {c in dictionaries.DECLINED})" for c, words in dictionaries.BUILTIN.items() for w in words.split())}),
+b1 AS (SELECT *, CASE WHEN w LIKE '%ова' THEN '1 ой у ы ых' WHEN w LIKE '%ов' THEN '0 а у ым е ой ы ых ыми' WHEN w LIKE '%ия' THEN '1 и ю ей' WHEN w LIKE '%а' THEN '1 ы е у ой'
+  WHEN w LIKE '%й' THEN '1 я ю ем е' WHEN w LIKE '%ч' THEN '0 а у ем е' ELSE '0 а у ом е' END AS way FROM b0),
+b2 AS (SELECT w AS form, bits FROM b0 UNION ALL SELECT left(w, length(w) - way[1]::INT) || unnest(string_split(way[3:], ' ')), bits FROM b1 WHERE declined),
+dict AS (SELECT replace(lower(form), 'ё', 'е') AS folded, bit_or(bits) AS flags FROM b2 GROUP BY ALL)"""
 _BUCKET = "least(63, CASE WHEN n = 1 THEN 0 ELSE 2 * (length(bin(n)) - 1) + ((n >> (length(bin(n)) - 2)) & 1) END)::INT"
 _HIST = f"h AS (SELECT event_type, {_BUCKET} AS bucket, count(*) AS n FROM (SELECT event_type, greatest(1, trunc(value * 1000)::BIGINT) AS n FROM events) GROUP BY ALL)"
 
+_WRITTEN = written.tables_sql("orders", "o_orderkey")
+# characters to mask of each span but for white space, and those that the expected masks hide
+_SCORED = f"""{_WRITTEN},
+h AS (SELECT s.doc_id, s.ty, length(replace(substr(s.text, start + 1, "end" - start), ' ', '')) AS n, length(regexp_replace(substr(stars, start + 1, "end" - start), '[^*]', '', 'g')) AS hit FROM s JOIN x USING (doc_id))"""
+
 ORACLES: dict[str, str] = {
     "lex_kinds": f"WITH {_TOKENS} SELECT doc_id, kind, count(*) AS n, sum(length(surface))::BIGINT AS chars FROM tok GROUP BY ALL",
     "tokens_placed": rf"""WITH {_TOKENS},
@@ -545,6 +638,10 @@ SELECT doc_id, ty, count(*) AS n FROM c GROUP BY ALL""",
     "dict_flags": f"""WITH d(w, category) AS (VALUES {", ".join(f"('{w}', '{c}')" for w, c in dict.fromkeys(_WORDS))}),
 t AS (SELECT doc_id, replace(lower(unnest(regexp_extract_all(coalesce(text, ''), '[{_L}]+'))), 'ё', 'е') AS w FROM documents)
 SELECT category, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t JOIN d USING (w) GROUP BY category""",
+    "env_windows": f"""WITH {_TOKENS}, {_FLAGS},
+c AS (SELECT doc_id, pos, kind, coalesce(flags, 0)::BIGINT AS flags FROM tok LEFT JOIN dict ON kind = 'word' AND replace(lower(surface), 'ё', 'е') = folded WHERE kind IN ('word', 'digits', 'email')),
+n AS (SELECT doc_id, kind, {", ".join(f"bit_or(flags) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {rows}) AS {side}{n}" for n in (5, 8, 12) for side, rows in (("left", f"{n} PRECEDING AND 1 PRECEDING"), ("right", f"1 FOLLOWING AND {n} FOLLOWING")))} FROM c)
+SELECT doc_id, {", ".join(f"coalesce(bit_or({side}{n}), 0)::BIGINT AS {side}{n}" for side in ("left", "right") for n in (5, 8, 12))} FROM n WHERE kind = 'digits' GROUP BY doc_id""",
     "resolved_spans": f'WITH RECURSIVE {_INTERVALS} SELECT doc_id, start, "end", ty FROM r WHERE kept',
     "profile_filter": f"WITH RECURSIVE {_INTERVALS} SELECT ty, count(*) AS n, sum(\"end\" - start)::BIGINT AS chars FROM r WHERE kept AND ty IN ('fio', 'passport', 'card', 'phone', 'email', 'address', 'cvv', 'pin') GROUP BY ty",
     "glued_spans": """WITH d AS (SELECT DISTINCT o_custkey AS doc_id, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS day FROM orders),
@@ -558,6 +655,22 @@ h AS (SELECT v, bool_or(contains(v, key) OR (strlen(v) >= 12 AND contains(key, v
 SELECT p_partkey, coalesce(x.hit, false) AS branded, coalesce(y.hit, false) AS bare FROM k LEFT JOIN h x ON x.v = k LEFT JOIN h y ON y.v = b""",
     "public_person_semi": "SELECT c_custkey FROM customer WHERE lower(c_name) IN (SELECT lower(replace(s_name, 'Supplier', 'Customer')) FROM supplier)",
     "written_rules": written.expected_sql("orders", "o_orderkey"),
+    "written_decisions": f'WITH {_WRITTEN} SELECT doc_id, rule, ty, start, "end", codes, total, false AS vetoed, total >= {THRESHOLD} AS masked FROM e',
+    "written_counts": f"WITH {_WRITTEN} SELECT ty, code, count(*) AS n, count(*) FILTER (total >= {THRESHOLD}) AS masked FROM (SELECT ty, total, unnest(string_split(codes, ',')) AS code FROM e) GROUP BY ALL",
+    "written_together": f"WITH {_WRITTEN} SELECT kinds, count(*) AS n FROM (SELECT string_agg(DISTINCT ty, ',' ORDER BY ty) AS kinds FROM e GROUP BY doc_id) GROUP BY kinds",
+    "written_masks": f"WITH {_WRITTEN} SELECT doc_id, stars AS masked, length(stars)::INT AS chars, (length(stars) - length(replace(stars, '*', '')))::INT AS stars FROM x",
+    "written_tokens": f"WITH {_WRITTEN} SELECT doc_id, labels AS masked, coalesce(n, 0)::INT AS n_spans FROM x LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) USING (doc_id)",
+    "written_explained": f"""WITH {_WRITTEN}
+SELECT e.doc_id, CASE WHEN total < {THRESHOLD} THEN 'rejected' ELSE 'masked' END AS status, e.ty, strlen(left(e.text, e.start))::INT AS start_b, strlen(left(e.text, e."end"))::INT AS end_b, total, codes, rule
+FROM e LEFT JOIN s ON s.doc_id = e.doc_id AND s.ty = e.ty AND s.start = e.start AND s."end" = e."end" WHERE total < {THRESHOLD} OR s.doc_id IS NOT NULL""",
+    "written_envelopes": f"""WITH {_WRITTEN},
+l AS (SELECT *, strlen(left(text, start)) AS spot, strlen(left(text, "end")) - strlen(left(text, start)) AS size FROM s),
+r AS (SELECT doc_id, text, sum(length(nth::VARCHAR) + length(ty) + 4 + ceil((length(ty) + length(spot::VARCHAR) + 3) * 4 / 3) + ceil((size + 16) * 4 / 3)) AS n FROM l GROUP BY ALL)
+SELECT doc_id, md5(text) AS restored_md5, (3 + 43 + 1 + 10 + 1 + ceil(n * 4 / 3))::INT AS envelope_chars, 'cannot open' AS other_system, 'expired' AS too_late, 'label not found' AS label_lost FROM r""",
+    "written_log": f"WITH {_WRITTEN} SELECT doc_id, ty, count(*) AS n FROM s GROUP BY ALL",
+    "written_score": f"WITH {_SCORED} SELECT ty, sum(n)::BIGINT AS n, sum(hit)::BIGINT AS hit, round(sum(hit) / sum(n), 6) AS recall FROM h GROUP BY ty",
+    "written_sizes": f"WITH {_SCORED} SELECT size, round(avg(r), 6) AS recall, count(*) AS cases FROM (SELECT doc_id, ['phrase', 'sentence', 'page'][(doc_id % 3 + 1)::INT] AS size, sum(hit) / sum(n) AS r FROM h GROUP BY ALL) GROUP BY size",
+    "written_over": f"WITH {_SCORED} SELECT doc_id AS id, 0 AS over FROM x",
     "latency_rate": "SELECT event_type, round(avg(value), 6) AS mean, count(*) AS n, round(count(*) / greatest(1e-6, epoch(max(ts)) - epoch(min(ts))), 6) AS per_second FROM events GROUP BY event_type",
     "parse_requests": "SELECT conv_id, turn, conv_id::VARCHAR AS payload_id, md5(text) AS payload_md5 FROM conversations",
     "find_property": "SELECT event_id, event_type AS kind, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') END AS k, event_type AS repeated, user_id::VARCHAR AS dotted FROM events",
