@@ -69,6 +69,21 @@ def test_scan_finds_all_notices_of_a_text(spark):
     assert license_scan.scan(one).first().labels == "mit"
 
 
+def test_key_phrases_count_at_the_found_place_only(spark):
+    notice = "you may not use this file except in compliance with the license"
+    apache = [text for label, _, text in license_scan.TEMPLATES if label == "apache-2.0"]
+    assert notice in apache
+    zlib = max((text for label, _, text in license_scan.TEMPLATES if label == "zlib"), key=len)
+    texts = [notice, "the apache license " + "word " * 300 + notice, apache[0] + " " + notice, zlib, "word " + zlib.replace("plainly", "clearly"), (apache[0] + " and ") * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs).collect()}
+    assert got[0] == got[1] == ("", 0.0) and got[2][0] == got[5][0] == "apache-2.0" and got[3] == ("zlib", 1.0) and got[4] == ("", 0.0)
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    out = c.execute(license_scan.ORACLE)
+    assert of_frame(license_scan.scan(docs)) == rows([x[0] for x in out.description], out.fetchall())
+
+
 def test_rules(spark, awkward):
     labels = spark.createDataFrame([(1, 1), (6, 0), (6, None), (None, 1)], "doc_id long, quality int")
     rows = {r.doc_id: r for r in risk_rules.judge(awkward, labels).collect()}
