@@ -1,5 +1,10 @@
-import corpus_pipeline
-from veilframe.llm import packing
+import pytest
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+import corpus_pipeline  # noqa: E402
+from veilframe.llm import packing, suffix_dedup  # noqa: E402
+from veilframe.llm.common import scratch, settle  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,3 +38,23 @@ def test_awkward_documents(spark):
         d = docs.limit(0) if empty else docs
         for _, stage in corpus_pipeline.STAGES:
             assert (stage(spark, d, SMALL).count() == 0) or not empty
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """Workers keep memory until they have been idle for a minute: neither two functions in one task, nor rows sent from the driver through workers of their own."""
+    rows = [(i, f"{i} " + "the same passage of many words " * 9 + f"{i * i} " * 40, f"s{i % 2}") for i in range(60)]
+    docs, plans = spark.createDataFrame(rows, "doc_id long, text string, source string"), []
+    docs.write.parquet(at := scratch(spark, "docs"))
+    docs = spark.read.parquet(at)
+    monkeypatch.setattr(suffix_dedup, "MOST_KINDS", 0)
+    monkeypatch.setattr(suffix_dedup, "settle", lambda df, name: plans.append(df) or settle(df, name))
+    assert suffix_dedup.remove_copies(docs).where("carved.n_removed > 0").count() == 60  # each repeats itself
+    plans.append(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    assert len(plans) == 4
+    for df in plans:
+        above = False
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+        for line in plan.splitlines():
+            assert not (above and "MapInPandas" in line), plan
+            above = "MapInPandas" in line or above and "Project" in line

@@ -253,12 +253,12 @@ def pack(docs: DataFrame, tokenizer: str, weights: DataFrame | None = None) -> D
     size = totals.count()
     starts = before(sizes, ["name"], "_order", "n", "_before").select("uid", "name", "n", "_before")
     if size <= MOST_QUEUES:
-        queues = sorted(totals.collect(), key=lambda r: r.name)
-        full, left = (np.array([r[c] for r in queues], np.int64) for c in ("full", "left"))
-        tail = full.sum() * PACKET + np.cumsum(left) - left
-        known = docs.sparkSession.createDataFrame([(r.name, i, r.full, int(t)) for i, (r, t) in enumerate(zip(queues, tail))], "name string, queue int, full long, tail long")
+        queues = totals.orderBy("name").collect()
+        along = Window.orderBy("name")  # at most MOST_QUEUES rows
+        tail = F.sum("full").over(Window.partitionBy()) * PACKET + F.sum("left").over(along) - F.col("left")
+        known = totals.select("name", (F.row_number().over(along) - 1).alias("queue"), "full", tail.alias("tail"))
         rows = tokens.join(starts.select("uid", "_before"), "uid").join(F.broadcast(known), "name")
-        return rows.select("doc_id", "n", "ids", "_before", "queue", "full", "tail").mapInPandas(placed(full, np.array([r.weight for r in queues], np.int64)), PIECES)
+        return rows.select("doc_id", "n", "ids", "_before", "queue", "full", "tail").mapInPandas(placed(*(np.array([r[c] for r in queues], np.int64) for c in ("full", "weight"))), PIECES)
     every = totals.agg(F.sum("full")).first()[0] * PACKET
     tails = before(totals, [], "_hex", "left", "tail").withColumn("tail", F.col("tail") + every)
     rows = tokens.join(starts.select("uid", "_before"), "uid").join(tails.select("name", "full", "tail"), "name").join(ranked(starts, totals), "uid", "left")

@@ -18,7 +18,7 @@ far too many to sort, so suffixes meet only where they can match:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -295,9 +295,13 @@ def copied_runs(docs: DataFrame) -> DataFrame:
     kinds = found.where("not done")
     texts = d.dropDuplicates(["_k", "_h"]) if _repeats(d) else d
 
-    def with_bytes(some: DataFrame) -> DataFrame:
+    def with_bytes(some: DataFrame, then: Callable | None = None) -> DataFrame:
+        """Stretches with their bytes, or what then makes of them in the same worker: one more would hold its memory for stages to come."""
         ask = some.groupBy("_k", "_h").agg(F.collect_list(F.struct("key", "pos", "cnt")).alias("at"))
-        return texts.join(ask, ["_k", "_h"]).mapInPandas(cut_out, "key long, _k long, _h long, pos long, cnt int, data binary")
+        asked = texts.join(ask, ["_k", "_h"])
+        if then is not None:
+            return asked.mapInPandas(lambda batches: then(cut_out(batches)), STRETCH)
+        return asked.mapInPandas(cut_out, "key long, _k long, _h long, pos long, cnt int, data binary")
 
     cold, warm = kinds.where("not hot"), kinds.where("hot")
     many = settle(cold.groupBy("key").count().where(F.col("count") > MOST_KINDS).select("key"), "hot")
@@ -307,7 +311,7 @@ def copied_runs(docs: DataFrame) -> DataFrame:
     late = bits.mapInPandas(factored, "_k long, _h long, pos long, cnt int")
     runs = found.where("done").select("_k", "_h", "pos", "cnt").unionByName(late)
     if warm.take(1):
-        dealt = sift(with_bytes(warm).mapInPandas(windows, STRETCH), "windows")
+        dealt = sift(with_bytes(warm, windows), "windows")
         runs = runs.unionByName(dealt.where("done").select("_k", "_h", "pos", "cnt"))
     return runs.groupBy("_k", "_h").agg(F.collect_set(F.shiftleft("pos", 31).bitwiseOR(F.col("cnt").cast("long"))).alias("_runs"))
 
