@@ -96,6 +96,40 @@ def test_pieces_and_groups():
     assert token_counts.groups([], 5) == [] and token_counts.groups([0, 0], 5) == [(0, 1), (1, 2)]
 
 
+@pytest.mark.parametrize("remembered", [token_counts.REMEMBERED, 1])
+def test_repeated_words_go_through_the_library_once(monkeypatch, remembered):
+    """Pieces that a task has counted are looked up; with nothing remembered, each batch asks again and the numbers are the same."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "REMEMBERED", remembered)
+    path, asked, real = public_tokenizers.path("word_bpe_49k.json"), [], token_counts.lengths_of
+    monkeypatch.setattr(token_counts, "lengths_of", lambda *a: (lambda f, *rest: (lambda texts: asked.extend(texts) or f(texts), *rest))(*real(*a)))
+    source = type("Source", (), {"value": open(path, "rb").read()})
+    count = token_counts.counter(source, True, token_counts.PIECE, token_counts.GROUP)
+    texts = ["It's été, the end.  Été\tthe end. <|endoftext|> 日本 语", "", "the end. " * 50, "no_space" * 30]
+    whole = Tokenizer.from_file(path)
+    want = [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [count(pa.array(texts)).to_pylist() for _ in range(3)] == [want] * 3
+    assert len(asked) == len(set(asked)) * (1 if remembered > 1 else 3) and sum(map(len, asked)) < 3 * 400
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_add_up_at_every_white_space(name):
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path(name), random.Random(5)
+    with open(path, "rb") as f:
+        lengths, safe, _ = token_counts.lengths_of(f.read(), True)
+    assert safe is token_counts._SAFE_WIDE
+    whole = Tokenizer.from_file(path)
+    signs = [*" " * 30, *"\n\t" * 4, *"  　\x85\x0b\r\x1cćͅ​́", *map(chr, range(0x21, 0x7F)), *map(chr, range(0xA1, 0x240)), "Σ", "σ", "日", "😀", "<|endoftext|>", "'s", " 're"]
+    for _ in range(1500):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60)))
+        cut = token_counts.pieces(text.encode(), safe, 1)
+        assert b"".join(cut) == text.encode() and sum(lengths(cut)) == len(whole.encode(text, add_special_tokens=False).ids)
+
+
 def audit_plainly(rows, least=3, most=200):
     text = lambda x: "" if x is None else str(x)
     low = lambda w: "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in w)

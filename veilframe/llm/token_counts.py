@@ -1,8 +1,9 @@
 """Counting tokens of whole texts by a public tokenizer; only lengths come back from the tasks.
 
 Texts reach Arrow functions in batches bounded by bytes. There long texts are cut at boundaries over which the tokenizer
-never looks, and the pieces go through the library in groups of about equal bytes, so that what it holds at a time does
-not depend on how long texts are. A text without such boundaries is encoded whole.
+never looks, and the pieces are taken in groups of about equal bytes, so that what is held at a time does not depend on
+how long texts are. A group is cut at all such boundaries, and the words that its task has not met yet go through the
+library; a text's number is the sum over its words. A text without such boundaries is encoded whole.
 """
 
 from __future__ import annotations
@@ -21,14 +22,20 @@ from veilframe.llm.common import small_batches, table
 LIMIT = 2048
 #: Texts are cut from so many bytes on; groups of pieces hold about so many.
 PIECE, GROUP = 64 << 10, 256 << 10
+#: Words whose numbers of tokens a task remembers: so many bytes, with ENTRY bytes for each word beside its own.
+REMEMBERED, ENTRY = 64 << 20, 150
 #: One white space between ASCII letters or digits: pieces end before it.
-_SAFE = re.compile(rb"[0-9A-Za-z](?=[ \n\t][0-9A-Za-z])")
-#: The same for tokenizers that put a space before each text themselves: it is left out.
-_SAFE_SPACE = re.compile(rb"[0-9A-Za-z] (?=[0-9A-Za-z])")
+_SAFE = re.compile(rb"(?=[ \n\t][0-9A-Za-z])(?<=[0-9A-Za-z])")
+#: The same between any printable ASCII and letters U+00C0 to U+023F, whose UTF-8 begins with C3 to C8.
+_SAFE_WIDE = re.compile(rb"(?=[ \n\t][!-~\xC3-\xC8])(?:(?<=[!-~])|(?<=[\xC3-\xC8][\x80-\xBF]))")
+#: The same as _SAFE for tokenizers that put a space before each text themselves: it is left out.
+_SAFE_SPACE = re.compile(rb" (?<=[0-9A-Za-z] )(?=[0-9A-Za-z])")
 
 
 def pieces(text: bytes, safe: re.Pattern | None, size: int, dropped: int = 0) -> list[bytes]:
     """text in pieces of size bytes or a little more, cut after matches of safe without their last dropped bytes."""
+    if safe is not None and size <= 1:
+        return safe.split(text)
     out, start = [], 0
     while safe is not None and len(text) - start > size:
         cut = safe.search(text, start + size)
@@ -53,13 +60,18 @@ def groups(sizes: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
-def ends_at_spaces(tokenizer) -> bool:
-    """Whether this tokenizer of the tokenizers library never looks over a white space between ASCII letters or digits."""
-    if tokenizer.pre_tokenizer is None or any(re.search(r"\s", t.content) for t in tokenizer.get_added_tokens_decoder().values()):
+PLAIN_SIDES = (("ab", "cd"), ("a1", "b2"), ("12", "34"), ("A", "B"), ("word's", "9th"))
+#: Each sign and some letters at the end, at the beginning and on both sides.
+WIDE_SIDES = (*PLAIN_SIDES, *(x for c in (*map(chr, range(0x21, 0x7F)), *"ÀÉÖ×ß÷éüÿĀİıſǅȿ") for x in (("a" + c, "b"), ("a", c + "b"), (c, c), (c + c, "1" + c))))
+
+
+def ends_at_spaces(tokenizer, sides: tuple[tuple[str, str], ...] = PLAIN_SIDES) -> bool:
+    """Whether this tokenizer of the tokenizers library never looks over a white space between such sides, by default ASCII letters or digits."""
+    if tokenizer.pre_tokenizer is None or any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in tokenizer.get_added_tokens_decoder().values()):
         return False
     normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer is not None else str
     for space in " \n\t":
-        for a, b in (("ab", "cd"), ("a1", "b2"), ("12", "34"), ("A", "B"), ("word's", "9th")):
+        for a, b in sides:
             if normal(a) + normal(space + b) != normal(a + space + b):
                 return False
             whole, left, right = ([p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal(x))] for x in (a + space + b, a, space + b))
@@ -77,7 +89,8 @@ def lengths_of(source: bytes, is_json: bool) -> tuple[Callable[[list[bytes]], li
         t = Tokenizer.from_str(source.decode())
         t.no_truncation()
         t.no_padding()
-        return (lambda texts: [len(e) for e in t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]), (_SAFE if ends_at_spaces(t) else None), 0
+        safe = next((s for s, sides in ((_SAFE_WIDE, WIDE_SIDES), (_SAFE, PLAIN_SIDES)) if ends_at_spaces(t, sides)), None)
+        return (lambda texts: [len(e) for e in t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]), safe, 0
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_proto=source)
@@ -89,8 +102,11 @@ def lengths_of(source: bytes, is_json: bool) -> tuple[Callable[[list[bytes]], li
 def counter(source: Broadcast, is_json: bool, piece: int, group: int) -> Callable:
     """Arrow function of texts to their numbers of tokens. source: a broadcast of the tokenizer's file, read once a task."""
     loaded: list[tuple] = []
+    known: dict[bytes, int] = {}
+    held = 0
 
     def run(text: pa.Array) -> pa.Array:
+        nonlocal held
         if not loaded:
             loaded.append(lengths_of(source.value, is_json))
         lengths, safe, dropped = loaded[0]
@@ -101,8 +117,15 @@ def counter(source: Broadcast, is_json: bool, piece: int, group: int) -> Callabl
             of += [i] * len(mine)
         out = [0] * len(text)
         for lo, hi in groups([len(p) for p in parts], group):
-            for i, n in zip(of[lo:hi], lengths(parts[lo:hi])):
-                out[i] += n
+            words = [pieces(p, safe, 1, dropped) for p in parts[lo:hi]]
+            fresh = list(set().union(*words).difference(known))
+            known.update(zip(fresh, lengths(fresh)))
+            for i, mine in zip(of[lo:hi], words):
+                out[i] += sum(map(known.__getitem__, mine))
+            held += sum(map(len, fresh)) + ENTRY * len(fresh)
+            if held > REMEMBERED:
+                known.clear()
+                held = 0
         return pa.array(out, pa.int64())
 
     return run
