@@ -39,6 +39,18 @@ def test_pack_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string"), PATH).count() == 0
 
 
+def test_letters_whose_lower_case_is_elsewhere_keep_their_ids(spark):
+    """Ə, Ɛ, Ⱥ and others have a lower case outside the letters that this module splits itself."""
+    texts = ["Ə", "Əli və Əhməd", "word Ɛ Ɔ Ŋ word", "ȺȾ", "x" + "".join(map(chr, range(0xA1, 0x250)))]
+    texts += [f"a {a}b {a}" for a in map(chr, range(0xA1, 0x250))]
+    out = packing.pack(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"), PATH).toPandas()
+    encode = encoder()
+    for i, mine in out.sort_values("start").groupby("doc_id"):
+        ids = np.array(encode(texts[i]), "<u4")
+        assert mine.length.sum() == len(ids) and [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(mine.start, mine.length)] == mine.ids_crc32.tolist()
+    assert out.doc_id.nunique() == len(texts)
+
+
 def test_windows_hold_target_shares(spark, monkeypatch):
     """While all queues last each window has the target shares, then the others share it; the two ways to rank agree."""
     rows = [(i, "one two three four five " * 200, "aabbc"[i % 5], "x") for i in range(60)]

@@ -34,8 +34,9 @@ MOST_WORDS = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Characters for which this module's own splitting into words is known to equal the tokenizer's: printable ASCII and
-#: the letters, digits and signs of Latin-1 and Latin Extended, all of them single, composed and with plain lower case.
-_PLAIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2016), 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC) if c not in (0xAD, 0x130)]
+#: the letters, digits and signs of Latin-1 and Latin Extended, all of them single, composed and with a lower case among them.
+_KNOWN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2016), 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x20AC) if c not in (0xAD, 0x130)]
+_PLAIN = [c for c in _KNOWN if c.lower() in _KNOWN]
 
 
 def _class(kind: str) -> str:
