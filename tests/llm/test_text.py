@@ -51,6 +51,41 @@ def test_letters_whose_lower_case_is_elsewhere_keep_their_ids(spark):
     assert out.doc_id.nunique() == len(texts)
 
 
+def test_each_part_of_words_goes_through_the_model_once():
+    """Signs beside a word and later groups of texts do not send it there again."""
+    from tokenizers import Tokenizer
+
+    words = packing.WordIds(Tokenizer.from_file(PATH))
+    bare, sent = words.bare, []
+
+    class Spy:
+        def encode_batch_fast(self, joined, **kwargs):
+            sent.extend(joined[0].split())
+            return bare.encode_batch_fast(joined, **kwargs)
+
+    words.bare = Spy()
+    texts = ["word, word. (word) it's WORD\n", "other word! 22 ", "  ", "", "\t(other) words 2"]
+    encode = encoder()
+    for group in (texts[:2], texts[2:], texts):
+        assert [x.tolist() for x in words.encode(group)] == [encode(t) for t in group]
+    assert sorted(sent) == sorted(set(sent)) and {"word", "other", "words"} <= set(sent)
+
+
+@pytest.mark.parametrize("group, most", [(1, 2), (300, 10), (packing.GROUP, packing.MOST_WORDS)])
+def test_ids_do_not_depend_on_groups(monkeypatch, group, most):
+    import pandas as pd
+
+    monkeypatch.setattr(packing, "GROUP", group)
+    monkeypatch.setattr(packing, "MOST_WORDS", most)
+    texts = [" ", "", "Été, it's 12½x", "日本語 word", "word\n\n(word) ß" * 40, "<|endoftext|> a", "Əli", "last."] * 3
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "name": "s", "_order": "o", "_t": texts})
+    out = pd.concat(packing.tokenised(PATH)(iter([rows[:5], rows[5:5], rows[5:6], rows[6:]])))
+    encode = encoder()
+    assert out.doc_id.tolist() == rows.doc_id.tolist() and out.n.tolist() == [len(encode(t)) for t in texts]
+    assert [packing.grown(x).tolist() for x in out.ids] == [encode(t) for t in texts]
+    assert not list(packing.tokenised(PATH)(iter([])))
+
+
 def test_windows_hold_target_shares(spark, monkeypatch):
     """While all queues last each window has the target shares, then the others share it; the two ways to rank agree."""
     rows = [(i, "one two three four five " * 200, "aabbc"[i % 5], "x") for i in range(60)]

@@ -11,14 +11,16 @@ of the times they are due.
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,12 @@ WINDOW, PACKET, END = 2048, 128, 1
 MOST_QUEUES = 512
 #: Weights of the registered query, taken in turn by the sources by code point, null last.
 TURNS = (1, 2, 3)
-#: Words whose ids a task remembers, a hundred megabytes or so.
+#: Words whose ids a task remembers, some tens of megabytes.
 MOST_WORDS = 600_000
+#: Characters of texts, with ROW for each text beside its own, that a task looks up at once.
+GROUP, ROW = 2 << 20, 64
+#: Parts of words in one text for the tokenizer's model.
+AT_ONCE = 1000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Characters for which this module's own splitting into words is known to equal the tokenizer's: printable ASCII and
@@ -45,7 +51,8 @@ def _class(kind: str) -> str:
 
 _LETTERS, _DIGITS, _REST = _class("L"), _class("N"), "".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] not in "LN")
 PLAIN = re.compile(f"[ \\t\\n\\r{_LETTERS}{_DIGITS}{_REST}]*")
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[{_REST}]+")
+#: Parts of words, and the line ends between words.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[{_REST}]+|\n")
 
 
 _ASCII = bytes([0x20, 0x09, 0x0A, 0x0D, *range(0x21, 0x7F)])
@@ -59,67 +66,92 @@ def is_plain(text: str) -> bool:
     return PLAIN.fullmatch(text) is not None
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100."""
+def byte_letters() -> str:
+    """The letters that byte-level vocabularies write for the 256 bytes: themselves if printable, else the next from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return "".join(chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256))
 
 
-class WordIds(dict):
-    """word -> index of its ids in a growing store; a word is lower case and without white space.
+def joined(strings: pa.Array, between: str) -> str:
+    return pc.binary_join(pa.LargeListArray.from_arrays([0, len(strings)], strings), pa.scalar(between, strings.type))[0].as_py()
 
-    New words wait until a group of texts has been looked up, then go through the tokenizer's model in one call.
-    """
+
+class Known:
+    """Strings numbered as they come, each with its ids in a growing store."""
+
+    def __init__(self) -> None:
+        self.strings, self.flat, self.ends = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def ids(self, strings: pa.Array, find: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in a row, and where those of each begin, then where the last ones end. find gives both for new strings."""
+        coded = strings.dictionary_encode()
+        number = np.array(pc.index_in(coded.dictionary, value_set=self.strings).fill_null(-1), np.int64)
+        new = number < 0
+        if new.any():
+            number[new] = len(self.strings) + np.arange(new.sum())
+            fresh = coded.dictionary.filter(pa.array(new))
+            flat, stops = find(fresh)
+            self.strings = pa.concat_arrays([self.strings, fresh])
+            self.flat, self.ends = np.append(self.flat, flat), np.append(self.ends, stops[1:] + self.ends[-1])
+        at = number[coded.indices.to_numpy()]
+        n = self.ends[at + 1] - self.ends[at]
+        stops = np.append(0, np.cumsum(n))
+        return self.flat[np.repeat(self.ends[at] - stops[:-1], n) + np.arange(stops[-1])], stops
+
+
+class WordIds:
+    """Ids of plain texts. Words (lower case, between white space) and their parts are remembered, so that of a group of
+    texts only the parts not met before go through the tokenizer's model, in one call."""
 
     def __init__(self, tokenizer) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.bare = Tokenizer(tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters = {b: c for b, c in byte_letters().items() if b != 0x20}
+        letters = byte_letters()
+        self.letters = letters[:0x20] + " " + letters[0x21:]
         vocabulary = tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        super().clear()
-        self.flat, self.ends, self.waiting = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.waiting.append(word)
-        return at
-
-    def _resolve(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.waiting:
-            parts = list(map(PARTS.findall, self.waiting))
-            joined = " ".join(chain.from_iterable(parts)).encode().decode("latin-1").translate(self.letters)
-            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            part_ends = np.flatnonzero(self.last[ids]) + 1
-            self.flat.append(ids)
-            self.ends.append(part_ends[np.cumsum(list(map(len, parts))) - 1] + self.ends[-1][-1])
-            self.waiting = []
-            self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
-        return self.flat[0], self.ends[0]
+        self.words, self.parts = Known(), Known()
+
+    def __len__(self) -> int:
+        return len(self.words.strings)
+
+    def of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = (codecs.charmap_decode(joined(parts[i : i + AT_ONCE], " ").encode(), "strict", self.letters)[0] for i in range(0, len(parts), AT_ONCE))
+        ids = np.concatenate([np.array(self.bare.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in texts])
+        return ids, np.append(0, np.flatnonzero(self.last[ids]) + 1)
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = pa.array(PARTS.findall(joined(words, "\n") + "\n"), pa.large_string())
+        line = pc.equal(found, "\n").to_numpy(zero_copy_only=False)
+        ids, stops = self.parts.ids(found.filter(pa.array(~line)), self.of_parts)
+        return ids, stops[np.append(0, np.cumsum(~line)[line])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        at = []
-        for t in texts:
-            words = t.lower().split()
-            at.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-        flat, ends = self._resolve()
-        out = []
-        for x in at:
-            n = ends[x + 1] - ends[x]
-            ids = np.empty(int(n.sum()) + 1, np.uint32)
-            ids[:-1] = flat[np.repeat(ends[x + 1] - np.cumsum(n), n) + np.arange(len(ids) - 1)]
-            ids[-1] = END
-            out.append(ids)
-        return out
+        words = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        ids, stops = self.words.ids(words.flatten(), self.of_words)
+        stops = stops[words.offsets.to_numpy()]
+        return [np.append(ids[a:b], np.uint32(END)) for a, b in zip(stops[:-1], stops[1:])]
+
+
+def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with _t in groups of about GROUP."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += sum(map(len, batch["_t"])) + ROW * len(batch)
+        if size >= GROUP:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def tokenised(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -130,18 +162,17 @@ def tokenised(path: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
 
         tokenizer = Tokenizer.from_file(path)
         words = WordIds(tokenizer)
-        for batch in batches:
-            texts, out = batch["_t"].tolist(), []
-            for i in range(0, len(texts), 500):
-                part = texts[i : i + 500]
-                plain = list(map(is_plain, part))
-                ready = iter(words.encode([t for t, p in zip(part, plain) if p]))
-                for t, p in zip(part, plain):
-                    ids = next(ready) if p else np.array([*tokenizer.encode(t, add_special_tokens=False).ids, END], np.uint32)
-                    out.append(shrink(ids))
-                if len(words) > MOST_WORDS:
-                    words.clear()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "name": batch["name"], "_order": batch["_order"], "n": [len(grown(x)) for x in out], "ids": out})
+        for batch in grouped(batches):
+            texts, out, n = batch["_t"].tolist(), [], []
+            plain = list(map(is_plain, texts))
+            ready = iter(words.encode([t for t, p in zip(texts, plain) if p]))
+            for t, p in zip(texts, plain):
+                ids = next(ready) if p else np.array([*tokenizer.encode(t, add_special_tokens=False).ids, END], np.uint32)
+                out.append(shrink(ids))
+                n.append(len(ids))
+            if len(words) > MOST_WORDS:
+                words.clear()
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "name": batch["name"], "_order": batch["_order"], "n": n, "ids": out})
 
     return run
 
