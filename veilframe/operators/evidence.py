@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from veilframe.functions.text import address_key, code_points, digits_of, fold, has_flat_number, inn_valid, luhn_valid, starts_capital
 from veilframe.functions.types import ANCHORED, EVIDENCE, KEYWORD_MASK, KEYWORD_WINDOW, KINDS, PERSON_LIKE, THRESHOLD
-from veilframe.operators import automata
+from veilframe.operators import automata, rules
+from veilframe.operators.lexer import SHORT, Segments
 from veilframe.operators.rules import address_holes, has
 
-#: Texts of fewer characters may consist of one value.
-SHORT = 64
 #: An office's key, or a part of it, speaks for an office from so many bytes on.
 LEAST_KEY = 12
 
@@ -21,31 +19,27 @@ def _of_kind(values: dict[str, int], default: int = 0) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]), F.col("ty")), F.lit(default))
 
 
-def placed(cands: DataFrame, c: DataFrame, docs: DataFrame) -> DataFrame:
+def placed(cands: DataFrame, segments: Segments) -> DataFrame:
     """Candidates with their value and what stands around them; doc_id is the document's again, part its segment's.
 
     Of a binary text, values and their surroundings are shown with a sign for what is not UTF-8.
 
-    Values are cut where the text is: a text meets the places of its candidates once, however many they are. Toll-free
-    numbers are no one's phone and go.
+    Values are cut where their segments are: these hold what stands around candidates, so whole texts are not read again.
+    Toll-free numbers are no one's phone and go.
     """
+    c = rules.content(rules.context(segments.tokens()))
     names = [n for n in c.columns if n.startswith(("left", "right", "c_"))]
     lo = c.select(F.col("doc_id").alias("_d"), F.col("pos").alias("_p"), F.struct("flags", "sentence", *names, "kind").alias("L"))
     hi = c.select(F.col("doc_id").alias("_d2"), F.col("pos").alias("_p2"), F.struct("flags", *[n for n in names if not n.startswith("left")]).alias("H"))
-    d = cands.join(lo, (F.col("doc_id") == F.col("_d")) & (F.col("lo") == F.col("_p"))).join(hi, (F.col("doc_id") == F.col("_d2")) & (F.col("hi") == F.col("_p2"))).drop("_d", "_p", "_d2", "_p2")
+    shown = (lambda c: F.make_valid_utf8(c.cast("string"))) if segments.in_bytes else (lambda c: c)
+    length = (lambda c: F.when(F.octet_length(c) < 4 * SHORT, code_points(c)).otherwise(SHORT)) if segments.in_bytes else F.length
+    text = segments.texts().select(F.col("doc_id").alias("_d3"), F.col("text").alias("_text"), F.col("first").alias("_first"), "chars")
+    at, size = F.col("start") - F.col("_first"), F.col("end") - F.col("start")
+    value = F.substring("_text", at + 1, size)
+    before, after = F.substring("_text", F.greatest(at - 20, F.lit(0)) + 1, F.least(at, F.lit(20))), F.substring("_text", at + size + 1, F.lit(20))
+    d = cands.join(text.hint("merge"), F.col("doc_id") == F.col("_d3")).select(cands["*"], shown(value).alias("value"), shown(before).alias("before"), shown(after).alias("after"), "chars", length(value).alias("own_chars"))
+    d = d.join(lo.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("lo") == F.col("_p"))).join(hi.hint("merge"), (F.col("doc_id") == F.col("_d2")) & (F.col("hi") == F.col("_p2"))).drop("_d", "_p", "_d2", "_p2")
     d = d.withColumn("part", F.col("doc_id")).withColumn("doc_id", F.col("part.id"))
-    places = cands.groupBy(F.col("doc_id.id").alias("_d")).agg(F.collect_set(F.struct("start", "end")).alias("places"))
-    text = docs.select("doc_id", "text").join(places, F.col("doc_id") == F.col("_d"))
-    binary = isinstance(docs.schema["text"].dataType, BinaryType)
-    shown = (lambda c: F.make_valid_utf8(c.cast("string"))) if binary else (lambda c: c)
-    length = (lambda c: F.when(F.octet_length(c) < 4 * SHORT, code_points(c)).otherwise(SHORT)) if binary else F.length
-    value = lambda p: F.substring("text", p["start"] + 1, p["end"] - p["start"])
-    cut = lambda p: F.struct(
-        p["start"].alias("_s"), p["end"].alias("_e"), shown(value(p)).alias("value"), shown(F.substring("text", F.greatest(p["start"] - 20, F.lit(0)) + 1, F.least(p["start"], F.lit(20)))).alias("before"),
-        shown(F.substring("text", p["end"] + 1, F.lit(20))).alias("after"), length(F.col("text")).alias("chars"), length(value(p)).alias("own_chars"),
-    )
-    text = text.select("_d", F.inline(F.transform("places", cut)))
-    d = d.join(text, (F.col("doc_id") == F.col("_d")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e"))).drop("_d", "_s", "_e")
     return d.where((F.col("ty") != "phone") | ~digits_of(F.col("value")).rlike("^[78]80[04]"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.text import inn_valid, luhn_valid, snils_valid, starts_capital
 from veilframe.functions.types import FLAG, NAME_FLAGS
-from veilframe.operators.lexer import by_place
+from veilframe.operators.lexer import HAS_DIGITS, HAS_INITIAL, HAS_MAIL, Segments, by_place
 
 WINDOWS = (2, 4, 5, 6, 8, 10, 12, 20)
 DISTANCES = ("kw_issue", "kw_birth", "kw_inn", "kw_passport", "kw_dl")
@@ -161,6 +161,10 @@ def of_phones(t: DataFrame) -> DataFrame:
     return emit(d.withColumns({"from": F.struct((F.col("start") - F.col("plus")).alias("start"), (F.col("start_b") - F.col("plus")).alias("start_b"))}), (F.lit(True), _span("phone", "phone", 50, start="from", end="tail", hi="last")))
 
 
+def of_mail(c: DataFrame) -> DataFrame:
+    return emit(c, (F.col("kind") == "email", _span("email", "email", 60)))
+
+
 def of_tokens(c: DataFrame) -> DataFrame:
     word = F.col("kind") == "word"
     month = (F.col("kind") == "digits") & (F.col("n_c") <= 2) & (F.col("x1.kind") == "word") & has(F.col("x1.flags"), "month") & (F.col("x2.kind") == "digits") & (F.col("x2.n_c") == 4)
@@ -172,7 +176,6 @@ def of_tokens(c: DataFrame) -> DataFrame:
     c = c.withColumns({"year_pos": F.col("year.pos"), "from_pos": F.col("from.pos")})
     return emit(
         c,
-        (F.col("kind") == "email", _span("email", "email", 60)),
         (month, _span("date_words", dated(), 40, end="year", hi="year_pos")),
         (word & has(F.col("flags"), "geo", "country") & near(5, "kw_birthplace"), _span("birth_place", "birth_place", 25, start="from", lo="from_pos")),
         (word & latin & ~has(F.col("flags"), "kw_holder", "kw_card") & near(5, "kw_card", "kw_holder"), _span("card_holder", "card_holder", 40, end="x1", hi="x1_pos")),
@@ -230,7 +233,8 @@ def of_names(t: DataFrame, c: DataFrame) -> DataFrame:
     found = found.where("length(piece) > 1 or piece in ('N', 'K')")
     dot = F.col("piece").rlike("[IWJK]$") & F.coalesce(F.col("then").startswith("."), F.lit(False))
     found = found.select("doc_id", "lo", (F.col("lo") + F.length("piece") - 1).cast("int").alias("hi"), dot.cast("int").alias("dot"))
-    ends = c.select("doc_id", F.col("pos").alias("_pos"), "start", "start_b", "end", "end_b")
+    # tokens lie by segment: they are merged where they are, never sent whole to each task
+    ends = c.select("doc_id", F.col("pos").alias("_pos"), "start", "start_b", "end", "end_b").hint("merge")
     found = found.join(ends.select("doc_id", "_pos", "start", "start_b"), (found.doc_id == ends.doc_id) & (F.col("lo") == F.col("_pos"))).select(found["*"], "start", "start_b")
     found = found.join(ends.select("doc_id", "_pos", "end", "end_b"), (found.doc_id == ends.doc_id) & (F.col("hi") == F.col("_pos"))).select(found["*"], "end", "end_b")
     found = found.withColumn("to", F.struct((F.col("end") + F.col("dot")).alias("end"), (F.col("end_b") + F.col("dot")).alias("end_b")))
@@ -244,7 +248,7 @@ def of_addresses(t: DataFrame, c: DataFrame) -> DataFrame:
     stops = F.col("kind").isin("email", "other") | (F.col("stop") & ~marker_before)
     back = Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     edged = t.withColumn("edge", F.coalesce(F.last(F.when(stops, F.col("pos")), True).over(back), F.lit(FAR))).where("content").select("doc_id", "pos", "edge")
-    c = c.join(edged, ["doc_id", "pos"])
+    c = c.join(edged.hint("merge"), ["doc_id", "pos"])
     flagged = has(F.col("flags"), "geo", "addr_marker")
     first_no, first_number = F.last(F.when(~flagged, F.col("rank")), True).over(back), F.last(F.when(F.col("kind") == "digits", F.struct("rank", "pos")), True).over(back)
     c = c.withColumns({"plain_rank": F.coalesce(first_no, F.lit(FAR)), "number": first_number, "listed": flagged})
@@ -267,7 +271,7 @@ def of_addresses(t: DataFrame, c: DataFrame) -> DataFrame:
     top = F.when(has_number, F.col("first.rank") + 32).otherwise(F.greatest(F.col("first.rank"), F.least(F.col("first.plain_rank") - 1, F.col("first.rank") + 8)))
     d = opaque(d.where(has_number | F.col("resides")), anchor=F.col("pos"), first=F.col("first"), top=F.least(top, F.col("most_rank")), listed=F.col("listed"))
     tail = c.select(F.col("doc_id").alias("_d"), F.col("rank").alias("_rank"), F.col("pos").alias("_pos"), "end", "end_b", F.col("cap").alias("_cap"), F.col("listed").alias("_listed"), F.col("kind").alias("_kind"))
-    d = d.join(tail, (F.col("doc_id") == F.col("_d")) & (F.col("_rank").between(F.col("first.rank"), F.col("top"))) & (F.col("_pos") < F.col("first.edge")))
+    d = d.join(tail.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("_rank").between(F.col("first.rank"), F.col("top"))) & (F.col("_pos") < F.col("first.edge")))
     d = d.groupBy("doc_id", "anchor").agg(
         F.first("first").alias("first"), F.max(F.struct("_pos", "end", "end_b")).alias("tail"), F.first("listed").alias("listed"), F.bool_or((F.col("_kind") == "word") & (F.col("_cap") | F.col("_listed"))).alias("looks")
     )
@@ -287,7 +291,30 @@ def address_holes(t: DataFrame) -> DataFrame:
     return t.where(comma | marker).groupBy("doc_id").agg(F.sort_array(F.collect_list(hole)).alias("all_holes"))
 
 
-def candidates(t: DataFrame, c: DataFrame) -> DataFrame:
-    """All candidates of context() tokens t and their content() c: rule, ty, places, first and last content token, score."""
-    parts = [of_runs(digit_runs(c)), of_phones(t), of_tokens(c), of_countries(c), of_issuers(t), of_names(t, c), of_addresses(t, c)]
-    return reduce(DataFrame.unionByName, parts)
+NAMED, PLACED = NAME_FLAGS | FLAG["role"] | HAS_INITIAL, sum(FLAG[n] for n in ("geo", "kw_addr", "addr_marker"))
+#: Relations that rules read: what segments must have for any of them to find something, and which kinds they find.
+PARTS = (
+    (HAS_DIGITS, lambda t, c: of_runs(digit_runs(c)), ("birth_date", "issue_date", "passport", "driver_license", "snils", "foreign_passport", "oms", "dept_code", "inn", "card", "cvv", "pin", "address")),
+    (HAS_DIGITS, lambda t, c: of_phones(t), ("phone",)),
+    (HAS_MAIL, lambda t, c: of_mail(c), ("email",)),
+    (sum(FLAG[n] for n in ("month", "geo", "country", "kw_birthplace", "kw_card", "kw_holder")), lambda t, c: of_tokens(c), ("birth_date", "issue_date", "birth_place", "card_holder")),
+    (FLAG["country"], lambda t, c: of_countries(c), ("citizenship",)),
+    (FLAG["kw_org"], lambda t, c: of_issuers(t), ("issuer",)),
+    (NAMED, lambda t, c: of_names(t, c), ("fio",)),
+    (PLACED, lambda t, c: of_addresses(t, c), ("address",)),
+)
+
+
+def candidates(segments: Segments, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """All candidates of the segments, or those of some kinds: rule, ty, places, first and last content token, score.
+
+    They are few; those of each relation are found by a job of its own and checkpointed: in one job, tasks of all relations
+    would compile each other's code out of Spark's cache.
+    """
+    found = []
+    for hints, rules, finds in PARTS:
+        if kinds is None or set(kinds) & set(finds):
+            t = context(segments.tokens(hints))
+            part = rules(t, content(t))
+            found.append((part if kinds is None else part.where(F.col("ty").isin(*kinds))).checkpoint())
+    return reduce(DataFrame.unionByName, found)

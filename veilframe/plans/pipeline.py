@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.folders import shared_folder
 from veilframe.operators import evidence, rules, spans
-from veilframe.operators.lexer import tokens
+from veilframe.operators.lexer import Segments, segments
 
 
 @dataclass(frozen=True)
@@ -34,33 +34,36 @@ class Knowledge:
     skip_role_mailboxes: bool = False
 
 
-def analysed(docs: DataFrame, known: Knowledge) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tokens in context, content tokens and placed candidates of docs(doc_id, text) with unique ids.
+def segments_of(docs: DataFrame, known: Knowledge) -> Segments:
+    """The parts of docs(doc_id, text) that all rules read, checkpointed; rows of one doc_id have one text.
 
-    Only tokens near what can begin a candidate leave the task that reads a text. All rules read the first two tables,
-    so these are checkpointed, as the candidates are: plans stay small, lost executors cost nothing, and rows stay dealt
-    and sorted by segment, so that no rule shuffles tokens again. Checkpoints hold texts' words: they stand below
-    spark.checkpoint.dir until the application ends, and are removed then.
+    Only segments near what can begin a candidate leave the task that reads a text, as their bytes: tokens, which are many
+    times as large, are unfolded where the segments lie, by each plan that reads them. Plans join and window them as they
+    are dealt. Checkpoints hold texts' words: they stand below spark.checkpoint.dir until the application ends, and are
+    removed then.
     """
-    t = tokens_of(docs, known)
-    c = rules.content(t).checkpoint()
-    return t, c, evidence.placed(rules.candidates(t, c).checkpoint(), c, docs)
-
-
-def tokens_of(docs: DataFrame, known: Knowledge) -> DataFrame:
-    """Tokens in context of docs(doc_id, text), checkpointed."""
     spark = docs.sparkSession
     # rules are wide expressions; inferring filters from them takes the optimiser minutes and finds none
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    # tokens meet by segment and place: they lie by segment, and that is enough
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     shared_folder(spark)
-    return rules.context(tokens(docs, known.dictionary, around=True)).checkpoint()
+    return segments(docs, known.dictionary)
+
+
+def decisions(docs: DataFrame, known: Knowledge, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each candidate of docs(doc_id, text): doc_id, rule, ty, places, codes, total, vetoed, masked, holes.
+
+    Rows of one doc_id have one text. kinds: only candidates of these are looked for; those of others hide and confirm nothing.
+    """
+    return decided(segments_of(docs, known), known, kinds)
 
 
-def decisions(docs: DataFrame, known: Knowledge) -> DataFrame:
-    """A row for each candidate of docs(doc_id, text) with unique ids: doc_id, rule, ty, places, codes, total, vetoed, masked, holes."""
-    t, _, d = analysed(docs, known)
+def decided(found: Segments, known: Knowledge, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """decisions() on segments."""
+    d = evidence.placed(rules.candidates(found, kinds), found)
     d = evidence.without_role_mailboxes(d) if known.skip_role_mailboxes else d
-    return evidence.with_holes(evidence.decide(evidence.collect(d, known.offices, known.persons)), t)
+    return evidence.with_holes(evidence.decide(evidence.collect(d, known.offices, known.persons)), rules.context(found.tokens(rules.PLACED)))
 
 
 def text_key(text: Column) -> Column:
@@ -69,8 +72,8 @@ def text_key(text: Column) -> Column:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): the different texts of docs, by their key."""
-    return docs.where("text is not null").select(text_key(F.col("text")).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    """(doc_id, text): the texts of docs, by their key. Of equal ones segments() keeps one."""
+    return docs.where("text is not null").select(text_key(F.col("text")).alias("doc_id"), "text")
 
 
 def mask_df(docs: DataFrame, known: Knowledge, profile: Profile = Profile()) -> DataFrame:
